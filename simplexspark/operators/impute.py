@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simplexspark.functions.scalars import count_observed
-from simplexspark.functions.simplex import add_all, basis_matrix, contrast, log_part, pivot_signs, sbp_basis
+from simplexspark.functions.simplex import add_all, contrast, log_part, pivot_signs, sbp_basis
+from simplexspark.operators.joins import null_safe_join
 from simplexspark.operators.knn import knn_join
 from simplexspark.operators.robust import lts_fit
 from simplexspark.sources.stages import cut
@@ -150,24 +151,16 @@ def impute_robust(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: in
             others = add_all([F.col(q) for q in names[1:]]) / (d - 1)
             state = state.withColumn(p, F.when(F.col(f"{p}_imputed"), hat / F.lit(up) + others).otherwise(F.col(p)))
         state = cut(state, "impute")
-        moved = before.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)],
-                              *[F.col(p).alias(f"__o_{p}") for p in missing])
-        on = F.lit(True)
-        for i, c in enumerate(key):
-            on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
-        change = state.join(moved, on).agg(*[F.avg(F.when(F.col(f"{p}_imputed"), (F.col(p) - F.col(f"__o_{p}")) ** 2))
-                                             for p in missing]).first()
+        moved = before.select(*key, *[F.col(p).alias(f"__o_{p}") for p in missing])
+        change = null_safe_join(state, moved, key).agg(*[
+            F.avg(F.when(F.col(f"{p}_imputed"), (F.col(p) - F.col(f"__o_{p}")) ** 2)) for p in missing]).first()
         worst = max([c for c in change if c is not None], default=0.0)
         if np.sqrt(worst) < tol:
             break
-    levels = state.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)], *flags,
-                          *[F.exp(p).alias(f"__v_{p}") for p in parts])
-    on = F.lit(True)
-    for i, c in enumerate(key):
-        on = on & df[c].eqNullSafe(levels[f"__k{i}"])
-    return df.join(levels, on, "left").select(
-        *[F.when(~levels[f"{c}_imputed"], df[c]).otherwise(levels[f"__v_{c}"]).alias(c) if c in parts else df[c]
-          for c in df.columns], *[levels[f] for f in flags])
+    levels = state.select(*key, *flags, *[F.exp(p).alias(f"__v_{p}") for p in parts])
+    return null_safe_join(df, levels, key, "left").select(
+        *[F.when(~F.col(f"{c}_imputed"), F.col(c)).otherwise(F.col(f"__v_{c}")).alias(c) if c in parts else F.col(c)
+          for c in df.columns], *flags)
 
 
 def compare_imputations(before: DataFrame, fills: dict[str, DataFrame], key: Sequence[str], parts: Sequence[str],

@@ -46,3 +46,12 @@ def merge_conflicts(df: DataFrame, key: Sequence[str], donor: Column, target: Co
     return (kept.join(donors, list(key), "left")
             .withColumn(part, F.when(hit, F.col("__donor.v")).otherwise(F.col(part)))
             .select(*df.columns))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on same-named keys in which null meets null, keeping the left key columns."""
+    named = right.withColumnsRenamed({k: f"__j{i}" for i, k in enumerate(keys)})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__j{i}"))
+    return left.join(named, on, how).drop(*[f"__j{i}" for i in range(len(keys))])

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simplexspark.operators.joins import null_safe_join
+
 BUCKETS = 4096
 IN_TASK_ROWS = 500_000
 
@@ -40,18 +42,6 @@ def _bucket(v: Column, lo: Column, hi: Column) -> Column:
     return F.least(F.coalesce(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
 
 
-def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & a[k].eqNullSafe(b[k])
-    return on
-
-
-def _join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    extra = [c for c in b.columns if c not in set(keys)]
-    return a.join(b, _same(a, b, keys)).select(*[a[c] for c in a.columns], *[b[c] for c in extra])
-
-
 def _hit_buckets(hist: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
     """Buckets holding a wanted rank, with the number of rows before them. A group has at
     most BUCKETS rows here."""
@@ -71,11 +61,11 @@ def _refined(rows: DataFrame, by: Sequence[str], probs: Sequence[float], names:
     at = [(F.col("__n") - 1) * F.lit(float(p)) for p in probs]
     wanted = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
     stats = stats.withColumn("__ranks", wanted)
-    binned = _join(rows, stats, by).withColumn("__b", _bucket(F.col("__s"), F.col("__lo"), F.col("__hi")))
+    binned = null_safe_join(rows, stats, by).withColumn("__b", _bucket(F.col("__s"), F.col("__lo"), F.col("__hi")))
     hist = binned.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo2"),
                                           F.max("__v").alias("__hi2"), F.first("__ranks").alias("__ranks"))
     hits = _hit_buckets(hist, by, "__b").select(*by, "__b", "__lo2", "__hi2", "__hit", "__rel")
-    cand = _join(binned.select(*by, "__b", "__v"), hits, [*by, "__b"])
+    cand = null_safe_join(binned.select(*by, "__b", "__v"), hits, [*by, "__b"])
     cand = cand.withColumn("__b2", _bucket(F.col("__v"), F.col("__lo2"), F.col("__hi2")))
     fine = (cand.groupBy(*by, "__b", "__b2", "__v")
             .agg(F.count(F.lit(1)).alias("__c"), F.first("__rel").alias("__rel")))
@@ -83,7 +73,7 @@ def _refined(rows: DataFrame, by: Sequence[str], probs: Sequence[float], names:
              .agg(F.sum("__c").alias("__c"), F.first("__rel").alias("__ranks")))
     hits2 = (_hit_buckets(hist2, [*by, "__b"], "__b2")
              .select(*by, "__b", "__b2", "__hit", F.col("__rel").alias("__in")))
-    last = _join(fine.drop("__rel"), hits2.drop("__hit"), [*by, "__b", "__b2"])
+    last = null_safe_join(fine.drop("__rel"), hits2.drop("__hit"), [*by, "__b", "__b2"])
     w = (Window.partitionBy(*by, "__b", "__b2").orderBy("__v")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = last.withColumn("__upto", F.sum("__c").over(w))
@@ -95,10 +85,10 @@ def _refined(rows: DataFrame, by: Sequence[str], probs: Sequence[float], names:
     offsets = offsets.select(*by, "__b", "__b2", F.col("z.i").alias("__r2"), F.col("z.h").alias("__r1"))
     first = hits.select(*by, "__b", F.explode(F.arrays_zip(F.col("__rel").alias("i"), F.col("__hit").alias("h"))).alias("z"))
     first = first.select(*by, "__b", F.col("z.i").alias("__r1"), F.col("z.h").alias("__rank"))
-    found = _join(got.select(*by, "__b", "__b2", "__r2", "__v"), offsets, [*by, "__b", "__b2", "__r2"])
-    found = _join(found.select(*by, "__b", "__r1", "__v"), first, [*by, "__b", "__r1"])
+    found = null_safe_join(got.select(*by, "__b", "__b2", "__r2", "__v"), offsets, [*by, "__b", "__b2", "__r2"])
+    found = null_safe_join(found.select(*by, "__b", "__r1", "__v"), first, [*by, "__b", "__r1"])
     table = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m"))
-    table = _join(table, stats.select(*by, "__n"), by)
+    table = null_safe_join(table, stats.select(*by, "__n"), by)
     out = []
     for p, name in zip(probs, names):
         pos = (F.col("__n") - 1) * F.lit(float(p))

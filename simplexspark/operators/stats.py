@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplexspark.functions.scalars import count_observed
+from simplexspark.operators.joins import null_safe_join
 from simplexspark.operators.quantiles import exact_quantiles
 from simplexspark.operators.reshape import unpivot
 
@@ -69,14 +70,10 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whisker ends (extreme values within 1.5 IQR of the box) and outlier count."""
     known = df.filter(F.col(value).isNotNull())
     box = exact_quantiles(known, by, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    on = None
-    for k in by:
-        c = known[k].eqNullSafe(box[k])
-        on = c if on is None else on & c
-    v, iqr = known[value], box["q3"] - box["q1"]
-    inside = (v >= box["q1"] - 1.5 * iqr) & (v <= box["q3"] + 1.5 * iqr)
-    joined = known.join(box, on).select(*[known[k] for k in by], v.alias("__v"), inside.alias("__in"),
-                                        box["q1"], box["median"], box["q3"])
+    iqr = F.col("q3") - F.col("q1")
+    inside = (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)
+    joined = null_safe_join(known.select(*by, value), box, by).select(
+        *by, F.col(value).alias("__v"), inside.alias("__in"), "q1", "median", "q3")
     return joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
         F.first("q3").alias("q3"), F.min(F.when(F.col("__in"), F.col("__v"))).alias("lower"),

@@ -298,6 +298,7 @@ def predict_field(targets: DataFrame, resid: DataFrame, models: dict[str, FieldM
     are shared by all responses; covariance is Matern(distance) * rho^|dt| plus nugget. A target
     without neighbours gets mean 0 and the full variance."""
     names = list(models)
+    resid, source_id = resid.withColumnRenamed(source_id, "__src"), "__src"
     near = neighbours(targets, resid, target_id, source_id, k, months).select(target_id, source_id, "dt")
     values = resid.select(source_id, F.col("x").alias("nx"), F.col("y").alias("ny"),
                           *[F.col(f"res_{y}").alias(f"n{r}") for r, y in enumerate(names)])
