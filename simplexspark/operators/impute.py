@@ -38,33 +38,29 @@ def _bits(mask: int, d: int) -> list[int]:
     return [i for i in range(d) if mask >> i & 1]
 
 
-def _pattern_views(rows: DataFrame, parts: Sequence[str], jobs: list[tuple[int, int]], side: str,
-                   block: Sequence[str]) -> DataFrame:
-    """Rows entered once per (observed set, missing part) job they take part in, with the
-    pivot coordinates of the observed set and the median of its parts."""
+def _jobs_table(spark, parts: Sequence[str], jobs: list[tuple[int, int]], masks: Sequence[int], side: str) -> DataFrame:
+    """Which (observed set o, missing part j) jobs a row with a given mask takes part in, and
+    the pivot contrasts of o as weights w<coordinate>_<part>. At most 2^D masks times D 2^D
+    jobs, 64 times 186 rows for six parts."""
     d = len(parts)
-    width = max(1, max(len(_bits(o, d)) for o, _ in jobs) - 1)
-    by_mask: dict[int, list[int]] = {}
+    width = max(len(_bits(o, d)) for o, _ in jobs) - 1
+    rows = []
     for o, j in jobs:
-        by_mask.setdefault(o, []).append(j)
-    mask, cells = F.col("__mask"), []
-    for o, js in by_mask.items():
         seen = [parts[i] for i in _bits(o, d)]
-        logs = {p: log_part(p) for p in seen}
-        z = [contrast(w, logs) for w in sbp_basis(pivot_signs(seen)).values()]
-        z += [F.lit(0.0)] * (width - len(z))
-        for j in js:
-            if side == "donor":
-                need = o | 1 << j
-                fits = mask.bitwiseAND(F.lit(need)) == need
-            else:
-                fits = mask == o
-            cells.append(F.when(fits, F.struct(
-                F.lit(o).alias("o"), F.lit(j).alias("j"), F.lit(len(seen) - 1).alias("dims"),
-                _median([F.col(p) for p in seen]).alias("mid"), F.col(parts[j]).alias("v"),
-                *[c.alias(f"z{i}") for i, c in enumerate(z)])))
-    return (rows.select(*block, "__row", F.explode(F.array_compact(F.array(*cells))).alias("c"))
-            .select(*block, "__row", "c.*"))
+        basis = list(sbp_basis(pivot_signs(seen)).values())
+        weights = [float(basis[i].get(p, 0.0)) if i < len(basis) else 0.0 for i in range(width) for p in parts]
+        need = o | 1 << j
+        rows += [(m, o, j, len(seen) - 1, *weights) for m in masks if (m & need == need if side == "donor" else m == o)]
+    names = [f"w{i}_{p}" for i in range(width) for p in parts]
+    return spark.createDataFrame(rows, "__mask int, o int, j int, dims int, " + ", ".join(f"{n} double" for n in names))
+
+
+def _pattern_views(rows: DataFrame, table: DataFrame, parts: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Rows entered once per job they take part in, with the coordinates of the job's parts."""
+    width = 1 + max(int(c[1:].split("_")[0]) for c in table.columns if c.startswith("w"))
+    logs = rows.select(*keep, "__mask", *[F.coalesce(F.ln(p), F.lit(0.0)).alias(f"__l_{p}") for p in parts])
+    z = [add_all([F.col(f"w{i}_{p}") * F.col(f"__l_{p}") for p in parts]).alias(f"z{i}") for i in range(width)]
+    return logs.join(table, "__mask").select(*keep, "o", "j", "dims", *z)
 
 
 def knn_candidates(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int = 5,
@@ -81,8 +77,11 @@ def knn_candidates(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: i
         return None
     # A donor serves a pattern only if it observes more than the pattern's parts, so rows
     # with fewer than three parts never donate.
-    donors = _pattern_views(rows.filter(count_observed(parts) >= 3), parts, jobs, "donor", block)
-    takers = _pattern_views(rows.filter(count_observed(parts).between(2, len(parts) - 1)), parts, jobs, "taker", block)
+    spark, all_masks = df.sparkSession, range(1, 1 << len(parts))
+    donors = _pattern_views(rows.filter(count_observed(parts) >= 3),
+                            _jobs_table(spark, parts, jobs, all_masks, "donor"), parts, [*block, "__row"])
+    partial = rows.filter(count_observed(parts).between(2, len(parts) - 1))
+    takers = _pattern_views(partial, _jobs_table(spark, parts, jobs, all_masks, "taker"), parts, [*block, "__row"])
     z = [c for c in donors.columns if c.startswith("z")]
     near = knn_join(takers, donors.withColumnRenamed("__row", "__donor"), z, k, "__row", "__donor",
                     [*block, "o", "j"], "dims")
@@ -96,8 +95,8 @@ def knn_candidates(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: i
     ratio = got.groupBy("__row", "o", "j").agg(F.array_sort(F.collect_list("ratio")).alias("s"))  # at most k values
     n = F.size("s")
     middle = (F.get("s", F.floor((n - 1) / 2).cast("int")) + F.get("s", F.floor(n / 2).cast("int"))) / 2
-    own = takers.select("__row", "j", F.col("mid").alias("own"))
-    return (ratio.withColumn("m", middle).join(own, ["__row", "j"])
+    own = partial.select("__row", _median([F.col(p) for p in parts]).alias("own"))
+    return (ratio.withColumn("m", middle).join(own, "__row")
             .select("__row", "j", (F.col("m") * F.col("own")).alias("value"), n.alias("donors")))
 
 

@@ -103,7 +103,7 @@ def clr_components(spark, sf):
 
 
 @register("component_total_variance", f"""WITH {CTE_COMPLETE}, c AS (SELECT {_CLR} FROM complete)
-SELECT round({' + '.join(f'var_pop({p})' for p in PARTS)}, 6) AS total_variance, 100.0 AS pct FROM c""")
+SELECT round({' + '.join(f'var_pop({p})' for p in PARTS)}, 6) AS total_variance, 100e0 AS pct FROM c""")
 def component_total_variance(spark, sf):
     """Component variances add up to the total clr variance, percentages to 100."""
     rows = complete(spark, sf)

@@ -1,3 +1,3 @@
-from simplexspark.plans import aggregates, composition, panel
+from simplexspark.plans import aggregates, composition, panel, spatial, surface
 
-ALL = {**panel.QUERIES, **aggregates.QUERIES, **composition.QUERIES}
+ALL = {**panel.QUERIES, **aggregates.QUERIES, **composition.QUERIES, **spatial.QUERIES, **surface.QUERIES}
