@@ -182,36 +182,46 @@ def residuals(df: DataFrame, fits: dict[str, MixedFit], effects: DataFrame, grou
 # --- spatial and temporal dependence ----------------------------------------------------
 
 
-def variogram(df: DataFrame, value: str, x: str, y: str, block: Sequence[str], max_dist: float, bins: int = 15,
-              resolution: int = 2) -> DataFrame:
-    """Semivariance by distance within each block: (bin, pairs, distance, gamma). Positions are
-    snapped to cells, ``resolution`` to a bin. Pairs are formed between cells, never between
-    rows: from n, sum and sum of squares of two cells the sum over all their row pairs follows
-    exactly, and a cell has a fixed number of neighbour offsets however many rows it holds."""
+def variogram(df: DataFrame, values: Sequence[str], x: str, y: str, block: Sequence[str], max_dist: float,
+              bins: int = 15, resolution: int = 2) -> DataFrame:
+    """Semivariance by distance within each block: (variable, bin, pairs, distance, gamma).
+    Positions are snapped to cells, ``resolution`` to a bin. Pairs are formed between cells,
+    never between rows: from n, sum and sum of squares of two cells the sum over all their row
+    pairs follows exactly, and a cell has a fixed number of neighbour offsets however many rows
+    it holds. All variables share the pass."""
     size = max_dist / (bins * resolution)
     reach = bins * resolution
-    block = list(block)
-    v = F.col(value)
-    cells = cut(df.dropna(subset=[value, x, y, *block])
-                .groupBy(*block, F.floor(F.col(x) / F.lit(size)).alias("cx"), F.floor(F.col(y) / F.lit(size)).alias("cy"))
-                .agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")), "variogram-cells")
+    block, values = list(block), list(values)
+    place = [F.floor(F.col(c) / F.lit(size)).alias(n) for c, n in ((x, "cx"), (y, "cy"))]
+    # Values are centred first: cell sums of squares then lose no digits to a large mean.
+    means = df.agg(*[F.avg(v) for v in values]).first()
+    rows = df.dropna(subset=[x, y, *block]).select(
+        *block, *place, *[(F.col(v) - F.lit(m)).alias(f"v{i}") for i, (v, m) in enumerate(zip(values, means))])
+    cells = cut(rows.groupBy(*block, "cx", "cy").agg(*[
+        f.alias(f"{n}{i}") for i in range(len(values)) for n, f in (
+            ("n", F.count(f"v{i}")), ("s", F.coalesce(F.sum(f"v{i}"), F.lit(0.0))),
+            ("q", F.coalesce(F.sum(F.col(f"v{i}") ** 2), F.lit(0.0))))]), "variogram-cells")
     # Half of the offsets, so that a pair of cells meets once.
     span = F.sequence(F.lit(-reach), F.lit(reach))
     offsets = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda a: F.transform(
         span, lambda b: F.struct(a.alias("dx"), b.alias("dy"))))),
         lambda o: ((o["dx"] > 0) | (o["dy"] > 0)) & (o["dx"] * o["dx"] + o["dy"] * o["dy"] < reach * reach))
+    sums = [f"{n}{i}" for i in range(len(values)) for n in "nsq"]
     one = cells.withColumn("o", F.explode(offsets)).select(
         *block, (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"),
-        F.sqrt((F.col("o.dx") * F.col("o.dx") + F.col("o.dy") * F.col("o.dy")).cast("double")).alias("h"),
-        F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("q").alias("q1"))
-    pairs = one.join(cells, [*block, "cx", "cy"]).select(
-        "h", (F.col("n") * F.col("n1")).alias("pairs"),
-        (F.col("n") * F.col("q1") + F.col("n1") * F.col("q") - 2 * F.col("s") * F.col("s1")).alias("d2"))
-    same = cells.filter(F.col("n") > 1).select(
-        F.lit(0.0).alias("h"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"),
-        (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("d2"))
-    by_h = pairs.unionByName(same).groupBy("h").agg(F.sum("pairs").alias("pairs"), F.sum("d2").alias("d2"))
-    return (by_h.groupBy(F.floor(F.col("h") / resolution).cast("int").alias("bin"))
+        (F.col("o.dx") * F.col("o.dx") + F.col("o.dy") * F.col("o.dy")).alias("h2"),
+        *[F.col(c).alias(f"o_{c}") for c in sums])
+    pair_sums = [f.alias(f"{n}{i}") for i in range(len(values)) for n, f in (
+        ("pairs", F.sum(F.expr(f"n{i} * o_n{i}"))),
+        ("d2", F.sum(F.expr(f"n{i} * o_q{i} + o_n{i} * q{i} - 2 * s{i} * o_s{i}"))))]
+    between = one.join(cells, [*block, "cx", "cy"]).groupBy("h2").agg(*pair_sums)
+    same = cells.agg(*[f.alias(f"{n}{i}") for i in range(len(values)) for n, f in (
+        ("pairs", F.sum(F.expr(f"n{i} * (n{i} - 1) div 2"))), ("d2", F.sum(F.expr(f"n{i} * q{i} - s{i} * s{i}"))))])
+    by_h = between.unionByName(same.withColumn("h2", F.lit(0)))
+    long = by_h.select(F.sqrt(F.col("h2").cast("double")).alias("h"), F.inline(F.array(*[
+        F.struct(F.lit(v).alias("variable"), F.col(f"pairs{i}").alias("pairs"), F.col(f"d2{i}").alias("d2"))
+        for i, v in enumerate(values)]))).filter(F.col("pairs") > 0)
+    return (long.groupBy("variable", F.floor(F.col("h") / resolution).cast("int").alias("bin"))
             .agg(F.sum("pairs").alias("pairs"),
                  (F.sum(F.col("h") * F.col("pairs")) * F.lit(size) / F.sum("pairs")).alias("distance"),
                  (F.sum("d2") / F.sum("pairs") / 2).alias("gamma")))
@@ -247,10 +257,11 @@ def matern1(t: np.ndarray) -> np.ndarray:
     return np.where(t < 1e-4, 1.0, t * k1.reshape(t.shape))
 
 
-def fit_field(bins: DataFrame, rho: float = 0.0) -> FieldModel:
-    """Least squares on the short bin table, weighted by pairs over squared semivariance
-    scale: for each trial range the best non-negative nugget and variance."""
-    rows = [r for r in bins.collect() if r["pairs"] and r["gamma"] is not None]
+def fit_field(rows: Sequence, rho: float = 0.0) -> FieldModel:
+    """Least squares on the collected bins of one variable, weighted by pairs: for each trial
+    range the best non-negative nugget and variance."""
+    if not rows:
+        raise ValueError("no pair of rows within the largest distance")
     h, gamma = (np.array([r[c] for r in rows], float) for c in ("distance", "gamma"))
     w = np.sqrt(np.array([r["pairs"] for r in rows], float))
     best, top = None, max(h.max(), 1e-12)
@@ -268,13 +279,18 @@ def fit_field(bins: DataFrame, rho: float = 0.0) -> FieldModel:
     return FieldModel(float(best[1][1]), float(best[1][0]), math.sqrt(8.0) / float(best[2]), rho)
 
 
-def ar1(df: DataFrame, value: str, station: str, ym: str = "ym") -> DataFrame:
-    """Correlation of consecutive months of the same station: (pairs, rho). The previous month
-    is met by an equi-join on (station, month), so a station with very many rows is spread
-    over its months instead of being sorted in one task."""
-    rows = df.filter(F.col(value).isNotNull()).select(station, ym, F.col(value).alias("__now"))
-    before = rows.select(station, (F.col(ym) + 1).alias(ym), F.col("__now").alias("__before"))
-    return rows.join(before, [station, ym]).agg(F.count(F.lit(1)).alias("pairs"), F.corr("__now", "__before").alias("rho"))
+def ar1(df: DataFrame, values: Sequence[str], station: str, ym: str = "ym") -> DataFrame:
+    """Correlation of consecutive months of the same station: (variable, pairs, rho). The
+    previous month is met by an equi-join on (station, month), so a station with very many rows
+    is spread over its months instead of being sorted in one task."""
+    rows = df.select(station, ym, *[F.col(v).alias(f"now{i}") for i, v in enumerate(values)])
+    before = rows.select(station, (F.col(ym) + 1).alias(ym), *[F.col(f"now{i}").alias(f"old{i}") for i in range(len(values))])
+    both = [F.when(F.col(f"old{i}").isNotNull(), F.col(f"now{i}")) for i in range(len(values))]
+    row = rows.join(before, [station, ym]).agg(*[f.alias(f"{n}{i}") for i in range(len(values)) for n, f in (
+        ("n", F.count(both[i])), ("r", F.corr(f"now{i}", f"old{i}")))])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(v).alias("variable"), F.col(f"n{i}").alias("pairs"), F.col(f"r{i}").alias("rho"))
+        for i, v in enumerate(values)])))
 
 
 # --- prediction -------------------------------------------------------------------------
@@ -305,7 +321,7 @@ def predict_field(targets: DataFrame, resid: DataFrame, models: dict[str, FieldM
     fields = ["nx", "ny", "dt", *[f"n{r}" for r in range(len(names))]]
     packed = (near.join(values, source_id)
               .groupBy(target_id).agg(F.array_sort(F.collect_list(F.struct(source_id, *fields))).alias("__nb")))
-    flat = [F.transform("__nb", lambda s, f=f: s[f].cast("double")).alias(f) for f in fields]
+    flat = [F.expr(f"transform(__nb, s -> CAST(s.{f} AS DOUBLE))").alias(f) for f in fields]
     rows = packed.select(target_id, *flat)
     rows = targets.select(target_id, "x", "y").join(rows, target_id, "left")
     shape = [models[y] for y in names]
@@ -381,11 +397,11 @@ def fit_surface(stations: DataFrame, responses: Sequence[str], xs: Sequence[str]
     effects = cut(effects, "group-effects")
     res = residuals(stations, fits, effects, group)
     res = cut(res.select(row_id, station_id, "x", "y", "ym", *[f"res_{y}" for y in responses]), "residuals")
-    fields = {}
-    for y in responses:
-        rho = ar1(res, f"res_{y}", station_id).first()["rho"]
-        fields[y] = fit_field(variogram(res, f"res_{y}", "x", "y", ["ym"], max_dist, bins),
-                              min(0.999, max(0.0, rho if rho is not None else 0.0)))
+    names = [f"res_{y}" for y in responses]
+    rho = {r["variable"]: r["rho"] or 0.0 for r in ar1(res, names, station_id).collect()}
+    table = variogram(res, names, "x", "y", ["ym"], max_dist, bins).collect()  # bins x responses rows
+    fields = {y: fit_field([r for r in table if r["variable"] == f"res_{y}"], min(0.999, max(0.0, rho[f"res_{y}"])))
+              for y in responses}
     return SurfaceModel(fits, effects, fields, res, group)
 
 

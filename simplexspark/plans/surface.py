@@ -90,16 +90,16 @@ _CELL = MAX_DIST / 30
 @register("variogram_bins", f"""WITH {CTE_ROWS}, c AS (SELECT ym, floor(x / {_CELL}) AS cx, floor(y / {_CELL}) AS cy, B1 AS v, row_id FROM rows_),
  pairs AS (SELECT sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS h, (a.v - b.v) * (a.v - b.v) AS d2
    FROM c a JOIN c b ON a.ym = b.ym AND a.row_id < b.row_id)
-SELECT CAST(floor(h / 2) AS INTEGER) AS bin, count(*) AS pairs, round(avg(h) * {_CELL}, 6) AS distance, round(avg(d2) / 2, 6) AS gamma
+SELECT 'B1' AS variable, CAST(floor(h / 2) AS INTEGER) AS bin, count(*) AS pairs, round(avg(h) * {_CELL}, 6) AS distance, round(avg(d2) / 2, 6) AS gamma
 FROM pairs WHERE h < 30 GROUP BY ALL""")
 def variogram_bins(spark, sf):
-    return rounded(M.variogram(station_rows(spark, sf), "B1", "x", "y", ["ym"], MAX_DIST), ["distance", "gamma"])
+    return rounded(M.variogram(station_rows(spark, sf), ["B1"], "x", "y", ["ym"], MAX_DIST), ["distance", "gamma"])
 
 
-@register("month_memory", f"""WITH {CTE_ROWS} SELECT count(*) AS pairs, round(corr(b.B1, a.B1), 6) AS rho
+@register("month_memory", f"""WITH {CTE_ROWS} SELECT 'B1' AS variable, count(*) AS pairs, round(corr(b.B1, a.B1), 6) AS rho
 FROM rows_ a JOIN rows_ b ON a.station = b.station AND b.ym = a.ym + 1""")
 def month_memory(spark, sf):
-    return rounded(M.ar1(station_rows(spark, sf), "B1", "station"), ["rho"])
+    return rounded(M.ar1(station_rows(spark, sf), ["B1"], "station"), ["rho"])
 
 
 @register("field_model", None)
