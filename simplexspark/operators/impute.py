@@ -148,8 +148,10 @@ def impute_robust(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: in
             # z1 fixes ln p against the mean of the others, which keep their values.
             up = basis["z1"][p]
             others = add_all([F.col(q) for q in names[1:]]) / (d - 1)
-            state = state.withColumn(p, F.when(F.col(f"{p}_imputed"), hat / F.lit(up) + others).otherwise(F.col(p)))
-        state = cut(state, "impute")
+            # Written after every part: each update refers to all parts, so an open chain of
+            # updates would multiply the expression.
+            state = cut(state.withColumn(p, F.when(F.col(f"{p}_imputed"), hat / F.lit(up) + others).otherwise(F.col(p))),
+                        "impute")
         moved = before.select(*key, *[F.col(p).alias(f"__o_{p}") for p in missing])
         change = null_safe_join(state, moved, key).agg(*[
             F.avg(F.when(F.col(f"{p}_imputed"), (F.col(p) - F.col(f"__o_{p}")) ** 2)) for p in missing]).first()

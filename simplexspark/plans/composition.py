@@ -127,21 +127,22 @@ def biplot_table(spark, sf):
 
 # --- nearest compositions and imputation ------------------------------------------------
 
-CTE_CELLS = f"""cells AS (
-  SELECT station, year, month, [{', '.join(PARTS)}] AS p, list_transform([{', '.join(PARTS)}], lambda v: ln(v)) AS lnp FROM kept),
- pat AS (SELECT *, list_filter(range(1, 7), lambda i: p[i] IS NOT NULL) AS o FROM cells),
- takers AS (SELECT station, year, month, p, lnp, o, unnest(list_filter(range(1, 7), lambda i: p[i] IS NULL)) AS j FROM pat WHERE len(o) < 6),
- cand AS (
-  SELECT t.station, t.year, t.month, t.j, t.o, t.p AS tp, d.p AS dp,
-    ROW(d.station, d.year, d.month) AS donor, list_transform(t.o, lambda i: t.lnp[i] - d.lnp[i]) AS l
-  FROM takers t JOIN pat d ON d.p[t.j] IS NOT NULL AND len(list_intersect(t.o, d.o)) = len(t.o)),
- dist AS (SELECT * EXCLUDE (l), list_sum(list_transform(l, lambda v: v * v)) - pow(list_sum(l), 2) / len(l) AS d2 FROM cand),
- best AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY station, year, month, j ORDER BY round(d2, 12), donor) <= 5)"""
+_HAS = [f"CAST(({p} IS NOT NULL) AS INTEGER)" for p in PARTS]
+_L = [f"t.h{i} * (t.a{i} - d.a{i})" for i in range(6)]
+CTE_CELLS = f"""base AS (
+  SELECT station, year, month, row_number() OVER (ORDER BY station, year, month) AS rid, [{', '.join(PARTS)}] AS p,
+    {' + '.join(f'{h} * {1 << i}' for i, h in enumerate(_HAS))} AS mask, {' + '.join(_HAS)} AS m,
+    {', '.join(f'{h} AS h{i}, coalesce(ln({p}), 0) AS a{i}' for i, (h, p) in enumerate(zip(_HAS, PARTS)))} FROM kept),
+ takers AS (SELECT * FROM (SELECT *, unnest(range(6)) AS j FROM base WHERE m < 6) WHERE (mask >> j) & 1 = 0),
+ found AS (SELECT t.rid, t.j, unnest(arg_min(d.rid, {' + '.join(f'pow({x}, 2)' for x in _L)} - pow({' + '.join(_L)}, 2) / t.m, 5)) AS donor
+  FROM takers t JOIN base d ON (d.mask & (t.mask | (1 << t.j))) = (t.mask | (1 << t.j)) GROUP BY t.rid, t.j),
+ best AS (SELECT f.rid, f.j, t.station, t.year, t.month, t.p AS tp, d.p AS dp, list_filter(range(1, 7), lambda i: t.p[i] IS NOT NULL) AS o
+  FROM found f JOIN base t ON t.rid = f.rid JOIN base d ON d.rid = f.donor)"""
 
 
 @register("knn_imputed_cells", f"""WITH {CTE_KEPT}, {CTE_CELLS}
-SELECT station, year, month, CAST(j - 1 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS donors,
-  round(median(dp[j] / list_median(list_transform(o, lambda i: dp[i]))) * any_value(list_median(list_transform(o, lambda i: tp[i]))), 4) AS value
+SELECT station, year, month, CAST(j AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS donors,
+  round(median(dp[j + 1] / list_median(list_transform(o, lambda i: dp[i]))) * any_value(list_median(list_transform(o, lambda i: tp[i]))), 4) AS value
 FROM best GROUP BY station, year, month, j""")
 def knn_imputed_cells(spark, sf):
     """Every missing cell of the whole panel filled from its five nearest donors."""
