@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from simplexspark.functions.scalars import decode_bits
 from simplexspark.functions.simplex import Signs, add_all, balances, basis_matrix, sbp_basis
-from simplexspark.operators.composition import moments
+from simplexspark.operators.composition import centred_moments, moments
 from simplexspark.operators.quantiles import exact_quantiles, order_statistic
 from simplexspark.sources.stages import cut
 
@@ -58,49 +58,63 @@ def _solve(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return np.concatenate([[mean[0] - mean[1:] @ beta], beta])
 
 
-def _regress(df: DataFrame, y: str, xs: Sequence[str]) -> np.ndarray:
-    return _solve(*moments(df, [y, *xs]))
+def _residual2(y: str, xs: Sequence[str], beta: np.ndarray) -> Column:
+    fit = " + ".join([f"({float(beta[0])!r}D)", *[f"({float(b)!r}D) * {x}" for b, x in zip(beta[1:], xs)]])
+    return F.expr(f"pow({y} - ({fit}), 2)")
 
 
-def _residual2(y: str, xs: Sequence[str], beta: np.ndarray) -> Column:
-    r = F.col(y) - add_all([F.lit(float(beta[0])), *[F.lit(float(b)) * F.col(x) for b, x in zip(beta[1:], xs)]])
-    return r * r
+START_ROWS = 1500
+
+
+def _lts_start(rows: np.ndarray, tries: int = 300, keep: int = 10) -> np.ndarray:
+    """Best start among exact fits of random minimal subsets, each improved by two
+    concentration steps, on a bounded sample of rows (Rousseeuw & Van Driessen 2006)."""
+    rng = np.random.default_rng(1714)
+    y, x = rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]])
+    n, p = x.shape
+    h = (n + p + 1) // 2
+    best: list[tuple[float, np.ndarray]] = []
+    for _ in range(tries):
+        at = rng.choice(n, p, replace=False)
+        beta = np.linalg.lstsq(x[at], y[at], rcond=None)[0]
+        near = np.argpartition((y - x @ beta) ** 2, h - 1)[:h]
+        beta = np.linalg.lstsq(x[near], y[near], rcond=None)[0]
+        best.append((np.partition((y - x @ beta) ** 2, h - 1)[:h].sum(), beta))
+    final = []
+    for _, beta in sorted(best, key=lambda t: t[0])[:keep]:
+        for _ in range(20):
+            near = np.argpartition((y - x @ beta) ** 2, h - 1)[:h]
+            beta = np.linalg.lstsq(x[near], y[near], rcond=None)[0]
+        final.append((np.partition((y - x @ beta) ** 2, h - 1)[:h].sum(), beta))
+    return min(final, key=lambda t: t[0])[1]
 
 
 def lts_fit(df: DataFrame, y: str, xs: Sequence[str], trim: float = 0.5, start: np.ndarray | None = None,
-            starts: int = 2, max_steps: int = 10, tol: float = 1e-6) -> np.ndarray:
+            max_steps: int = 10, tol: float = 1e-4) -> np.ndarray:
     """Least trimmed squares: intercept and slopes minimising the sum of the h smallest
-    squared residuals. Starts from OLS and from hash-chosen subsets, or from ``start``; keeps
-    the best after two steps, then steps until the objective settles. A final pass drops
-    residuals beyond 2.5 robust scales."""
-    df = df.select(y, *xs)
+    squared residuals. The start comes from ``start`` or from a sample of at most START_ROWS
+    rows; every concentration step then runs over all rows until the objective settles. A
+    final pass drops residuals beyond 2.5 robust scales."""
+    df = df.select(y, *xs).dropna()
+    centre, cov = moments(df, [y, *xs])
     n, p = df.count(), len(xs) + 1
     if n <= p:
         raise ValueError(f"{n} rows cannot fit {p} coefficients of {y}")
     h = min(n, max((n + p + 1) // 2, int((1 - trim) * n)))
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-300))
 
     def step(beta: np.ndarray) -> tuple[np.ndarray, float]:
         rows = df.withColumn("__r2", _residual2(y, xs, beta))
         cut_off = order_statistic(rows, "__r2", h, n)
-        mean, cov, objective = moments(rows.filter(F.col("__r2") <= cut_off), [y, *xs], also="__r2")
+        mean, cov, objective = centred_moments(rows.filter(F.col("__r2") <= cut_off), [y, *xs], centre, scale, "__r2")
         return _solve(mean, cov), objective
 
-    if start is not None:
-        tries = [start]
-    else:
-        tries = [_regress(df, y, xs)]
-        for s in range(starts - 1):
-            part = df.filter(F.pmod(F.xxhash64(y, *xs, F.lit(s)), F.lit(max(1, n // (20 * p)))) == 0)
-            if part.count() > 2 * p:
-                tries.append(_regress(part, y, xs))
-    scored = [(math.inf, tries[0])]
-    if len(tries) > 1:
-        scored = []
-        for beta in tries:
-            beta, _ = step(beta)
-            beta, objective = step(beta)
-            scored.append((objective, beta))
-    objective, beta = min(scored, key=lambda t: t[0])
+    if start is None:
+        key = F.xxhash64(y, *xs)
+        few = df.withColumn("__h", key).filter(F.pmod("__h", F.lit(max(1, n // (2 * START_ROWS)))) == 0)
+        sample = few.orderBy("__h").drop("__h").limit(START_ROWS).collect()
+        start = _lts_start(np.array(sample, float)) if len(sample) > 2 * p else _solve(centre, cov)
+    beta, objective = step(start)
     now = objective
     for _ in range(max_steps):
         beta, now = step(beta)
@@ -112,7 +126,7 @@ def lts_fit(df: DataFrame, y: str, xs: Sequence[str], trim: float = 0.5, start:
     factor = h / n / gamma_p(1.5, q / 2) if h < n else 1.0
     scale2 = factor * now / h
     kept = df.filter(_residual2(y, xs, beta) <= 2.5 ** 2 * scale2) if scale2 > 0 else df
-    return _regress(kept, y, xs)
+    return _solve(*centred_moments(kept, [y, *xs], centre, scale))
 
 
 def mahalanobis2(cols: Sequence[str], centre: np.ndarray, scatter: np.ndarray) -> Column:
@@ -121,9 +135,8 @@ def mahalanobis2(cols: Sequence[str], centre: np.ndarray, scatter: np.ndarray) -
     if values[0] <= 1e-14 * max(values[-1], 1e-300):
         raise ValueError(f"scatter of {list(cols)} is singular")
     white = (vectors / np.sqrt(values)).T
-    lines = [add_all([F.lit(float(w)) * (F.col(c) - F.lit(float(m))) for w, c, m in zip(row, cols, centre)])
-             for row in white]
-    return add_all([x * x for x in lines])
+    lines = [" + ".join(f"({float(w)!r}D) * ({c} - ({float(m)!r}D))" for w, c, m in zip(row, cols, centre)) for row in white]
+    return F.expr(" + ".join(f"pow({x}, 2)" for x in lines))
 
 
 def robust_location_scatter(df: DataFrame, cols: Sequence[str], max_steps: int = 15,
@@ -159,7 +172,7 @@ def robust_location_scatter(df: DataFrame, cols: Sequence[str], max_steps: int =
 
     def step(m: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = df.withColumn("__d2", mahalanobis2(cols, m, s))
-        return moments(rows.filter(F.col("__d2") <= order_statistic(rows, "__d2", h, n)), cols)
+        return centred_moments(rows.filter(F.col("__d2") <= order_statistic(rows, "__d2", h, n)), cols, centre, scale)
 
     tried = [step(*step(centre, s)) for s in starts]
     m, s = min(tried, key=lambda t: np.linalg.det(t[1]))

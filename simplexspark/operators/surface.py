@@ -95,12 +95,14 @@ def gram_sums(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group:
     return df.dropna(subset=[*xs, group]).groupBy(group).agg(*sums)
 
 
-def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str,
-             rounds: int = 3) -> tuple[dict[str, MixedFit], DataFrame]:
+def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str, rounds: int = 3,
+             inflation: dict[str, float] | None = None) -> tuple[dict[str, MixedFit], DataFrame]:
     """Fixed effects by generalised least squares with a random intercept per group, for all
     responses in the same passes. Variance components by moments (between and within groups);
     each round refreshes the components and then the coefficients. Also returns the group
-    effects (group, and per response u_<y>, uvar_<y>): means shrunk by n*su2/(n*su2+se2)."""
+    effects (group, and per response u_<y>, uvar_<y>): means shrunk by n*su2/(n*su2+se2).
+    ``inflation`` multiplies the variance of a group mean when rows of a group are correlated,
+    as the months of a station are; without it that correlation is taken for group effects."""
     xs, responses, p = list(xs), list(responses), len(xs) + 1
     row = df.agg(*[f(x) for x in xs for f in (F.avg, F.stddev_pop)]).first() if xs else []
     centre, scale = np.array(row[0::2], float), np.array(row[1::2], float)
@@ -144,6 +146,7 @@ def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group:
             se2[r] = max((ss - between) / max(1.0, n[r] - groups), 1e-300)
             msb = (between - plain ** 2 / n[r]) / max(1.0, groups - 1)
             n0 = (n[r] - n2 / n[r]) / max(1.0, groups - 1)
+            se2[r] *= (inflation or {}).get(responses[r], 1.0)
             su2[r] = max(0.0, (msb - se2[r]) / n0) if groups > 1 and n0 > 0 else 0.0
         weight = [F.lit(su2[r] / se2[r]) / (F.lit(se2[r]) + F.col(f"c0_0_{r}") * F.lit(su2[r])) for r in range(len(n))]
         dev = totals([F.sum(weight[r] * F.col(f"c0_{i}_{r}") * other) for r in range(len(n))
@@ -393,14 +396,20 @@ def fit_surface(stations: DataFrame, responses: Sequence[str], xs: Sequence[str]
                 row_id: str, max_dist: float, bins: int = 15) -> SurfaceModel:
     """Fit all responses: ``stations`` holds one row per station-month with x, y, ym. The
     responses share the pass for the sums and the residual stage."""
-    fits, effects = fit_many(stations, responses, xs, group)
-    effects = cut(effects, "group-effects")
-    res = residuals(stations, fits, effects, group)
-    res = cut(res.select(row_id, station_id, "x", "y", "ym", *[f"res_{y}" for y in responses]), "residuals")
     names = [f"res_{y}" for y in responses]
-    rho = {r["variable"]: r["rho"] or 0.0 for r in ar1(res, names, station_id).collect()}
+
+    def memory(fits: dict[str, MixedFit], effects: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+        res = cut(residuals(stations, fits, effects, group).select(row_id, station_id, "x", "y", "ym", *names), "residuals")
+        got = {r["variable"]: r["rho"] or 0.0 for r in ar1(res, names, station_id).collect()}
+        return res, {y: min(0.99, max(0.0, got[f"res_{y}"])) for y in responses}
+
+    # A first fit only measures the memory; the second allows for it.
+    _, rho = memory(*fit_many(stations, responses, xs, group))
+    fits, effects = fit_many(stations, responses, xs, group, inflation={y: (1 + r) / (1 - r) for y, r in rho.items()})
+    effects = cut(effects, "group-effects")
+    res, rho = memory(fits, effects)
     table = variogram(res, names, "x", "y", ["ym"], max_dist, bins).collect()  # bins x responses rows
-    fields = {y: fit_field([r for r in table if r["variable"] == f"res_{y}"], min(0.999, max(0.0, rho[f"res_{y}"])))
+    fields = {y: fit_field([r for r in table if r["variable"] == f"res_{y}"], rho[y])
               for y in responses}
     return SurfaceModel(fits, effects, fields, res, group)
 
