@@ -196,31 +196,32 @@ def variogram(df: DataFrame, values: Sequence[str], x: str, y: str, block: Seque
     reach = bins * resolution
     block, values = list(block), list(values)
     place = [F.floor(F.col(c) / F.lit(size)).alias(n) for c, n in ((x, "cx"), (y, "cy"))]
-    # Values are centred first: cell sums of squares then lose no digits to a large mean.
-    means = df.agg(*[F.avg(v) for v in values]).first()
+    # Meant for residuals: values near zero keep all digits in the sums of squares.
     rows = df.dropna(subset=[x, y, *block]).select(
-        *block, *place, *[(F.col(v) - F.lit(m)).alias(f"v{i}") for i, (v, m) in enumerate(zip(values, means))])
+        *block, *place, *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
     cells = cut(rows.groupBy(*block, "cx", "cy").agg(*[
         f.alias(f"{n}{i}") for i in range(len(values)) for n, f in (
             ("n", F.count(f"v{i}")), ("s", F.coalesce(F.sum(f"v{i}"), F.lit(0.0))),
             ("q", F.coalesce(F.sum(F.col(f"v{i}") ** 2), F.lit(0.0))))]), "variogram-cells")
-    # Half of the offsets, so that a pair of cells meets once.
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    offsets = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda a: F.transform(
-        span, lambda b: F.struct(a.alias("dx"), b.alias("dy"))))),
-        lambda o: ((o["dx"] > 0) | (o["dy"] > 0)) & (o["dx"] * o["dx"] + o["dy"] * o["dy"] < reach * reach))
+    # Cells meet through coarse squares of the reach: a cell looks into the six squares that can
+    # hold a later cell within reach. A square has at most reach^2 cells, so no group is
+    # unbounded, and empty places cost nothing.
     sums = [f"{n}{i}" for i in range(len(values)) for n in "nsq"]
-    one = cells.withColumn("o", F.explode(offsets)).select(
-        *block, (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"),
-        (F.col("o.dx") * F.col("o.dx") + F.col("o.dy") * F.col("o.dy")).alias("h2"),
-        *[F.col(c).alias(f"o_{c}") for c in sums])
+    coarse = [F.expr(f"floor({c} / {reach})").alias(g) for c, g in (("cx", "gx"), ("cy", "gy"))]
+    cells = cells.select("*", *coarse)
+    one = (cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(5))))
+           .selectExpr(*block, "cx AS ox", "cy AS oy", "gx + o div 3 AS gx", "gy + o % 3 - 1 AS gy",
+                       *[f"{c} AS o_{c}" for c in sums]))
+    near = (one.join(cells, [*block, "gx", "gy"])
+            .filter("cx > ox OR (cx = ox AND cy > oy)")
+            .withColumn("h2", F.expr("(cx - ox) * (cx - ox) + (cy - oy) * (cy - oy)")).filter(F.col("h2") < reach * reach))
     pair_sums = [f.alias(f"{n}{i}") for i in range(len(values)) for n, f in (
         ("pairs", F.sum(F.expr(f"n{i} * o_n{i}"))),
         ("d2", F.sum(F.expr(f"n{i} * o_q{i} + o_n{i} * q{i} - 2 * s{i} * o_s{i}"))))]
-    between = one.join(cells, [*block, "cx", "cy"]).groupBy("h2").agg(*pair_sums)
+    between = near.groupBy("h2").agg(*pair_sums)
     same = cells.agg(*[f.alias(f"{n}{i}") for i in range(len(values)) for n, f in (
         ("pairs", F.sum(F.expr(f"n{i} * (n{i} - 1) div 2"))), ("d2", F.sum(F.expr(f"n{i} * q{i} - s{i} * s{i}"))))])
-    by_h = between.unionByName(same.withColumn("h2", F.lit(0)))
+    by_h = between.unionByName(same.withColumn("h2", F.lit(0).cast("long")))
     long = by_h.select(F.sqrt(F.col("h2").cast("double")).alias("h"), F.inline(F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(f"pairs{i}").alias("pairs"), F.col(f"d2{i}").alias("d2"))
         for i, v in enumerate(values)]))).filter(F.col("pairs") > 0)
