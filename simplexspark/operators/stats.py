@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplexspark.functions.scalars import count_observed
@@ -13,15 +13,25 @@ from simplexspark.operators.quantiles import exact_quantiles
 from simplexspark.operators.reshape import unpivot
 
 
+def _column_stats(df: DataFrame, cols: Sequence[str], stats: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per column from one wide aggregate: the rows themselves are never unpivoted."""
+    row = df.agg(*[f(F.col(c)).alias(f"{c}__{name}") for c in cols for name, f in stats.items()])
+    cells = [F.struct(F.lit(c).alias("variable"), *[F.col(f"`{c}__{name}`").alias(name) for name in stats]) for c in cols]
+    return row.select(F.inline(F.array(*cells)))
+
+
+def _column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    return exact_quantiles(unpivot(df, [], cols), ["variable"], "value", probs, names)
+
+
 def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: n, n_missing, pct_missing, mean, median, sd, min, max."""
-    long = unpivot(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), [], cols)
-    moments = long.groupBy("variable").agg(
-        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"),
-        (F.avg(F.col("value").isNull().cast("double")) * 100).alias("pct_missing"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    med = exact_quantiles(long, ["variable"], "value", [0.5], ["median"])
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    moments = _column_stats(df, cols, {
+        "n": F.count, "n_missing": lambda c: F.count_if(c.isNull()),
+        "pct_missing": lambda c: F.avg(c.isNull().cast("double")) * 100,
+        "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max})
+    med = _column_quantiles(df, cols, [0.5], ["median"])
     return (moments.join(med, "variable", "left")
             .select("variable", "n", "n_missing", "pct_missing", "mean", "median", "sd", "min", "max")
             .orderBy(F.desc("n"), "variable"))
@@ -29,10 +39,9 @@ def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def summary_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Min, Q1, Median, Mean, Q3, Max and SD of each column."""
-    long = unpivot(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), [], cols)
-    moments = long.groupBy("variable").agg(F.min("value").alias("min"), F.avg("value").alias("mean"),
-                                           F.max("value").alias("max"), F.stddev_samp("value").alias("sd"))
-    qs = exact_quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    moments = _column_stats(df, cols, {"min": F.min, "mean": F.avg, "max": F.max, "sd": F.stddev_samp})
+    qs = _column_quantiles(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     return (moments.join(qs, "variable", "left")
             .select("variable", "min", "q1", "median", "mean", "q3", "max", "sd"))
 
@@ -80,6 +89,16 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.max(F.when(F.col("__in"), F.col("__v"))).alias("upper"), F.count_if(~F.col("__in")).alias("n_outliers"))
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Exact number of distinct non-null values per column, one row: each column is made distinct
+    on its own, so values collapse before the shuffle and rows are not repeated per column."""
+    counts = None
+    for c in cols:
+        one = df.select(c).dropna().distinct().agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.lit(c))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.agg(*[F.max(F.when(F.col("c") == c, F.col("n"))).alias(c) for c in cols])
+
+
 def extent(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("min", F.min), ("max", F.max))])
 

@@ -45,9 +45,8 @@ def duplicate_keys(spark, sf):
 SELECT count(DISTINCT l_suppkey) AS stations, count(DISTINCT l_partkey) AS parts, count(*) AS n_rows, CAST(11 AS BIGINT) AS n_cols FROM lineitem""")
 def distinct_counts(spark, sf):
     li = table(spark, sf, "lineitem")
-    # Each exact distinct count is its own pre-aggregated pass, so rows are never expanded.
-    return li.agg(F.countDistinct("l_suppkey").alias("stations"), F.countDistinct("l_partkey").alias("parts"),
-                  F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(li.columns)).cast("long"))
+    counts = stats.distinct_counts(li, ["l_suppkey", "l_partkey"]).toDF("stations", "parts")
+    return counts.withColumns({"n_rows": F.lit(li.count()), "n_cols": F.lit(len(li.columns)).cast("long")})
 
 
 @register("distinct_rows", f"WITH {CTE_STATIONS} SELECT DISTINCT county, area FROM stations")
