@@ -95,7 +95,7 @@ def gram_sums(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group:
     return df.dropna(subset=[*xs, group]).groupBy(group).agg(*sums)
 
 
-def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str, rounds: int = 3,
+def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str, rounds: int = 2,
              inflation: dict[str, float] | None = None) -> tuple[dict[str, MixedFit], DataFrame]:
     """Fixed effects by generalised least squares with a random intercept per group, for all
     responses in the same passes. Variance components by moments (between and within groups);
