@@ -24,10 +24,10 @@ def add_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> Dat
     for row in counts:
         starts.append((row["__pid"], seen))
         seen += row["c"]
-    if not starts:
-        return numbered.withColumn(name, F.lit(None).cast("long")).drop("__pid", "__pos")
-    offsets = F.create_map(*[F.lit(v) for kv in starts for v in kv])
-    return numbered.withColumn(name, offsets[F.col("__pid")] + F.col("__pos") + 1).drop("__pid", "__pos")
+    # One row per partition: Spark broadcasts this table while it is small and joins it by shuffle beyond that.
+    offsets = df.sparkSession.createDataFrame(starts, "__pid int, __start long")
+    numbered = numbered.withColumn("__pid", F.col("__pid").cast("int")).join(offsets, "__pid")
+    return numbered.withColumn(name, F.col("__start") + F.col("__pos") + 1).drop("__pid", "__pos", "__start")
 
 
 def split_key(key: Sequence[str], seed: int) -> Column:
