@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from simplexspark.llm.bpe import bpe_encode
 from simplexspark.llm.mixing import copy_counts
 from simplexspark.llm.text import n_words, table
+from simplexspark.llm.topk import exact_top_k
+from simplexspark.llm.urls import JUNK_WORDS, filter_urls, place_rule, word_rule
 
 
 def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,7 +42,49 @@ def op2_mix(spark: SparkSession, sf: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (count * F.col("size")).alias("taken"), "source", count.alias("copies"))
 
 
+def op3_topk(spark: SparkSession, sf: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) < 2.0**47, F.floor(x.cast("double") * 64).cast("double")).otherwise(x.cast("double") * 64))
+    rows = table(spark, sf, "embeddings").select("vec_id", whole.alias("v"))
+    return exact_top_k(rows.where("vec_id % 20 = 0"), rows, 20, "vec_id", "v")
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+#: The rules of the query.
+PLACES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op5_urls(spark: SparkSession, sf: str) -> DataFrame:
+    rules = [place_rule(*r) for r in PLACES] + [word_rule(w, "block") for w in JUNK_WORDS]
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(lower(host || path), '(^|[^a-z0-9])({"|".join(JUNK_WORDS)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_mix": (op2_mix, None),
+    "op3_topk": (op3_topk, OP3_SQL),
+    "op5_urls": (op5_urls, OP5_SQL),
 }
