@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -15,6 +16,8 @@ from simplexspark.llm.mixing import copy_counts
 from simplexspark.llm.text import n_words, table
 from simplexspark.llm.topk import exact_top_k
 from simplexspark.llm.urls import JUNK_WORDS, filter_urls, place_rule, word_rule
+from simplexspark.llm.warc import read_warc, web_records, write_warc
+from simplexspark.sources.stages import scratch_root
 
 
 def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +60,27 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 20
 """
 
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}"
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    write_warc(web_records(pages, "page_id", "url", F.encode("html", "UTF-8"), "page"), path)
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
+    number = lambda c: F.when(page(c) != "", page(c).cast("long"))
+    # A revisit carries digest and length of the payload that it leaves out; a response is measured as it was read.
+    again = F.col("record_type") == "revisit"
+    return read_warc(spark, path).select(
+        number("record_id").alias("page_id"), F.when(again, F.col("payload_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(again, F.substring_index("payload_digest", ":", -1)).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        "record_type", number("refers_to").alias("refers_to"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> f THEN f END AS refers_to FROM f
+"""
+
 #: The rules of the query.
 PLACES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -86,5 +110,6 @@ QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_mix": (op2_mix, None),
     "op3_topk": (op3_topk, OP3_SQL),
+    "op4_warc": (op4_warc, OP4_SQL),
     "op5_urls": (op5_urls, OP5_SQL),
 }
