@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simplexspark.llm.bpe import bpe_encode
+from simplexspark.llm.fingerprint import edited_pairs, likeness, to_hex
 from simplexspark.llm.mixing import copy_counts
 from simplexspark.llm.text import n_words, table
 from simplexspark.llm.topk import exact_top_k
@@ -106,10 +107,21 @@ FROM r
 """
 
 
+def op10_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = edited_pairs(docs, "doc_id", "text", buckets)
+    like = lambda other: likeness(F.col("fingerprint"), F.col(other))
+    return pairs.select(F.col("key").alias("doc_id"), "n_chars", "edited_sha256", to_hex(F.col("fingerprint")).alias("fingerprint"),
+                        to_hex(F.col("edited_fingerprint")).alias("edited_fingerprint"), like("edited_fingerprint").alias("near_edited"),
+                        like("next_fingerprint").alias("near_next"))
+
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_mix": (op2_mix, None),
     "op3_topk": (op3_topk, OP3_SQL),
     "op4_warc": (op4_warc, OP4_SQL),
     "op5_urls": (op5_urls, OP5_SQL),
+    "op10_fingerprint": (op10_fingerprint, None),
 }
