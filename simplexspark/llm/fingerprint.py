@@ -44,14 +44,17 @@ def packed_lanes(df: DataFrame, keys: list[str], text: Column, name: str) -> Dat
     Runs are exploded and summed by key: plain sums of single bits, combined on the map side, so a text of any length is
     a stream of rows and never an array of vectors.
     """
-    rows = df.select(*keys, exact_lanes(text).alias("exact"), F.explode_outer(word_runs(text)).alias("run"))
+    hashed = df.select(*keys, exact_lanes(text).alias("exact"), word_runs(text).alias("runs"))
+    # Lanes travel as plain numbers: an array among the sums would turn the hash aggregate into a sort of all runs.
+    exact = [f"e{i}" for i in range(EXACT)]
+    rows = hashed.select(*keys, *[F.get("exact", F.lit(i)).alias(e) for i, e in enumerate(exact)], F.explode_outer("runs").alias("run"))
     wide = rows.withColumn("run2", F.when(F.col("run").isNotNull(), F.xxhash64("run", F.lit(2))))
     # Bits i and i + 32 of a hash are summed in one number; neither half can overflow, as no text has 2^31 words.
     two = F.lit((1 << 32) | 1)
     sums = [F.coalesce(F.sum(F.shiftrightunsigned(c, i).bitwiseAND(two)), F.lit(0)).alias(f"{c}_{i}") for c in ("run", "run2") for i in range(32)]
-    out = wide.groupBy(*keys).agg(F.first("exact").alias("exact"), F.count("run").alias("n"), *sums)
+    out = wide.groupBy(*keys).agg(*[F.max(e).alias(e) for e in exact], F.count("run").alias("n"), *sums)
     halves = [h for c in ("run", "run2") for i in range(32) for h in (F.col(f"{c}_{i}").bitwiseAND(F.lit(MASK32)), F.shiftrightunsigned(f"{c}_{i}", 32))]
-    return out.select(*keys, F.concat("exact", F.array(*[F.pmod(h * 2 - F.col("n"), F.lit(1 << 16)) for h in halves])).alias(name))
+    return out.select(*keys, F.array(*exact, *[F.pmod(h * 2 - F.col("n"), F.lit(1 << 16)) for h in halves]).alias(name))
 
 
 def to_hex(lanes: Column) -> Column:
