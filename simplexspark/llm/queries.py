@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from simplexspark.llm.bpe import bpe_encode
 from simplexspark.llm.fingerprint import edited_pairs, likeness, to_hex
+from simplexspark.llm.html import extract_text
 from simplexspark.llm.mixing import copy_counts
 from simplexspark.llm.text import n_words, table
 from simplexspark.llm.topk import exact_top_k
@@ -107,6 +108,11 @@ FROM r
 """
 
 
+def op9_html(spark: SparkSession, sf: str) -> DataFrame:
+    pages = extract_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -123,5 +129,6 @@ QUERIES = {
     "op3_topk": (op3_topk, OP3_SQL),
     "op4_warc": (op4_warc, OP4_SQL),
     "op5_urls": (op5_urls, OP5_SQL),
+    "op9_html": (op9_html, None),
     "op10_fingerprint": (op10_fingerprint, None),
 }
