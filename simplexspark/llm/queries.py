@@ -15,6 +15,7 @@ from simplexspark.llm.bpe import bpe_encode
 from simplexspark.llm.fingerprint import edited_pairs, likeness, to_hex
 from simplexspark.llm.html import extract_text
 from simplexspark.llm.mixing import copy_counts
+from simplexspark.llm.neardup import near_classes
 from simplexspark.llm.text import n_words, table
 from simplexspark.llm.topk import exact_top_k
 from simplexspark.llm.urls import JUNK_WORDS, filter_urls, place_rule, word_rule
@@ -108,6 +109,23 @@ FROM r
 """
 
 
+def op6_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_classes(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), e AS (SELECT doc_id, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id
+  JOIN n nb ON nb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*)))
+"""
+OP6_SQL = OP6_SQL.replace("WITH w", "WITH RECURSIVE w") + """, r AS (SELECT doc_id AS a, doc_id AS c FROM n UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a)
+SELECT n.doc_id, n.n AS n_shingles, min(c) AS component_id, n.doc_id = min(c) AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 def op9_html(spark: SparkSession, sf: str) -> DataFrame:
     pages = extract_text(table(spark, sf, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -129,6 +147,7 @@ QUERIES = {
     "op3_topk": (op3_topk, OP3_SQL),
     "op4_warc": (op4_warc, OP4_SQL),
     "op5_urls": (op5_urls, OP5_SQL),
+    "op6_neardup": (op6_neardup, OP6_SQL),
     "op9_html": (op9_html, None),
     "op10_fingerprint": (op10_fingerprint, None),
 }
