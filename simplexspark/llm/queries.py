@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from simplexspark.llm.bpe import bpe_encode
 from simplexspark.llm.fingerprint import edited_pairs, likeness, to_hex
 from simplexspark.llm.html import extract_text
+from simplexspark.llm.lm import score_texts
 from simplexspark.llm.mixing import copy_counts
 from simplexspark.llm.neardup import near_classes
 from simplexspark.llm.text import n_words, table
@@ -126,6 +127,10 @@ SELECT n.doc_id, n.n AS n_shingles, min(c) AS component_id, n.doc_id = min(c) AS
 """
 
 
+def op7_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op9_html(spark: SparkSession, sf: str) -> DataFrame:
     pages = extract_text(table(spark, sf, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -148,6 +153,7 @@ QUERIES = {
     "op4_warc": (op4_warc, OP4_SQL),
     "op5_urls": (op5_urls, OP5_SQL),
     "op6_neardup": (op6_neardup, OP6_SQL),
+    "op7_lm": (op7_lm, None),
     "op9_html": (op9_html, None),
     "op10_fingerprint": (op10_fingerprint, None),
 }
