@@ -17,6 +17,7 @@ from simplexspark.llm.html import extract_text
 from simplexspark.llm.lm import score_texts
 from simplexspark.llm.mixing import copy_counts
 from simplexspark.llm.neardup import near_classes
+from simplexspark.llm.quality import grade_of, rate_quality, train
 from simplexspark.llm.text import n_words, table
 from simplexspark.llm.topk import exact_top_k
 from simplexspark.llm.urls import JUNK_WORDS, filter_urls, place_rule, word_rule
@@ -131,6 +132,15 @@ def op7_lm(spark: SparkSession, sf: str) -> DataFrame:
     return score_texts(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+KEEP_TAIL = 0.5
+
+
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf, "labels"), grade_of(), 3)
+    return rate_quality(docs, model).select("doc_id", "expected_grade", "tail", (F.col("tail") >= KEEP_TAIL).alias("kept"))
+
+
 def op9_html(spark: SparkSession, sf: str) -> DataFrame:
     pages = extract_text(table(spark, sf, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -154,6 +164,7 @@ QUERIES = {
     "op5_urls": (op5_urls, OP5_SQL),
     "op6_neardup": (op6_neardup, OP6_SQL),
     "op7_lm": (op7_lm, None),
+    "op8_quality": (op8_quality, None),
     "op9_html": (op9_html, None),
     "op10_fingerprint": (op10_fingerprint, None),
 }
