@@ -165,12 +165,13 @@ def bpe_decode(df: DataFrame, tokenizer: str, ids_col: str = "token_ids", text_c
     fields = [f for f in df.schema.fields if f.name != text_col]
     kept = df.select(*[F.col(f"`{f.name}`") for f in fields])
     schema = kept.select("*", F.lit(None).cast("string").alias(text_col)).schema
-    at = [f.name for f in fields].index(ids_col)
+    names = [*[f.name for f in fields], text_col]
+    at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = Bpe(spec.value).strings
         for batch in batches:
             texts = [None if v is None else " ".join(strings[i] for i in v) for v in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept.columns, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return kept.mapInArrow(run, schema)

@@ -145,7 +145,8 @@ def rate_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
     fields = [f for f in docs.schema.fields if f.name not in new or f.name == text_col]
     kept = docs.select(*[F.col(f"`{f.name}`") for f in fields])
     schema = kept.select("*", F.lit(0.0).alias(new[0]), F.lit(0.0).alias(new[1])).schema
-    at = kept.columns.index(text_col)
+    names = [*kept.columns, *new]
+    at = names.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def rate_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
         for batch in batches:
             z = np.array([weights[features.of(x.as_py())].sum() for x in batch.column(at)])
             up = 1 / (1 + np.exp(np.clip(thresholds[None, :] - z[:, None], -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(up.sum(axis=1)), pa.array(up[:, -1])], names=[*kept.columns, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(up.sum(axis=1)), pa.array(up[:, -1])], names=names)
 
     return kept.mapInArrow(run, schema)
 
