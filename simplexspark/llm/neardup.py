@@ -3,12 +3,12 @@
 1. Every whole text becomes its set of word shingles, ``MINIMA`` minima of it, ``BANDS`` band keys made of full minima, and
    a signature of the low ``BITS`` bits of each minimum, packed into a few long numbers.
 2. Equal sets are one class from here on, so exact copies cost one entry however many there are.
-3. Classes that share a band key are candidates. First each one meets only the centre of its bucket; what is linked so far
-   becomes one component, and buckets that lie in one component are done. In the others new centres are tried while that
-   links anything and much is left; what is left then is compared in tiles across components. No pair within a component
-   is ever formed, and no link between components is lost: a link matters only if it joins two of them.
+3. Classes that share a band key are candidates. First each one meets three centres of its bucket (the smallest number and
+   two chosen by hash). What is linked by that is one component so far; buckets that are all one component are done. In the others what lies in different components is compared in tiles. No pair within a known component is
+   formed again, and no link between components is lost: a link matters only if it joins two of them.
 4. A candidate's similarity is estimated from bit counts of the packed signatures, corrected for low bits that agree by
-   chance; only estimates within five standard errors of the threshold or above it go on.
+   chance; only estimates within four standard errors of the threshold or above it go on, and only sets whose sizes allow
+   the similarity at all.
 5. Those are confirmed on the full sets, and components of confirmed links are found by alternating stars.
 
 Candidates are missed only where no band agrees: (1 - s^4)^32 for similarity s, 5 in a million at 0.75 and fewer above.
@@ -30,14 +30,18 @@ from simplexspark.sources.stages import cut
 SHINGLE, MINIMA, ROWS, BITS = 5, 128, 4, 4
 BANDS, LONGS = MINIMA // ROWS, MINIMA * BITS // 64
 PERCENT = 75
-#: Least number of agreeing low bits of a candidate: the threshold less five standard errors, with the chance 2^-BITS.
-LEAST = int(MINIMA * ((PERCENT / 100 - 0.2) * (1 - 2.0**-BITS) + 2.0**-BITS))
-#: Cross-component pairs a member of a bucket may be left with before tiles take over from centres.
-PAIRS_EACH, TILE = 32, 256
+#: Least number of agreeing low bits of a candidate: the threshold less four standard errors, with the chance 2^-BITS.
+LEAST = int(MINIMA * ((PERCENT / 100 - 0.16) * (1 - 2.0**-BITS) + 2.0**-BITS))
+TILE = 1024
+#: Minima of the second signature, and the least number that agree: again four standard errors below the threshold.
+FINE = 1024
+FINE_LEAST = int(FINE * ((PERCENT / 100 - 0.16 * (MINIMA / FINE) ** 0.5) * (1 - 2.0**-BITS) + 2.0**-BITS))
 
 _random = np.random.Generator(np.random.PCG64(20))
 _factor = _random.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _offset = _random.integers(0, 2**63, MINIMA, dtype=np.uint64)
+_fine_factor = _random.integers(1, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_fine_offset = _random.integers(0, 2**63, FINE, dtype=np.uint64)
 _place = _random.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -55,11 +59,11 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix64(total))
 
 
-def minima(shingles: np.ndarray, step: int = 1024) -> np.ndarray:
-    best = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+def minima(shingles: np.ndarray, step: int = 1024, factor: np.ndarray = _factor, offset: np.ndarray = _offset) -> np.ndarray:
+    best = np.full(len(factor), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), step):
-        part = shingles[i:i + step, None] * _factor
-        part += _offset
+        part = shingles[i:i + step, None] * factor
+        part += offset
         np.minimum(best, part.min(axis=0), out=best)
     return best
 
@@ -123,22 +127,31 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b of nodes) that are links. Texts of the nodes in question are fetched once, and only theirs."""
-    pairs = cut(pairs, "near-pairs")
-    asked = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"), "near-asked")
-    texts = docs.join(asked.select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th")),
-                      (F.col("th") == F.col("r_th")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
-    texts = cut(texts.select("node", "text").dropDuplicates(["node"]), "near-texts")
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose ``texts`` (node, text) are links."""
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return cut(both.mapInArrow(confirmed, "a long, b long"), "near-links")
 
 
+def candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes``, one row each. The list of nodes grows with the corpus, so it is never broadcast: each
+    text is shuffled once, and only those asked for are written."""
+    asked = nodes.select("node", F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th"))
+    found = docs.hint("merge").join(asked, (F.col("th") == F.col("r_th")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+    return cut(found.select("node", "text").dropDuplicates(["node"]), "near-texts")
+
+
+def possible(a: str, b: str) -> Column:
+    """Whether two classes (structs of n and packed) can be similar enough: sizes allow it and the estimate is near."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (agreeing(f"{a}.packed", f"{b}.packed") >= LEAST)
+
+
 def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose estimate is not too low."""
-    left, right = (nodes.select(F.col("node").alias(c), F.col("packed").alias(f"p{c}")) for c in ("a", "b"))
-    return pairs.join(right, "b").join(left, "a").where(agreeing("pa", "pb") >= LEAST).select("a", "b")
+    left, right = (nodes.select(F.col("node").alias(c), F.struct("n", "packed").alias(f"s{c}")) for c in ("a", "b"))
+    return cut(pairs.join(right, "b").join(left, "a").where(possible("sa", "sb")).select("a", "b"), "near-pairs")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -148,17 +161,16 @@ def components(links: DataFrame) -> DataFrame:
     node itself. Repeated until nothing changes, every component is a star around its root.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-edges")
-    mark = None
     while True:
+        if edges.join(edges.select(F.col("u").alias("child")), F.col("v") == F.col("child"), "left_semi").isEmpty() and \
+                edges.groupBy("u").count().where("count > 1").isEmpty():  # roots have no parent, others have one
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         sides = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "near-least")
+        least = sides.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = cut(sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "near-large")
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "near-least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").distinct(), "near-edges")
-        before, mark = mark, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,34 +190,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.first("packed").alias("packed"), F.first("bands").alias("bands"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")  # the ids are fixed by this write
     keyed = nodes.select("node", F.explode("bands").alias("bucket"))
-    centres = cut(keyed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"), "near-centres")
-    members = cut(keyed.join(centres.select("bucket", "centre"), "bucket"), "near-members")
-    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirm(promising(pairs, nodes), nodes, docs)
-    attempt = 0
-    while True:
-        roots = components(links)
-        attempt += 1
-        placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        each = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        open_ = each.groupBy("bucket").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = cut(open_, "near-open")
-        size, cross = open_.agg(F.sum("size"), F.sum(F.col("size") * F.col("size") - F.col("within"))).first()
-        if not size:
-            break
-        placed = cut(placed.join(open_.select("bucket", "size"), "bucket"), "near-placed")
-        if cross <= 2 * PAIRS_EACH * size:
-            links = links.union(across(placed, nodes, docs))
-            roots = components(links)
-            break
-        chosen = cut(placed.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(attempt))).alias("c")), "near-centres")
-        pairs = placed.join(chosen, "bucket").where(F.col("root") != F.col("c.root")).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-        more = confirm(promising(pairs, nodes), nodes, docs)
-        if more.isEmpty():
-            links = links.union(across(placed, nodes, docs))
-            roots = components(links)
-            break
-        links = cut(links.union(more), "near-links")
+    by_hash = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in (1, 2)]
+    centres = keyed.groupBy("bucket").agg(F.array_distinct(F.array(F.min("node"), *by_hash)).alias("centres"), F.count("*").alias("size")).where("size > 1")
+    members = cut(keyed.join(centres, "bucket"), "near-members")
+    asked = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    texts = candidate_texts(docs, asked)
+    pairs = members.select(F.explode("centres").alias("a"), F.col("node").alias("b")).where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = confirm(promising(pairs, nodes), texts)
+    roots = components(links)
+    placed = cut(members.select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
+    main = F.min_by("root", F.xxhash64("node")).alias("main")
+    unsettled = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), main).where("low <> high")
+    links = links.union(across(cut(placed.join(unsettled.select("bucket", "main"), "bucket"), "near-unsettled"), texts))
+    roots = components(links)
     rooted = nodes.select("node", "known", "rep", *same).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut(rooted, "near-rooted")
     first = cut(rooted.groupBy("root").agg(F.coalesce(F.min("known"), F.min("rep")).alias("first")), "near-first")
@@ -216,14 +214,50 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), stands.alias("first"))
 
 
-def across(placed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between members of a bucket that lie in different components. A large bucket is cut into tiles: one side is
-    dealt to them, the other stands in each; the estimate is part of the join, so only what passes it becomes a row."""
-    signed = placed.join(nodes.select("node", "packed"), "node").withColumn("tiles", F.ceil(F.col("size") / TILE))
-    left = signed.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("packed").alias("pa"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"))
-    right = signed.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("packed").alias("pb"), F.explode(F.expr("sequence(0L, tiles - 1)")).alias("tile"))
-    pairs = left.join(right, ["bucket", "tile"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (agreeing("pa", "pb") >= LEAST))
-    return confirm(pairs.select("a", "b").distinct(), nodes, docs)
+def across(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of a bucket that lie in different components.
+
+    Of two such members at least one lies outside the bucket's main component (that of a member chosen by hash, so mostly
+    its largest one). Those stand on the left and meet all members. A large bucket is cut into tiles: the left side is
+    dealt to them, the right one in halves to each. A family of texts that share much, but not enough, fills buckets
+    with pairs just below the threshold, so here signatures of ``FINE`` minima decide which pairs are confirmed."""
+    asked = cut(texts.join(placed.select("node").distinct(), "node", "left_semi").mapInArrow(fine_signatures, "node long, n long, fine binary"), "near-fine")
+    signed = placed.join(asked, "node").withColumn("tiles", F.ceil(F.col("size") / TILE))
+    cells = F.expr("sequence(0L, tiles - 1)")
+    left = signed.where("root <> main").select("bucket", "node", "root", "n", "fine", F.lit(False).alias("inside"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("i"), F.explode(cells).alias("j"))
+    right = signed.select(*[F.col(c).alias(c) for c in ("bucket", "node", "root", "n", "fine")], (F.col("root") == F.col("main")).alias("inside"), F.explode(cells).alias("i"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("j"))
+    key = ["bucket", "i", "j"]
+    pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(near_in_tile, "a long, b long")
+    return confirm(cut(pairs.distinct(), "near-pairs"), texts)
+
+
+def fine_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        sets = [shingle_set(t.as_py(), hashes) for t in batch.column(1)]
+        low = [(minima(s, 128, _fine_factor, _fine_offset) & np.uint64(2**BITS - 1)).reshape(FINE * BITS // 64, -1) << np.arange(0, 64, BITS, dtype=np.uint64) for s in sets]
+        packed = [np.bitwise_or.reduce(x, axis=1).tobytes() for x in low]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], names=["node", "n", "fine"])
+
+
+def near_in_tile(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of a tile from different components whose sizes and fine signatures allow a link."""
+    out_a, out_b = [], []
+    if left.num_rows and right.num_rows:
+        a, ra, na, b, rb, nb = (t[c].to_numpy() for t in (left, right) for c in ("node", "root", "n"))
+        inside = right["inside"].to_numpy()
+        sa, sb = (np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint64).reshape(t.num_rows, -1) for t in (left, right))
+        ones = np.uint64(0x1111111111111111)
+        for i in range(len(a)):
+            maybe = np.flatnonzero((rb != ra[i]) & (inside | (a[i] < b)) & (100 * np.minimum(nb, na[i]) >= PERCENT * np.maximum(nb, na[i])))
+            x = sb[maybe] ^ sa[i]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            unlike = np.bitwise_count(x & ones).sum(axis=1, dtype=np.int64)
+            hit = b[maybe[FINE - unlike >= FINE_LEAST]]
+            out_a.append(np.minimum(hit, a[i]))
+            out_b.append(np.maximum(hit, a[i]))
+    return pa.table({"a": np.concatenate(out_a) if out_a else np.empty(0, np.int64), "b": np.concatenate(out_b) if out_b else np.empty(0, np.int64)})
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
