@@ -135,9 +135,14 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def observed(c: Column | str) -> Column:
+    """Whether a part was measured: positive and not NaN. Null, zero and negative ones count as missing everywhere."""
+    return F.coalesce((as_col(c) > 0) & ~F.isnan(as_col(c)), F.lit(False))
+
+
 def count_observed(cols: Sequence[str]) -> Column:
-    """Number of non-null values among the columns of a row."""
-    return reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in cols])
+    """Number of observed parts among the columns of a row."""
+    return reduce(lambda a, b: a + b, [observed(c).cast("int") for c in cols])
 
 
 def row_mean(cols: Sequence[str]) -> Column:

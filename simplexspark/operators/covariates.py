@@ -49,8 +49,8 @@ def attach_climate(frame: DataFrame, tables: Sequence[DataFrame], member: str =
 def station_places(panel: DataFrame, station: str = "station", repair: Mapping[str, str] | None = None) -> DataFrame:
     """Distinct station, municipality and county of the raw panel, with truncated
     municipality names repaired."""
-    places = panel.select(station, "municipality", "county").distinct()
-    return places.withColumn("municipality", recode("municipality", repair)) if repair else places
+    places = panel.select(station, "municipality", "county")
+    return (places.withColumn("municipality", recode("municipality", repair)) if repair else places).distinct()
 
 
 def attach_station_covariates(panel: DataFrame, covariates: DataFrame, carry: Sequence[str],

@@ -7,6 +7,7 @@ Both follow Hron, Templ & Filzmoser (2010).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -14,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplexspark.functions.scalars import count_observed
+from simplexspark.functions.scalars import count_observed, observed
 from simplexspark.functions.simplex import add_all, contrast, log_part, pivot_signs, sbp_basis
 from simplexspark.operators.joins import null_safe_join
 from simplexspark.operators.knn import knn_join
@@ -68,7 +69,7 @@ def knn_candidates(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: i
     """Imputed value of every missing cell of rows with at least two parts: (__row, j, value,
     donors). Only originally observed values are donors."""
     parts = list(parts)
-    rows = (df.select(*dict.fromkeys([*block, *key]), *[F.when(F.col(p) > 0, F.col(p)).alias(p) for p in parts])
+    rows = (df.select(*dict.fromkeys([*block, *key]), *[F.when(observed(p), F.col(p)).alias(p) for p in parts])
             .withColumns({"__mask": observed_mask(parts), "__row": F.struct(*key)}))
     masks = [r[0] for r in rows.filter(count_observed(parts).between(2, len(parts) - 1))
              .select("__mask").distinct().collect()]  # at most 2^D patterns
@@ -107,7 +108,7 @@ def impute_knn(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int =
     Adds ``<part>_imputed`` flags. The whole table is searched unless ``block`` narrows it.
     ``key`` must be unique. A cell without any donor stays null."""
     parts = list(parts)
-    flags = {f"{p}_imputed": F.col(p).isNull() | ~(F.col(p) > 0) for p in parts}
+    flags = {f"{p}_imputed": ~observed(p) for p in parts}
     cells = knn_candidates(df, parts, key, k, block)
     if cells is None:
         return df.withColumns(flags)
@@ -122,12 +123,12 @@ def pivot_order(parts: Sequence[str], first: str) -> list[str]:
     return [first, *[p for p in parts if p != first]]
 
 
-def impute_robust(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int = 5, max_iter: int = 5,
+def impute_robust(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int = 5, max_iter: int = 50,
                   tol: float = 0.01, trim: float = 0.5) -> DataFrame:
     """Start from the kNN fill, then cycle over the parts: regress the first pivot coordinate
     of part j on the others by least trimmed squares over rows where j was observed, and
     replace the missing ones by their prediction. Ends when the root mean square change of
-    the imputed log-ratios falls below ``tol`` or after ``max_iter`` sweeps."""
+    the imputed log-ratios falls below ``tol``; warns if that takes more than ``max_iter`` sweeps."""
     parts, d = list(parts), len(parts)
     flags = [f"{p}_imputed" for p in parts]
     filled = impute_knn(df, parts, key, k)
@@ -158,6 +159,8 @@ def impute_robust(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: in
         worst = max([c for c in change if c is not None], default=0.0)
         if np.sqrt(worst) < tol:
             break
+    else:
+        warnings.warn(f"imputed parts still moved by {np.sqrt(worst):.3g} after {max_iter} sweeps", stacklevel=2)
     levels = state.select(*key, *flags, *[F.exp(p).alias(f"__v_{p}") for p in parts])
     return null_safe_join(df, levels, key, "left").select(
         *[F.when(~F.col(f"{c}_imputed"), F.col(c)).otherwise(F.col(f"__v_{c}")).alias(c) if c in parts else F.col(c)
@@ -170,7 +173,7 @@ def compare_imputations(before: DataFrame, fills: dict[str, DataFrame], key: Seq
     same panel, closed to 1 so that they are comparable. Provenance and values are carried in
     one row per case; each fill costs one join on the key."""
     keep = list(dict.fromkeys([*key, *attributes]))
-    out = before.select(*keep, *[F.col(p).isNull().alias(f"__na_{p}") for p in parts])
+    out = before.select(*keep, *[(~observed(p)).alias(f"__na_{p}") for p in parts])
     for m, fill in fills.items():
         whole = add_all([F.col(p) for p in parts]) if close else F.lit(1.0)
         out = out.join(fill.select(*key, *[F.try_divide(F.col(p), whole).alias(f"__{m}_{p}") for p in parts]), list(key))

@@ -7,6 +7,7 @@ one aggregate of sums over the rows below it; only a handful of numbers reach th
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -63,38 +64,38 @@ def _residual2(y: str, xs: Sequence[str], beta: np.ndarray) -> Column:
     return F.expr(f"pow({y} - ({fit}), 2)")
 
 
-START_ROWS = 1500
-
-
-def _lts_start(rows: np.ndarray, tries: int = 300, keep: int = 10) -> np.ndarray:
-    """Best start among exact fits of random minimal subsets, each improved by two
-    concentration steps, on a bounded sample of rows (Rousseeuw & Van Driessen 2006)."""
-    rng = np.random.default_rng(1714)
-    y, x = rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]])
-    n, p = x.shape
-    h = (n + p + 1) // 2
-    best: list[tuple[float, np.ndarray]] = []
-    for _ in range(tries):
-        at = rng.choice(n, p, replace=False)
-        beta = np.linalg.lstsq(x[at], y[at], rcond=None)[0]
-        near = np.argpartition((y - x @ beta) ** 2, h - 1)[:h]
-        beta = np.linalg.lstsq(x[near], y[near], rcond=None)[0]
-        best.append((np.partition((y - x @ beta) ** 2, h - 1)[:h].sum(), beta))
-    final = []
-    for _, beta in sorted(best, key=lambda t: t[0])[:keep]:
-        for _ in range(20):
-            near = np.argpartition((y - x @ beta) ** 2, h - 1)[:h]
-            beta = np.linalg.lstsq(x[near], y[near], rcond=None)[0]
-        final.append((np.partition((y - x @ beta) ** 2, h - 1)[:h].sum(), beta))
-    return min(final, key=lambda t: t[0])[1]
+def _medians(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    long = df.unpivot([], [F.col(c) for c in cols], "variable", "value")
+    found = {r["variable"]: r["m"] for r in exact_quantiles(long, ["variable"], "value", [0.5], ["m"]).collect()}
+    return np.array([found[c] for c in cols], float)
+
+
+def _robust_shapes(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Medians, scaled median deviations, and two bounded-influence correlation matrices over
+    all rows: of hyperbolic tangents and of spatial signs (Hubert, Rousseeuw & Verdonck 2012).
+    A column that is constant on more than half of the rows has deviation 0 and is left
+    unscaled in the matrices."""
+    med = _medians(df, cols)
+    scale = 1.4826 * _medians(df.select(*[F.abs(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(cols, med)]), cols)
+    scaled = {c: (F.col(c) - F.lit(float(m))) / F.lit(float(s or 1.0)) for c, m, s in zip(cols, med, scale)}
+    length = F.sqrt(add_all([v * v for v in scaled.values()]))
+    _, tanh = moments(df.select(*[F.tanh(v).alias(c) for c, v in scaled.items()]), cols)
+    _, sign = moments(df.select(*[F.coalesce(F.try_divide(v, length), F.lit(0.0)).alias(c) for c, v in scaled.items()]), cols)
+    shapes = []
+    for shape in (tanh, sign):
+        if (np.diag(shape) > 0).all():
+            corr = shape / np.sqrt(np.outer(np.diag(shape), np.diag(shape)))
+            if np.linalg.eigvalsh(corr)[0] > 1e-8:
+                shapes.append(corr)
+    return med, scale, shapes
 
 
 def lts_fit(df: DataFrame, y: str, xs: Sequence[str], trim: float = 0.5, start: np.ndarray | None = None,
-            max_steps: int = 10, tol: float = 1e-4) -> np.ndarray:
+            max_steps: int = 100, tol: float = 1e-4) -> np.ndarray:
     """Least trimmed squares: intercept and slopes minimising the sum of the h smallest
-    squared residuals. The start comes from ``start`` or from a sample of at most START_ROWS
-    rows; every concentration step then runs over all rows until the objective settles. A
-    final pass drops residuals beyond 2.5 robust scales."""
+    squared residuals. It starts from ``start``, or from the best of four fits of all rows (least
+    squares, medians, two bounded-influence ones); concentration steps over all rows follow
+    until the objective settles. A final pass drops residuals beyond 2.5 robust scales."""
     df = df.select(y, *xs).dropna()
     centre, cov = moments(df, [y, *xs])
     n, p = df.count(), len(xs) + 1
@@ -110,17 +111,20 @@ def lts_fit(df: DataFrame, y: str, xs: Sequence[str], trim: float = 0.5, start:
         return _solve(mean, cov), objective
 
     if start is None:
-        key = F.xxhash64(y, *xs)
-        few = df.withColumn("__h", key).filter(F.pmod("__h", F.lit(max(1, n // (2 * START_ROWS)))) == 0)
-        sample = few.orderBy("__h").drop("__h").limit(START_ROWS).collect()
-        start = _lts_start(np.array(sample, float)) if len(sample) > 2 * p else _solve(centre, cov)
-    beta, objective = step(start)
+        med, mad, shapes = _robust_shapes(df, [y, *xs])
+        mad = np.where(mad > 0, mad, scale)
+        starts = [_solve(centre, cov), _solve(med, np.diag(mad ** 2)), *[_solve(med, c * np.outer(mad, mad)) for c in shapes]]
+        beta, objective = min([step(step(b)[0]) for b in starts], key=lambda t: t[1])
+    else:
+        beta, objective = step(start)
     now = objective
     for _ in range(max_steps):
         beta, now = step(beta)
         if objective - now <= tol * max(objective, 1e-300):
             break
         objective = now
+    else:
+        warnings.warn(f"trimmed fit of {y} had not settled after {max_steps} steps", stacklevel=2)
     # Consistency factor of the h smallest squares under normal errors.
     q = chi2_quantile(h / n, 1) if h < n else math.inf
     factor = h / n / gamma_p(1.5, q / 2) if h < n else 1.0
@@ -139,7 +143,7 @@ def mahalanobis2(cols: Sequence[str], centre: np.ndarray, scatter: np.ndarray) -
     return F.expr(" + ".join(f"pow({x}, 2)" for x in lines))
 
 
-def robust_location_scatter(df: DataFrame, cols: Sequence[str], max_steps: int = 15,
+def robust_location_scatter(df: DataFrame, cols: Sequence[str], max_steps: int = 100,
                             tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
     """Minimum covariance determinant with h = (n+p+1)/2, from three deterministic starts
     (Hubert, Rousseeuw & Verdonck 2012), made consistent at the normal and reweighted once
@@ -150,25 +154,11 @@ def robust_location_scatter(df: DataFrame, cols: Sequence[str], max_steps: int =
     h = (n + p + 1) // 2
     if n <= 2 * p:
         raise ValueError(f"{n} rows are too few for {p} columns")
-    long = df.unpivot([], [F.col(c) for c in cols], "variable", "value")
-    med = {r["variable"]: r["m"] for r in exact_quantiles(long, ["variable"], "value", [0.5], ["m"]).collect()}
-    dev = df.select(*[F.abs(F.col(c) - F.lit(float(med[c]))).alias(c) for c in cols])
-    mads = {r["variable"]: r["m"] for r in exact_quantiles(
-        dev.unpivot([], [F.col(c) for c in cols], "variable", "value"), ["variable"], "value", [0.5], ["m"]).collect()}
-    for c in cols:
-        if not mads[c]:
+    centre, scale, shapes = _robust_shapes(df, cols)
+    for c, v in zip(cols, scale):
+        if not v:
             raise ValueError(f"column {c} is constant on more than half of the rows")
-    centre = np.array([med[c] for c in cols])
-    scale = np.array([1.4826 * mads[c] for c in cols])
-    scaled = {c: (F.col(c) - F.lit(float(med[c]))) / F.lit(float(s)) for c, s in zip(cols, scale)}
-    length = F.sqrt(add_all([v * v for v in scaled.values()]))
-    _, tanh = moments(df.select(*[F.tanh(v).alias(c) for c, v in scaled.items()]), cols)
-    _, sign = moments(df.select(*[F.coalesce(F.try_divide(v, length), F.lit(0.0)).alias(c) for c, v in scaled.items()]), cols)
-    starts = [np.diag(scale ** 2)]
-    for shape in (tanh, sign):
-        corr = shape / np.sqrt(np.outer(np.diag(shape), np.diag(shape)))
-        if np.linalg.eigvalsh(corr)[0] > 1e-8:
-            starts.append(corr * np.outer(scale, scale))
+    starts = [np.diag(scale ** 2), *[corr * np.outer(scale, scale) for corr in shapes]]
 
     def step(m: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = df.withColumn("__d2", mahalanobis2(cols, m, s))
@@ -183,6 +173,8 @@ def robust_location_scatter(df: DataFrame, cols: Sequence[str], max_steps: int =
         if det - new <= tol * det:
             break
         m, s, det = m2, s2, new
+    else:
+        warnings.warn(f"location and scatter had not settled after {max_steps} steps", stacklevel=2)
     s = s * _consistency(h / n, p)
     cutoff = chi2_quantile(0.975, p)
     m, s = moments(df.filter(mahalanobis2(cols, m, s) <= cutoff), cols, sample=True)

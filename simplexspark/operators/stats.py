@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simplexspark.functions.scalars import count_observed
+from simplexspark.functions.scalars import count_observed, observed
 from simplexspark.operators.joins import null_safe_join
 from simplexspark.operators.quantiles import exact_quantiles
 from simplexspark.operators.reshape import unpivot
@@ -125,5 +125,5 @@ def n_observed(df: DataFrame, parts: Sequence[str], name: str = "n_observed") ->
 
 def flag_imputed(before: DataFrame, key: Sequence[str], parts: Sequence[str]) -> DataFrame:
     """Provenance of every cell: key, part, Original or Imputed."""
-    flags = [F.when(F.col(p).isNull(), F.lit("Imputed")).otherwise(F.lit("Original")).alias(p) for p in parts]
+    flags = [F.when(observed(p), F.lit("Original")).otherwise(F.lit("Imputed")).alias(p) for p in parts]
     return unpivot(before.select(*key, *flags), key, parts, "part", "origin")

@@ -9,6 +9,7 @@ Prediction is local kriging on a bounded set of neighbours per target.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -95,11 +96,12 @@ def gram_sums(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group:
     return df.dropna(subset=[*xs, group]).groupBy(group).agg(*sums)
 
 
-def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str, rounds: int = 2,
-             inflation: dict[str, float] | None = None) -> tuple[dict[str, MixedFit], DataFrame]:
+def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str, max_rounds: int = 100,
+             tol: float = 1e-8, inflation: dict[str, float] | None = None) -> tuple[dict[str, MixedFit], DataFrame]:
     """Fixed effects by generalised least squares with a random intercept per group, for all
     responses in the same passes. Variance components by moments (between and within groups);
-    each round refreshes the components and then the coefficients. Also returns the group
+    each round refreshes the components and then the coefficients, until the components settle to
+    ``tol``; one job over the group table a round. Also returns the group
     effects (group, and per response u_<y>, uvar_<y>): means shrunk by n*su2/(n*su2+se2).
     ``inflation`` multiplies the variance of a group mean when rows of a group are correlated,
     as the months of a station are; without it that correlation is taken for group effects."""
@@ -136,18 +138,32 @@ def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group:
         """Sum of residuals of a group."""
         return F.col(f"y0_{r}") - add_all([F.lit(float(b)) * F.col(f"c0_{i}_{r}") for i, b in enumerate(beta[r])])
 
-    for _ in range(rounds):
-        parts = totals([e for r in range(len(n)) for e in (
-            F.sum(F.try_divide(rest(r) * rest(r), F.col(f"c0_0_{r}"))), F.sum(rest(r)),
-            F.sum(F.col(f"c0_0_{r}") ** 2), F.count_if(F.col(f"c0_0_{r}") > 0))], 4)
+    # Sums over groups of products of (y, 1, x...) totals by size: the between sum of squares is a form in these.
+    def total(i: int, r: int) -> Column:
+        return F.col(f"c0_{i - 1}_{r}") if i else F.col(f"y0_{r}")
+
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    shared = totals([e for r in range(len(n)) for e in (
+        *[F.sum(F.try_divide(total(i, r) * total(j, r), F.col(f"c0_0_{r}"))) for i, j in pairs],
+        F.sum(F.col(f"c0_0_{r}") ** 2), F.count_if(F.col(f"c0_0_{r}") > 0))], len(pairs) + 2)
+    form = [np.zeros((p + 1, p + 1)) for _ in n]
+    for r, values in enumerate(shared):
+        for (i, j), v in zip(pairs, values):
+            form[r][i, j] = form[r][j, i] = v
+    for _ in range(max_rounds):
+        old = [*su2, *se2]
         for r in range(len(n)):
-            between, plain, n2, groups = parts[r]
+            n2, groups = shared[r][-2:]
+            part = np.concatenate([[1.0], -beta[r]])
+            between, plain = part @ form[r] @ part, cy[r][0] - beta[r] @ c[r][0]
             ss = yy[r] - 2 * beta[r] @ cy[r] + beta[r] @ c[r] @ beta[r]
             se2[r] = max((ss - between) / max(1.0, n[r] - groups), 1e-300)
             msb = (between - plain ** 2 / n[r]) / max(1.0, groups - 1)
             n0 = (n[r] - n2 / n[r]) / max(1.0, groups - 1)
             se2[r] *= (inflation or {}).get(responses[r], 1.0)
             su2[r] = max(0.0, (msb - se2[r]) / n0) if groups > 1 and n0 > 0 else 0.0
+        if all(abs(a - b) <= tol * (su2[k % len(n)] + se2[k % len(n)]) for k, (a, b) in enumerate(zip(old, [*su2, *se2]))):
+            break
         weight = [F.lit(su2[r] / se2[r]) / (F.lit(se2[r]) + F.col(f"c0_0_{r}") * F.lit(su2[r])) for r in range(len(n))]
         dev = totals([F.sum(weight[r] * F.col(f"c0_{i}_{r}") * other) for r in range(len(n))
                       for i, other in [*[(i, F.col(f"c0_{j}_{r}")) for i, j in ij],
@@ -156,6 +172,8 @@ def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group:
             a = c[r] / se2[r] - square(dev[r][:len(ij)])
             cov[r] = np.linalg.pinv(a)
             beta[r] = cov[r] @ (cy[r] / se2[r] - dev[r][len(ij):])
+    else:
+        warnings.warn(f"variance components had not settled after {max_rounds} rounds", stacklevel=2)
     fits = {y: MixedFit(y, xs, centre, scale, beta[r], cov[r], se2[r], su2[r], int(n[r]))
             for r, y in enumerate(responses)}
     spread = [F.lit(se2[r]) + F.coalesce(F.col(f"c0_0_{r}"), F.lit(0.0)) * F.lit(su2[r]) for r in range(len(n))]

@@ -267,7 +267,7 @@ CTE_ACF = f"""{CTE_SERIES}, acf AS (SELECT a.variable, a.n, l.lag, sum((a.v - a.
 
 def coordinate_acf(spark, sf, by=()):
     long = reshape.unpivot(tspace(spark, sf), KEY, COORDS)
-    return ranking.acf(long, "value", KEY, 23, ["variable", *by])
+    return ranking.acf(long, "value", [k for k in KEY if k not in by], 23, ["variable", *by])
 
 
 @register("autocorrelation", f"""WITH {CTE_ACF} SELECT variable, n, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf FROM acf""")
@@ -288,17 +288,16 @@ def partial_autocorrelation(spark, sf):
     return rounded(ranking.pacf(coordinate_acf(spark, sf), ["variable"]), ["pacf", "band"])
 
 
-CTE_SACF = f"""{CTE_PANEL}, s0 AS (SELECT station, year, month, ln(p_rf) AS v FROM panel WHERE p_rf IS NOT NULL),
-  series AS (SELECT station, v, row_number() OVER (PARTITION BY station ORDER BY year, month) AS i,
-    avg(v) OVER (PARTITION BY station) AS m, count(*) OVER (PARTITION BY station) AS n FROM s0)"""
+CTE_SACF = f"""{CTE_TSPACE}, {CTE_LONG}, series AS (SELECT station, u.variable AS variable, u.value AS v,
+    row_number() OVER (PARTITION BY u.variable, station ORDER BY year, month) AS i,
+    avg(u.value) OVER (PARTITION BY u.variable, station) AS m, count(*) OVER (PARTITION BY u.variable, station) AS n FROM long)"""
 
 
 @register("autocorrelation_by_station", f"""WITH {CTE_SACF}
-SELECT a.station, a.n, CAST(l.lag AS INTEGER) AS lag, round(sum((a.v - a.m) * (b.v - b.m)) / any_value(t.c0), 6) AS acf
-FROM series a CROSS JOIN range(0, 7) l(lag) JOIN series b ON b.station = a.station AND b.i = a.i + l.lag
-JOIN (SELECT station, sum((v - m) * (v - m)) AS c0 FROM series GROUP BY ALL) t ON t.station = a.station
-GROUP BY a.station, a.n, l.lag""")
+SELECT a.variable, a.station, a.n, CAST(l.lag AS INTEGER) AS lag, round(coalesce(sum((a.v - a.m) * (b.v - b.m)) / nullif(any_value(t.c0), 0), 0), 6) AS acf
+FROM series a CROSS JOIN range(0, 24) l(lag) JOIN series b ON b.variable = a.variable AND b.station = a.station AND b.i = a.i + l.lag
+JOIN (SELECT variable, station, sum((v - m) * (v - m)) AS c0 FROM series GROUP BY ALL) t ON t.variable = a.variable AND t.station = a.station
+GROUP BY a.variable, a.station, a.n, l.lag""")
 def autocorrelation_by_station(spark, sf):
-    """Lags inside each station only."""
-    rows = panel(spark, sf).select(*KEY, F.ln("p_rf").alias("v"))
-    return rounded(ranking.acf(rows, "v", ["year", "month"], 6, ["station"]), ["acf"])
+    """Six coordinates, 23 lags, inside each station only."""
+    return rounded(coordinate_acf(spark, sf, ["station"]), ["acf"])

@@ -185,7 +185,7 @@ def imputed_panel(spark, sf):
 
 @register("robust_imputed_panel", None)
 def robust_imputed_panel(spark, sf):
-    return impute.impute_robust(kept(spark, sf), PARTS, KEY, 5, max_iter=2)
+    return impute.impute_robust(kept(spark, sf), PARTS, KEY, 5)
 
 
 def _fills(spark, sf):

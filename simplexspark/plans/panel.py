@@ -119,12 +119,12 @@ def column_selection(spark, sf):
     return reshape.relocate(s, ["balance"], "code")
 
 
-@register("columns_by_type", """SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity > 45""")
+@register("columns_by_type", """SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem""")
 def columns_by_type(spark, sf):
     li = table(spark, sf, "lineitem")
     numeric = [c for c in reshape.columns_of_type(li) if c in set(reshape.columns_with_prefix(li, "l_"))]
     drop = {"l_partkey", "l_suppkey", "l_extendedprice", "l_tax"}
-    return li.filter("l_quantity > 45").select(*[c for c in numeric if c not in drop])
+    return li.select(*[c for c in numeric if c not in drop])
 
 
 @register("positional_names", "SELECT n_nationkey AS a, n_name AS b, n_regionkey AS c FROM nation")
@@ -144,9 +144,9 @@ def computed_columns(spark, sf):
 
 @register("membership_filter", """
 SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS part FROM lineitem
-WHERE l_returnflag || l_linestatus IN ('AF', 'NO') AND l_suppkey = 3""")
+WHERE l_returnflag || l_linestatus IN ('AF', 'NO')""")
 def membership_filter(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_suppkey = 3")
+    li = table(spark, sf, "lineitem")
     part = F.concat("l_returnflag", "l_linestatus")
     return li.filter(part.isin("AF", "NO")).select("l_orderkey", "l_linenumber", part.alias("part"))
 
@@ -440,26 +440,55 @@ def appended_rows(spark, sf):
 _MONTH_COLS = list(S.MONTHS_ES)
 
 
-def climate_wide(spark, sf, prefix: str, names: list[str]) -> DataFrame:
+def line_counties(spark, sf) -> DataFrame:
+    li, s, n = (table(spark, sf, t) for t in ("lineitem", "supplier", "nation"))
+    return (li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
+            .select(F.col("n_name").alias("county"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
+                    "l_extendedprice", "l_quantity"))
+
+
+def climate_wide(rows: DataFrame, value: str, prefix: str, names: list[str]) -> DataFrame:
     """County x year table with one column per month name and an annual one."""
-    o = order_counties(spark, sf)
-    cells = [F.avg(F.when(F.col("month") == i, F.col("o_totalprice"))).alias(f"{prefix}{n}") for i, n in enumerate(names, 1)]
-    return o.groupBy("county", "year").agg(*cells, F.avg("o_totalprice").alias(f"{prefix}Annual"))
+    cells = [F.avg(F.when(F.col("month") == i, F.col(value))).alias(f"{prefix}{n}") for i, n in enumerate(names, 1)]
+    return rows.groupBy("county", "year").agg(*cells, F.avg(value).alias(f"{prefix}Annual"))
+
+
+def climate_tables(spark, sf) -> list[tuple[str, str, dict[str, int], DataFrame]]:
+    """(value, prefix, month names, wide table) of the three quantities: prices of orders, and prices and quantities of lines."""
+    es, ca = "Media mensual. ", "Mitjana mensual. "
+    lines = line_counties(spark, sf)
+    return [("temp_max", es, S.MONTHS_ES, climate_wide(order_counties(spark, sf), "o_totalprice", es, list(S.MONTHS_ES))),
+            ("temp_min", ca, S.MONTHS_CA, climate_wide(lines, "l_extendedprice", ca, list(S.MONTHS_CA))),
+            ("rain", ca, S.MONTHS_CA, climate_wide(lines, "l_quantity", ca, list(S.MONTHS_CA)))]
 
 
 CTE_CLIMATE = """climate AS (
   SELECT n_name AS county, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
     avg(o_totalprice) AS value
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
-CTE_FRAME = f"""{CTE_CLIMATE}, years AS (SELECT DISTINCT county, year FROM climate),
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+ line_climate AS (
+  SELECT n_name AS county, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month,
+    avg(l_extendedprice) AS low, avg(l_quantity) AS rain
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)"""
+CTE_FRAME = f"""{CTE_CLIMATE}, years AS (SELECT county, year FROM climate UNION SELECT county, year FROM line_climate),
   frame AS (SELECT county, year, CAST(m AS INTEGER) AS month FROM years, range(1, 13) t(m))"""
 
 
 @register("climate_long", f"""WITH {CTE_FRAME}
-SELECT county, year, month, round(value, 6) AS temp_max FROM frame LEFT JOIN climate USING (county, year, month)""")
+SELECT county, year, month, 'temp_max' AS variable, round(value, 6) AS value FROM frame LEFT JOIN climate USING (county, year, month)
+  WHERE EXISTS (SELECT 1 FROM climate c WHERE c.county = frame.county AND c.year = frame.year)
+UNION ALL SELECT county, year, month, u.variable, round(u.value, 6) FROM (
+  SELECT county, year, month, unnest([{{'variable': 'temp_min', 'value': low}}, {{'variable': 'rain', 'value': rain}}]) AS u
+  FROM frame LEFT JOIN line_climate USING (county, year, month)
+  WHERE EXISTS (SELECT 1 FROM line_climate c WHERE c.county = frame.county AND c.year = frame.year))""")
 def climate_long(spark, sf):
-    wide = climate_wide(spark, sf, "Media mensual. ", list(S.MONTHS_ES))
-    return rounded(reshape.monthly_wide_to_long(wide, ["county", "year"], "Media mensual. ", S.MONTHS_ES, "temp_max"), ["temp_max"])
+    """The three wide tables, Spanish and Catalan month names, as one long table."""
+    out = None
+    for name, prefix, months, wide in climate_tables(spark, sf):
+        long = reshape.monthly_wide_to_long(wide, ["county", "year"], prefix, months, "value").select(
+            "county", "year", "month", F.lit(name).alias("variable"), r6("value").alias("value"))
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
 @register("month_names", """SELECT o_orderkey, CAST(month(o_orderdate) AS INTEGER) AS month_ca FROM orders""")
@@ -481,11 +510,12 @@ def urban_classes(spark, sf):
 
 CTE_COVARIATES = f"""{CTE_STATIONS}, {CTE_FRAME},
   folded AS (SELECT municipality AS name, CASE county WHEN 'NATION_7' THEN 'NATION_2' ELSE county END AS county FROM stations),
-  monthly AS (SELECT name, year, month, value FROM folded JOIN frame USING (county) LEFT JOIN climate USING (county, year, month)),
+  monthly AS (SELECT name, year, month, value, low, rain FROM folded JOIN frame USING (county) LEFT JOIN climate USING (county, year, month)
+    LEFT JOIN line_climate USING (county, year, month)),
   covariates AS (
     SELECT s.station AS code, s.municipality AS name, CAST(t.yy AS INTEGER) AS year, CAST(u.m AS INTEGER) AS month, s.altitude,
       CASE s.station % 4 WHEN 1 THEN 'urban' WHEN 2 THEN 'suburban' WHEN 3 THEN 'rural' END AS area, s.x, s.y,
-      v.value AS temp_max, v.value / 2 AS temp_min, v.value / 3 AS rain
+      v.value AS temp_max, v.low AS temp_min, v.rain AS rain
     FROM stations s CROSS JOIN range(1995, 2002) t(yy) CROSS JOIN range(1, 13) u(m)
     LEFT JOIN monthly v ON v.name = s.municipality AND v.year = t.yy AND v.month = u.m)"""
 
@@ -499,11 +529,8 @@ def covariate_frame(spark, sf) -> DataFrame:
     areas = urban_classes(spark, sf)
     frame = V.municipality_months(places, areas, range(1995, 2002))
     members = V.fold_group(st.select(F.col("municipality").alias("name"), "county"), {"NATION_7": "NATION_2"})
-    wide = climate_wide(spark, sf, "Media mensual. ", list(S.MONTHS_ES))
-    t = V.climate_to_members(wide, members, "Media mensual. ", S.MONTHS_ES, "temp_max")
-    # The stand-in has one measured quantity; the other two are scalings of it.
-    t = t.withColumns({"temp_min": F.col("temp_max") / 2, "rain": F.col("temp_max") / 3})
-    return V.attach_climate(frame, [t])
+    return V.attach_climate(frame, [V.climate_to_members(wide, members, prefix, months, name)
+                                    for name, prefix, months, wide in climate_tables(spark, sf)])
 
 
 @register("covariate_frame", f"""WITH {CTE_COVARIATES}

@@ -65,7 +65,8 @@ def outline_edges(spark, sf):
     return rounded(G.edges(outlines(spark, sf)), ["x1", "y1", "x2", "y2"])
 
 
-GRID = 60
+GRID = 100
+YEARS = range(1995, 2002)
 
 
 def _grid_sql(n: int) -> str:
@@ -142,13 +143,13 @@ def nearest_vectors(spark, sf):
 
 
 @register("lattice_months", f"""WITH {CTE_ELEV} SELECT cell, round(altitude, 6) AS altitude, CAST(t.yy AS INTEGER) AS year, CAST(u.m AS INTEGER) AS month
-FROM elev, range(1996, 1999) t(yy), range(1, 13) u(m)""")
+FROM elev, range({YEARS[0]}, {YEARS[-1] + 1}) t(yy), range(1, 13) u(m)""")
 def lattice_months(spark, sf):
     base = G.grid_elevation(grid(spark, sf), raster(spark, sf), (0, 0), 110)
-    return with_months(base.select("cell", r6("altitude").alias("altitude")), range(1996, 1999))
+    return with_months(base.select("cell", r6("altitude").alias("altitude")), YEARS)
 
 
-def lattice_frame(spark, sf, years=range(1997, 1998)):
+def lattice_frame(spark, sf, years=YEARS):
     """Lattice-months with elevation, nearest place and that place's covariates."""
     base = G.grid_elevation(grid(spark, sf), raster(spark, sf), (0, 0), 110).select("cell", "x", "y", "altitude")
     places = stations(spark, sf).select(F.col("station").alias("code"), "x", "y")
@@ -161,7 +162,7 @@ def lattice_frame(spark, sf, years=range(1997, 1998)):
  near AS (SELECT cell, arg_min(station, ROW((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), station)) AS code FROM elev p CROSS JOIN stations s GROUP BY ALL)
 SELECT e.cell, {r6_sql('e.x AS x', 'e.y AS y', 'e.altitude AS altitude')}, n.code, c.name, c.area, c.year, c.month, CAST(c.year * 12 + c.month AS INTEGER) AS ym,
   {r6_sql('temp_max', 'temp_min', 'rain')}
-FROM elev e JOIN near n USING (cell) JOIN covariates c ON c.code = n.code AND c.year = 1997""")
+FROM elev e JOIN near n USING (cell) JOIN covariates c ON c.code = n.code""")
 def lattice_covariates(spark, sf):
     out = lattice_frame(spark, sf)
     return rounded(out, ["x", "y", "altitude", "temp_max", "temp_min", "rain"])

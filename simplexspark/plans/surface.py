@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from simplexspark.operators import surface as M
 from simplexspark.plans.base import (
-    COORDS, CTE_STATIONS, CTE_TSPACE, KEY, Query, r6, r6_sql, rounded, stations, tspace,
+    COORDS, CTE_STATIONS, CTE_TSPACE, KEY, Query, r6, r6_sql, rounded, stacked, stations, tspace,
 )
 from simplexspark.plans.panel import CTE_COVARIATES, covariate_frame
 from simplexspark.plans.spatial import lattice_frame
 from simplexspark.sources import cut
 
 QUERIES: dict[str, Query] = {}
-XS = ["altitude", "temp_max"]
+XS = ["altitude", "temp_max", "temp_min"]
 MAX_DIST = 3000.0
 
 
@@ -27,14 +27,14 @@ def register(name: str, sql: str | None):
 def station_rows(spark, sf):
     """Station-months with coordinates, position, covariates and group."""
     st = stations(spark, sf).select("station", "municipality", "county", "altitude", "x", "y")
-    cov = covariate_frame(spark, sf).select(F.col("name").alias("municipality"), "year", "month", "temp_max")
+    cov = covariate_frame(spark, sf).select(F.col("name").alias("municipality"), "year", "month", "temp_max", "temp_min")
     rows = tspace(spark, sf).join(st, "station").join(cov, ["municipality", "year", "month"], "left")
     ym = F.col("year") * 12 + F.col("month")
     return rows.withColumns({"ym": ym, "row_id": F.col("station") * 100000 + ym}).drop("municipality")
 
 
 CTE_ROWS = f"""{CTE_TSPACE}, {CTE_COVARIATES}, rows_ AS (
-  SELECT p.*, s.county, s.altitude, s.x, s.y, c.temp_max, CAST(p.year * 12 + p.month AS INTEGER) AS ym,
+  SELECT p.*, s.county, s.altitude, s.x, s.y, c.temp_max, c.temp_min, CAST(p.year * 12 + p.month AS INTEGER) AS ym,
     p.station * 100000 + p.year * 12 + p.month AS row_id
   FROM tspace p JOIN stations s USING (station) LEFT JOIN covariates c ON c.name = s.municipality AND c.year = p.year AND c.month = p.month)"""
 
@@ -72,7 +72,7 @@ def fixed_effects(spark, sf):
 @register("single_slope", f"WITH {CTE_ROWS} SELECT round(regr_slope(Total, altitude), 9) AS slope, round(regr_intercept(Total, altitude), 6) AS intercept FROM rows_")
 def single_slope(spark, sf):
     """One regressor and one group reduce to the ordinary slope."""
-    fits, _ = M.fit_many(station_rows(spark, sf).withColumn("all", F.lit(1)), ["Total"], ["altitude"], "all", rounds=1)
+    fits, _ = M.fit_many(station_rows(spark, sf).withColumn("all", F.lit(1)), ["Total"], ["altitude"], "all")
     t = fits["Total"].table(spark)
     return t.agg(F.round(F.max(F.when(F.col("term") == "altitude", F.col("mean"))), 9).alias("slope"),
                  r6(F.max(F.when(F.col("term") == "intercept", F.col("mean")))).alias("intercept"))
@@ -87,19 +87,21 @@ def place_intercepts(spark, sf):
 _CELL = MAX_DIST / 30
 
 
-@register("variogram_bins", f"""WITH {CTE_ROWS}, c AS (SELECT ym, floor(x / {_CELL}) AS cx, floor(y / {_CELL}) AS cy, B1 AS v, row_id FROM rows_),
- pairs AS (SELECT sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS h, (a.v - b.v) * (a.v - b.v) AS d2
-   FROM c a JOIN c b ON a.ym = b.ym AND a.row_id < b.row_id)
-SELECT 'B1' AS variable, CAST(floor(h / 2) AS INTEGER) AS bin, count(*) AS pairs, round(avg(h) * {_CELL}, 6) AS distance, round(avg(d2) / 2, 6) AS gamma
+@register("variogram_bins", f"""WITH {CTE_ROWS}, c AS (SELECT ym, floor(x / {_CELL}) AS cx, floor(y / {_CELL}) AS cy, u.variable AS variable, u.value AS v, row_id
+   FROM (SELECT *, unnest({stacked(COORDS)}) AS u FROM rows_)),
+ pairs AS (SELECT a.variable, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS h, (a.v - b.v) * (a.v - b.v) AS d2
+   FROM c a JOIN c b ON a.variable = b.variable AND a.ym = b.ym AND a.row_id < b.row_id)
+SELECT variable, CAST(floor(h / 2) AS INTEGER) AS bin, count(*) AS pairs, round(avg(h) * {_CELL}, 6) AS distance, round(avg(d2) / 2, 6) AS gamma
 FROM pairs WHERE h < 30 GROUP BY ALL""")
 def variogram_bins(spark, sf):
-    return rounded(M.variogram(station_rows(spark, sf), ["B1"], "x", "y", ["ym"], MAX_DIST), ["distance", "gamma"])
+    return rounded(M.variogram(station_rows(spark, sf), COORDS, "x", "y", ["ym"], MAX_DIST), ["distance", "gamma"])
 
 
-@register("month_memory", f"""WITH {CTE_ROWS} SELECT 'B1' AS variable, count(*) AS pairs, round(corr(b.B1, a.B1), 6) AS rho
-FROM rows_ a JOIN rows_ b ON a.station = b.station AND b.ym = a.ym + 1""")
+@register("month_memory", f"""WITH {CTE_ROWS} SELECT u.variable AS variable, count(*) AS pairs, round(corr(u.now, u.before), 6) AS rho FROM (
+  SELECT unnest([{', '.join(f"{{'variable': '{c}', 'now': b.{c}, 'before': a.{c}}}" for c in COORDS)}]) AS u
+  FROM rows_ a JOIN rows_ b ON a.station = b.station AND b.ym = a.ym + 1) GROUP BY ALL""")
 def month_memory(spark, sf):
-    return rounded(M.ar1(station_rows(spark, sf), ["B1"], "station"), ["rho"])
+    return rounded(M.ar1(station_rows(spark, sf), COORDS, "station"), ["rho"])
 
 
 @register("field_model", None)
@@ -119,7 +121,7 @@ def surface(spark, sf):
     county = stations(spark, sf).select(F.col("station").alias("code"), "county")
     targets = lattice_frame(spark, sf).join(county, "code").dropna(subset=XS)
     targets = cut(targets.withColumn("target", F.col("cell") * 100000 + F.col("ym")), "targets")
-    return M.predict_surface(model, targets, "target", "row_id", k=4)
+    return M.predict_surface(model, targets, "target", "row_id")
 
 
 @register("exposure_surface", None)

@@ -13,9 +13,11 @@ from pyspark.sql import SparkSession
 
 def get_session(app: str = "simplexspark", cores: int | str | None = None, **conf: str) -> SparkSession:
     cores = cores or os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:  # else a submitter started us and names the master
+        builder = builder.master(f"local[{cores}]")
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder.appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -116,3 +116,12 @@ def test_surface_bands_cover_planted_field(spark):
     df = spark.createDataFrame(rows, "row_id int, station int, x double, y double, ym int, g string, a double, v double")
     got = M.holdout(df, ["v"], ["a"], "g", "station", "row_id", 60.0).first()
     assert got["n"] == 150 and got["r"] > 0.8 and 0.85 <= got["coverage"] <= 1.0
+
+
+def test_lts_resists_equal_bad_rows(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(1000, 2))
+    y = 1 + 2 * x[:, 0] - x[:, 1] + 0.05 * rng.normal(size=1000)
+    x[:370], y[:370] = [3.0, -2.0], -40.0
+    fit = robust.lts_fit(spark.createDataFrame(pd.DataFrame({"y": y, "a": x[:, 0], "b": x[:, 1]})), "y", ["a", "b"])
+    assert np.allclose(fit, [1, 2, -1], atol=0.05)

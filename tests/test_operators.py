@@ -151,3 +151,29 @@ def test_no_python_and_no_cartesian_in_the_flagship_plan(spark, sf):
     plan = monthly_coordinates(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "CartesianProduct", "NestedLoop"))
     assert "ReadSchema" not in plan or "l_tax" not in plan
+
+
+def test_outline_with_a_gap_in_its_numbers(spark):
+    from simplexspark.operators import geometry as G
+
+    corners = [("a", 0, 1, 0.0, 0.0), ("a", 0, 2, 4.0, 0.0), ("a", 0, 4, 4.0, 4.0), ("a", 0, 9, 0.0, 4.0),
+               ("a", 1, 3, 1.0, 1.0), ("a", 1, 7, 2.0, 1.0), ("a", 1, 8, 2.0, 2.0), ("a", 1, 20, 1.0, 2.0)]
+    outline = spark.createDataFrame(corners, "region string, ring int, seq int, lon double, lat double")
+    points = spark.createDataFrame([(1, 3.0, 3.0), (2, 5.0, 3.0), (3, 1.5, 1.5), (4, 0.5, 1.5)], "id int, x double, y double")
+    assert G.edges(outline).count() == 8
+    assert {r["id"] for r in G.within(points, outline).collect()} == {1, 4}
+
+
+def test_zero_parts_are_missing_everywhere(spark):
+    from simplexspark.operators import impute
+    from simplexspark.operators.reshape import min_observed
+    from simplexspark.operators.stats import flag_imputed
+
+    rows = [(1, 1.4, 0.0, None), (2, 1.0, 0.0, 2.0), *[(i, 1.0, 1.0 + i / 10, 2.0) for i in range(3, 9)]]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    kept = min_observed(df, ["a", "b", "c"], 2)
+    assert {r["id"] for r in kept.collect()} == set(range(2, 9))
+    filled = {r["id"]: r for r in impute.impute_knn(kept, ["a", "b", "c"], ["id"], 3).collect()}
+    assert filled[2]["b_imputed"] and filled[2]["b"] > 0 and not filled[3]["b_imputed"]
+    origin = {(r["id"], r["part"]): r["origin"] for r in flag_imputed(kept, ["id"], ["a", "b", "c"]).collect()}
+    assert origin[2, "b"] == "Imputed" and origin[2, "a"] == origin[3, "b"] == "Original"
