@@ -220,15 +220,17 @@ def across(placed: DataFrame, texts: DataFrame) -> DataFrame:
     Of two such members at least one lies outside the bucket's main component (that of a member chosen by hash, so mostly
     its largest one). Those stand on the left and meet all members. A large bucket is cut into tiles: the left side is
     dealt to them, the right one in halves to each. A family of texts that share much, but not enough, fills buckets
-    with pairs just below the threshold, so here signatures of ``FINE`` minima decide which pairs are confirmed."""
-    asked = cut(texts.join(placed.select("node").distinct(), "node", "left_semi").mapInArrow(fine_signatures, "node long, n long, fine binary"), "near-fine")
+    with pairs just below the threshold, so here signatures of ``FINE`` minima decide which pairs are confirmed. Two members
+    share many buckets; the smallest of them alone gives the pair, so each pair is made once."""
+    keys = placed.groupBy("node").agg(F.collect_set("bucket").alias("keys"))  # at most one a band
+    asked = cut(texts.join(keys, "node").select("node", "text", "keys").mapInArrow(fine_signatures, "node long, n long, fine binary, keys array<long>"), "near-fine")
     signed = placed.join(asked, "node").withColumn("tiles", F.ceil(F.col("size") / TILE))
     cells = F.expr("sequence(0L, tiles - 1)")
-    left = signed.where("root <> main").select("bucket", "node", "root", "n", "fine", F.lit(False).alias("inside"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("i"), F.explode(cells).alias("j"))
-    right = signed.select(*[F.col(c).alias(c) for c in ("bucket", "node", "root", "n", "fine")], (F.col("root") == F.col("main")).alias("inside"), F.explode(cells).alias("i"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("j"))
+    left = signed.where("root <> main").select("bucket", "node", "root", "n", "fine", "keys", F.lit(False).alias("inside"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("i"), F.explode(cells).alias("j"))
+    right = signed.select(*[F.col(c).alias(c) for c in ("bucket", "node", "root", "n", "fine", "keys")], (F.col("root") == F.col("main")).alias("inside"), F.explode(cells).alias("i"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("j"))
     key = ["bucket", "i", "j"]
     pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(near_in_tile, "a long, b long")
-    return confirm(cut(pairs.distinct(), "near-pairs"), texts)
+    return confirm(cut(pairs, "near-pairs"), texts)
 
 
 def fine_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,15 +239,18 @@ def fine_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         sets = [shingle_set(t.as_py(), hashes) for t in batch.column(1)]
         low = [(minima(s, 128, _fine_factor, _fine_offset) & np.uint64(2**BITS - 1)).reshape(FINE * BITS // 64, -1) << np.arange(0, 64, BITS, dtype=np.uint64) for s in sets]
         packed = [np.bitwise_or.reduce(x, axis=1).tobytes() for x in low]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], names=["node", "n", "fine"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary()), batch.column(2)], names=["node", "n", "fine", "keys"])
 
 
 def near_in_tile(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs of a tile from different components whose sizes and fine signatures allow a link."""
+    """Pairs of a tile from different components whose sizes and fine signatures allow a link, and that share no smaller
+    bucket than this one."""
     out_a, out_b = [], []
     if left.num_rows and right.num_rows:
         a, ra, na, b, rb, nb = (t[c].to_numpy() for t in (left, right) for c in ("node", "root", "n"))
         inside = right["inside"].to_numpy()
+        here = left["bucket"][0].as_py()
+        ka, kb = ([frozenset(k) for k in t["keys"].to_pylist()] for t in (left, right))
         sa, sb = (np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint64).reshape(t.num_rows, -1) for t in (left, right))
         ones = np.uint64(0x1111111111111111)
         for i in range(len(a)):
@@ -254,7 +259,8 @@ def near_in_tile(left: pa.Table, right: pa.Table) -> pa.Table:
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             unlike = np.bitwise_count(x & ones).sum(axis=1, dtype=np.int64)
-            hit = b[maybe[FINE - unlike >= FINE_LEAST]]
+            near = maybe[FINE - unlike >= FINE_LEAST]
+            hit = b[np.array([j for j in near.tolist() if min(ka[i] & kb[j]) == here], np.int64)]
             out_a.append(np.minimum(hit, a[i]))
             out_b.append(np.maximum(hit, a[i]))
     return pa.table({"a": np.concatenate(out_a) if out_a else np.empty(0, np.int64), "b": np.concatenate(out_b) if out_b else np.empty(0, np.int64)})
