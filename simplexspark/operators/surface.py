@@ -97,7 +97,7 @@ def gram_sums(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group:
 
 
 def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str, max_rounds: int = 100,
-             tol: float = 1e-8, inflation: dict[str, float] | None = None) -> tuple[dict[str, MixedFit], DataFrame]:
+             tol: float = 1e-5, inflation: dict[str, float] | None = None) -> tuple[dict[str, MixedFit], DataFrame]:
     """Fixed effects by generalised least squares with a random intercept per group, for all
     responses in the same passes. Variance components by moments (between and within groups);
     each round refreshes the components and then the coefficients, until the components settle to
