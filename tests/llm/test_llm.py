@@ -214,6 +214,14 @@ def test_main_text(spark):
     assert extract_text(d.limit(0)).count() == 0
 
 
+def test_main_text_beside_articles(spark):
+    about = "All about our little house with its many old and new things"
+    rows = [(i, f"http://h/{i}", f"<div>Lead {' '.join(f'l{i}x{k}' for k in range(12))}</div><article>{' '.join(f'a{i}x{k}' for k in range(20))}</article><div>{about}</div>") for i in range(3)]
+    rows += [(3, "http://h/3", f"<main>{about}</main><div>{about}</div><p>{' '.join(f'b{k}' for k in range(30))}</p>")]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Lead {' '.join(f'l{i}x{k}' for k in range(12))}\n\n{' '.join(f'a{i}x{k}' for k in range(20))}" for i in range(3)} | {3: f"{about}\n\n{' '.join(f'b{k}' for k in range(30))}"}
+
+
 def test_fingerprints(spark, small):
     d = spark.createDataFrame([(1, "a b c\nd e f\ng"), (2, "g\na b c\nd e f"), (3, "a b c"), (4, "d e f\ng"), (5, None), (6, "")], "id long, text string")
     f = {r.id: r.fingerprint for r in fingerprint(d, ["id"]).collect()}
