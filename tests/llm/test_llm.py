@@ -222,6 +222,24 @@ def test_main_text_beside_articles(spark):
     assert got == {i: f"Lead {' '.join(f'l{i}x{k}' for k in range(12))}\n\n{' '.join(f'a{i}x{k}' for k in range(20))}" for i in range(3)} | {3: f"{about}\n\n{' '.join(f'b{k}' for k in range(30))}"}
 
 
+def test_main_text_of_copies_and_marked_wrappers(spark):
+    words = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    menu = words("menu", 12)
+    page = lambda text: f"<div>{menu}</div><div>{text}</div>"
+    near = [words("n", 60).replace(f"n{i} ", f"edit{i} ") for i in (10, 30, 50)]
+    quote = words("q", 10)
+    rows = [("http://c/1", page(words("c", 40))), ("http://c/2", page(words("c", 40))),  # equal html under two urls
+            *[(f"http://n/{i}", page(t)) for i, t in enumerate(near)], *[(f"http://n/o{i}", page(words(f"o{i}x", 40))) for i in range(6)],
+            *[(f"http://s/{i}", f"<div>{words(f's{i}a', 15)} {quote} {words(f's{i}b', 15)}</div>") for i in range(2)],
+            ("http://w/1", f"<div class='layout has-sidebar'><div class='sidebar'>side</div><article>{words('w', 9)}</article></div>"),
+            ("http://w/2", f"<article class='post comments-open'>{words('v', 9)}<div class='share'>tell</div></article>")]
+    got = {r.url: r.text for r in extract_text(spark.createDataFrame(rows, "url string, html string")).collect()}
+    both = f"{menu}\n\n{words('c', 40)}"
+    want = {"http://c/1": both, "http://c/2": both, **{f"http://n/{i}": t for i, t in enumerate(near)}, **{f"http://n/o{i}": words(f"o{i}x", 40) for i in range(6)},
+            **{f"http://s/{i}": f"{words(f's{i}a', 15)} {quote} {words(f's{i}b', 15)}" for i in range(2)}, "http://w/1": words("w", 9), "http://w/2": words("v", 9)}
+    assert got == want
+
+
 def test_fingerprints(spark, small):
     d = spark.createDataFrame([(1, "a b c\nd e f\ng"), (2, "g\na b c\nd e f"), (3, "a b c"), (4, "d e f\ng"), (5, None), (6, "")], "id long, text string")
     f = {r.id: r.fingerprint for r in fingerprint(d, ["id"]).collect()}
