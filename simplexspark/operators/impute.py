@@ -124,14 +124,14 @@ def pivot_order(parts: Sequence[str], first: str) -> list[str]:
 
 
 def impute_robust(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int = 5, max_iter: int = 50,
-                  tol: float = 0.01, trim: float = 0.5) -> DataFrame:
-    """Start from the kNN fill, then cycle over the parts: regress the first pivot coordinate
+                  tol: float = 0.01, trim: float = 0.5, start: DataFrame | None = None) -> DataFrame:
+    """Start from the kNN fill (``start``, if it is at hand), then cycle over the parts: regress the first pivot coordinate
     of part j on the others by least trimmed squares over rows where j was observed, and
     replace the missing ones by their prediction. Ends when the root mean square change of
     the imputed log-ratios falls below ``tol``; warns if that takes more than ``max_iter`` sweeps."""
     parts, d = list(parts), len(parts)
     flags = [f"{p}_imputed" for p in parts]
-    filled = impute_knn(df, parts, key, k)
+    filled = impute_knn(df, parts, key, k) if start is None else start
     state = cut(filled.select(*key, *flags, *[F.ln(p).alias(p) for p in parts]), "impute")
     missing = [p for p, f in zip(parts, state.agg(*[F.max(f) for f in flags]).first()) if f]
     fits: dict[str, np.ndarray] = {}

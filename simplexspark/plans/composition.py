@@ -189,20 +189,22 @@ def robust_imputed_panel(spark, sf):
 
 
 def _fills(spark, sf):
-    """Two fills of the panel: nearest donors, and the geometric mean of the observed parts."""
+    """Fills of the panel: nearest donors, the robust fill that starts from them, and beside these the geometric mean of the
+    observed parts."""
     from simplexspark.sources import cut
 
     before = cut(kept(spark, sf), "panel")
     knn = cut(impute.impute_knn(before, PARTS, KEY, 5), "filled")
+    lts = cut(impute.impute_robust(before, PARTS, KEY, 5, start=knn), "robust")
     gm = F.exp(F.try_divide(X.add_all([F.coalesce(F.ln(p), F.lit(0.0)) for p in PARTS]),
                             X.add_all([F.col(p).isNotNull().cast("int") for p in PARTS])))
     mean = before.select(*KEY, *[F.coalesce(F.col(p), gm).alias(p) for p in PARTS])
-    return before, {"KNN": knn, "GM": mean}
+    return before, {"KNN": knn, "LTS": lts, "GM": mean}
 
 
 @register("imputation_comparison", None)
 def imputation_comparison(spark, sf):
-    """Box statistics of two fills by part, method, provenance, station type and area."""
+    """Box statistics of the fills by part, method, provenance, station type and area."""
     before, fills = _fills(spark, sf)
     before = before.join(stations(spark, sf).select("station", "station_type", "area"), "station")
     long = impute.compare_imputations(before, fills, KEY, PARTS, ["station_type", "area"])
@@ -211,7 +213,7 @@ def imputation_comparison(spark, sf):
 
 @register("imputation_components", None)
 def imputation_components(spark, sf):
-    """Percentage of variance of the clr components of two fills."""
+    """Percentage of variance of the clr components of the fills."""
     _, fills = _fills(spark, sf)
     return impute.compare_pca(fills, PARTS, KEY)[1]
 

@@ -73,6 +73,42 @@ def test_knn_imputation_equals_brute_force(spark):
     assert np.allclose(got[PARTS].to_numpy()[~gaps], x[~gaps])
 
 
+@pytest.fixture(scope="module")
+def gappy(spark):
+    """A part that the others determine, missing in a fifth of the rows and spoilt in a tenth."""
+    rng = np.random.default_rng(18)
+    n = 400
+    logs = rng.normal(size=(n, 6)) * 0.5 + 2
+    logs[:, 0] = logs[:, 1:].mean(axis=1) + 0.3 + 0.6 * (logs[:, 1] - logs[:, 2]) - 0.4 * (logs[:, 3] - logs[:, 4]) + 0.01 * rng.normal(size=n)
+    truth, gaps = logs[:, 0].copy(), np.arange(n) < 80
+    logs[360:, 0] += 4
+    pdf = pd.DataFrame(np.exp(logs), columns=PARTS)
+    pdf["id"] = np.arange(n)
+    pdf["gap"] = gaps
+    df = spark.createDataFrame(pdf).withColumn(PARTS[0], F.when(~F.col("gap"), F.col(PARTS[0]))).drop("gap")
+    return df, truth[:80]
+
+
+def test_robust_imputation_recovers_planted_parts(gappy):
+    df, truth = gappy
+    got = impute.impute_robust(df, PARTS, ["id"], 5).toPandas().sort_values("id")
+    error = np.log(got[PARTS[0]].to_numpy()[:80]) - truth
+    assert np.abs(error).max() < 0.1 and got[f"{PARTS[0]}_imputed"].tolist() == [True] * 80 + [False] * 320
+    assert np.allclose(got[PARTS[1:]].to_numpy(), df.toPandas().sort_values("id")[PARTS[1:]].to_numpy())
+
+
+def test_fills_compared_are_knn_and_robust(spark, gappy, monkeypatch):
+    from simplexspark.plans import composition as P
+
+    df, truth = gappy
+    monkeypatch.setattr(P, "kept", lambda *_: df)
+    monkeypatch.setattr(P, "KEY", ["id"])
+    before, fills = P._fills(spark, "")
+    long = impute.compare_imputations(before, fills, ["id"], PARTS, close=False).filter(F.col("origin") == "Imputed").toPandas()
+    error = {m: np.abs(np.log(g.sort_values("id")["value"].to_numpy()) - truth).mean() for m, g in long.groupby("method")}
+    assert set(error) == {"KNN", "LTS", "GM"} and error["LTS"] < 0.05 < min(error["KNN"], error["GM"])
+
+
 def test_gls_and_intercepts_recover_the_truth(spark):
     rng = np.random.default_rng(9)
     g = np.arange(4000) % 80
