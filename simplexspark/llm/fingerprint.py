@@ -5,9 +5,9 @@ lane, modulo a power of two. The order of paragraphs does not matter, and a para
 subtracting its vector (``add_fingerprints``, ``subtract_fingerprints``).
 
 A vector has two parts. ``EXACT`` lanes of 32 bits are hashed from the whole paragraph: equal multisets have equal sums,
-different ones differ but for a chance of 2^-256 or so. ``LIKE`` lanes of 16 bits add, for each run of up to three words of
+different ones differ but for a chance of 2^-256 or so. ``LIKE`` lanes of 32 bits too add, for each run of up to three words of
 the paragraph, plus or minus one by a bit of the run's hash: the cosine of two such sums estimates how many runs two
-documents share.
+documents share. They are signed numbers and hold for texts of fewer than 2^31 words.
 """
 
 from __future__ import annotations
@@ -54,39 +54,33 @@ def packed_lanes(df: DataFrame, keys: list[str], text: Column, name: str) -> Dat
     sums = [F.coalesce(F.sum(F.shiftrightunsigned(c, i).bitwiseAND(two)), F.lit(0)).alias(f"{c}_{i}") for c in ("run", "run2") for i in range(32)]
     out = wide.groupBy(*keys).agg(*[F.max(e).alias(e) for e in exact], F.count("run").alias("n"), *sums)
     halves = [h for c in ("run", "run2") for i in range(32) for h in (F.col(f"{c}_{i}").bitwiseAND(F.lit(MASK32)), F.shiftrightunsigned(f"{c}_{i}", 32))]
-    return out.select(*keys, F.array(*exact, *[F.pmod(h * 2 - F.col("n"), F.lit(1 << 16)) for h in halves]).alias(name))
+    return out.select(*keys, F.array(*exact, *[F.pmod(h * 2 - F.col("n"), F.lit(1 << 32)) for h in halves]).alias(name))
 
 
 def to_hex(lanes: Column) -> Column:
-    """Fixed width: 8 hex digits per exact lane, 4 per likeness lane."""
-    digits = F.transform(lanes, lambda v, i: F.lpad(F.lower(F.hex(v)), F.when(i < EXACT, 8).otherwise(4), F.lit("0")))
-    return F.array_join(digits, "")
+    """Fixed width: 8 hex digits per lane."""
+    return F.array_join(F.transform(lanes, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "")
 
 
 def from_hex(text: Column) -> Column:
-    start, width = lambda i: F.when(i < EXACT, i * 8 + 1).otherwise(EXACT * 8 + (i - EXACT) * 4 + 1), lambda i: F.when(i < EXACT, 8).otherwise(4)
-    return F.transform(F.sequence(F.lit(0), F.lit(EXACT + LIKE - 1)), lambda i: F.conv(F.substr(text, start(i), width(i)), 16, 10).cast("long"))
-
-
-def modulus(i: Column) -> Column:
-    return F.when(i < EXACT, F.lit(1 << 32)).otherwise(F.lit(1 << 16))
+    return F.transform(F.sequence(F.lit(0), F.lit(EXACT + LIKE - 1)), lambda i: F.conv(F.substr(text, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
 
 
 def add_fingerprints(a: Column, b: Column) -> Column:
     """Fingerprint (lanes) of the paragraphs of both."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z, i: F.pmod(z["a"] + z["b"], modulus(i)))
+    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: F.pmod(z["a"] + z["b"], F.lit(1 << 32)))
 
 
 def subtract_fingerprints(a: Column, b: Column) -> Column:
     """Fingerprint (lanes) of a's paragraphs without b's."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z, i: F.pmod(z["a"] - z["b"], modulus(i)))
+    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: F.pmod(z["a"] - z["b"], F.lit(1 << 32)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """From 0 to 1: 1 for equal fingerprints (also of texts without words), else the cosine of the likeness lanes as
     signed numbers, not below 0; 0 if one side has no words."""
     def signed(c: Column) -> Column:
-        return F.transform(F.slice(c, EXACT + 1, LIKE), lambda v: F.when(v >= 1 << 15, v - (1 << 16)).otherwise(v).cast("double"))
+        return F.transform(F.slice(c, EXACT + 1, LIKE), lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v).cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     sa, sb = signed(a), signed(b)
     norm = F.sqrt(dot(sa, sa) * dot(sb, sb))

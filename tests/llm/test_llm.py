@@ -253,3 +253,11 @@ def test_fingerprints(spark, small):
         want = [(i, len(t), hashlib.sha256((t[:len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][:len(t) // 2]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
         assert got == sorted(want, key=str)
     assert edited_pairs(small.limit(0), "doc_id", "text", 4).count() == 0
+
+
+def test_likeness_of_long_repetitive_texts(spark):
+    d = spark.createDataFrame([(n, "na " * n) for n in (20_000, 32_768, 35_000, 40_000, 65_536, 70_000)], "id long, text string")
+    f = fingerprint(d, ["id"])
+    pairs = f.alias("a").join(f.alias("b"), F.col("a.id") == 2 * F.col("b.id")).select("a.id", likeness(F.col("a.fingerprint"), F.col("b.fingerprint")).alias("near"))
+    got = {r.id: r.near for r in pairs.collect()}
+    assert sorted(got) == [40_000, 65_536, 70_000] and min(got.values()) > 0.999
