@@ -1,14 +1,14 @@
 """Near-duplicate documents by b-bit MinHash.
 
 1. Every whole text becomes its set of word shingles, ``MINIMA`` minima of it, ``BANDS`` band keys made of full minima, and
-   a signature of the low ``BITS`` bits of each minimum, packed into a few long numbers.
+   a signature of the low ``BITS`` bits of each minimum, mixed first so that chance differs per minimum, packed into a few long numbers.
 2. Equal sets are one class from here on, so exact copies cost one entry however many there are.
 3. Classes that share a band key are candidates. First each one meets three centres of its bucket (the smallest number and
    two chosen by hash). What is linked by that is one component so far; buckets that are all one component are done. In the others what lies in different components is compared in tiles. No pair within a known component is
    formed again, and no link between components is lost: a link matters only if it joins two of them.
 4. A candidate's similarity is estimated from bit counts of the packed signatures, corrected for low bits that agree by
-   chance; only estimates within four standard errors of the threshold or above it go on, and only sets whose sizes allow
-   the similarity at all.
+   chance; only estimates within five standard errors of the threshold or above it go on, and only sets whose sizes allow
+   the similarity at all. Pairs with a set of fewer than ``SMALL`` shingles go on without an estimate.
 5. Those are confirmed on the full sets, and components of confirmed links are found by alternating stars.
 
 Candidates are missed only where no band agrees: (1 - s^4)^32 for similarity s, 5 in a million at 0.75 and fewer above.
@@ -30,12 +30,15 @@ from simplexspark.sources.stages import cut
 SHINGLE, MINIMA, ROWS, BITS = 5, 128, 4, 4
 BANDS, LONGS = MINIMA // ROWS, MINIMA * BITS // 64
 PERCENT = 75
-#: Least number of agreeing low bits of a candidate: the threshold less four standard errors, with the chance 2^-BITS.
-LEAST = int(MINIMA * ((PERCENT / 100 - 0.16) * (1 - 2.0**-BITS) + 2.0**-BITS))
+#: Least number of agreeing low bits of a candidate: the threshold less five standard errors, with the chance 2^-BITS.
+LEAST = int(MINIMA * ((PERCENT / 100 - 0.2) * (1 - 2.0**-BITS) + 2.0**-BITS))
 TILE = 1024
-#: Minima of the second signature, and the least number that agree: again four standard errors below the threshold.
+#: Pairs with a set below this size are never estimated. Sets up to ``WITH_SMALL`` can resemble such a one.
+SMALL = 64
+WITH_SMALL = SMALL * 100 // PERCENT
+#: Minima of the second signature, and the least number that agree: again five standard errors below the threshold.
 FINE = 1024
-FINE_LEAST = int(FINE * ((PERCENT / 100 - 0.16 * (MINIMA / FINE) ** 0.5) * (1 - 2.0**-BITS) + 2.0**-BITS))
+FINE_LEAST = int(FINE * ((PERCENT / 100 - 0.2 * (MINIMA / FINE) ** 0.5) * (1 - 2.0**-BITS) + 2.0**-BITS))
 
 _random = np.random.Generator(np.random.PCG64(20))
 _factor = _random.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,7 +76,7 @@ def sketch(text: str | None, hashes: WordHashes) -> tuple[int, np.ndarray, np.nd
     s = shingle_set(text, hashes)
     digest = np.array([np.sum(mix64(s), dtype=np.uint64), np.sum(mix64(s ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)], np.uint64)
     m = minima(s)
-    low = (m & np.uint64(2**BITS - 1)).reshape(LONGS, -1) << np.arange(0, 64, BITS, dtype=np.uint64)
+    low = (mix64(m) & np.uint64(2**BITS - 1)).reshape(LONGS, -1) << np.arange(0, 64, BITS, dtype=np.uint64)
     bands = np.arange(BANDS, dtype=np.uint64)
     for column in m.reshape(BANDS, ROWS).T:
         bands = mix64(bands + column)
@@ -143,9 +146,9 @@ def candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def possible(a: str, b: str) -> Column:
-    """Whether two classes (structs of n and packed) can be similar enough: sizes allow it and the estimate is near."""
+    """Whether two classes (structs of n and packed) can be similar enough: sizes allow it and one is small or the estimate is near."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (agreeing(f"{a}.packed", f"{b}.packed") >= LEAST)
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((F.least(na, nb) < SMALL) | (agreeing(f"{a}.packed", f"{b}.packed") >= LEAST))
 
 
 def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -220,14 +223,15 @@ def across(placed: DataFrame, texts: DataFrame) -> DataFrame:
     Of two such members at least one lies outside the bucket's main component (that of a member chosen by hash, so mostly
     its largest one). Those stand on the left and meet all members. A large bucket is cut into tiles: the left side is
     dealt to them, the right one in halves to each. A family of texts that share much, but not enough, fills buckets
-    with pairs just below the threshold, so here signatures of ``FINE`` minima decide which pairs are confirmed. Two members
+    with pairs just below the threshold, so here signatures of ``FINE`` minima, and for small sets the sets themselves, decide
+    which pairs are confirmed. Two members
     share many buckets; the smallest of them alone gives the pair, so each pair is made once."""
     keys = placed.groupBy("node").agg(F.collect_set("bucket").alias("keys"))  # at most one a band
-    asked = cut(texts.join(keys, "node").select("node", "text", "keys").mapInArrow(fine_signatures, "node long, n long, fine binary, keys array<long>"), "near-fine")
+    asked = cut(texts.join(keys, "node").select("node", "text", "keys").mapInArrow(fine_signatures, "node long, n long, fine binary, few binary, keys array<long>"), "near-fine")
     signed = placed.join(asked, "node").withColumn("tiles", F.ceil(F.col("size") / TILE))
     cells = F.expr("sequence(0L, tiles - 1)")
-    left = signed.where("root <> main").select("bucket", "node", "root", "n", "fine", "keys", F.lit(False).alias("inside"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("i"), F.explode(cells).alias("j"))
-    right = signed.select(*[F.col(c).alias(c) for c in ("bucket", "node", "root", "n", "fine", "keys")], (F.col("root") == F.col("main")).alias("inside"), F.explode(cells).alias("i"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("j"))
+    left = signed.where("root <> main").select("bucket", "node", "root", "n", "fine", "few", "keys", F.lit(False).alias("inside"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("i"), F.explode(cells).alias("j"))
+    right = signed.select(*[F.col(c).alias(c) for c in ("bucket", "node", "root", "n", "fine", "few", "keys")], (F.col("root") == F.col("main")).alias("inside"), F.explode(cells).alias("i"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("j"))
     key = ["bucket", "i", "j"]
     pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(near_in_tile, "a long, b long")
     return confirm(cut(pairs, "near-pairs"), texts)
@@ -237,14 +241,16 @@ def fine_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     hashes = WordHashes()
     for batch in batches:
         sets = [shingle_set(t.as_py(), hashes) for t in batch.column(1)]
-        low = [(minima(s, 128, _fine_factor, _fine_offset) & np.uint64(2**BITS - 1)).reshape(FINE * BITS // 64, -1) << np.arange(0, 64, BITS, dtype=np.uint64) for s in sets]
+        low = [(mix64(minima(s, 128, _fine_factor, _fine_offset)) & np.uint64(2**BITS - 1)).reshape(FINE * BITS // 64, -1) << np.arange(0, 64, BITS, dtype=np.uint64) for s in sets]
         packed = [np.bitwise_or.reduce(x, axis=1).tobytes() for x in low]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary()), batch.column(2)], names=["node", "n", "fine", "keys"])
+        few = [s.tobytes() if len(s) <= WITH_SMALL else b"" for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary()), pa.array(few, pa.binary()), batch.column(2)],
+                                         names=["node", "n", "fine", "few", "keys"])
 
 
 def near_in_tile(left: pa.Table, right: pa.Table) -> pa.Table:
     """Pairs of a tile from different components whose sizes and fine signatures allow a link, and that share no smaller
-    bucket than this one."""
+    bucket than this one. Pairs with a set of fewer than ``SMALL`` shingles are compared on the sets."""
     out_a, out_b = [], []
     if left.num_rows and right.num_rows:
         a, ra, na, b, rb, nb = (t[c].to_numpy() for t in (left, right) for c in ("node", "root", "n"))
@@ -252,6 +258,10 @@ def near_in_tile(left: pa.Table, right: pa.Table) -> pa.Table:
         here = left["bucket"][0].as_py()
         ka, kb = ([frozenset(k) for k in t["keys"].to_pylist()] for t in (left, right))
         sa, sb = (np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint64).reshape(t.num_rows, -1) for t in (left, right))
+        fa, fb = ([np.frombuffer(f, np.uint64) for f in t["few"].to_pylist()] for t in (left, right))
+        shingle, row = np.concatenate(fb), np.repeat(np.arange(len(b)), [len(f) for f in fb])
+        order = np.argsort(shingle, kind="stable")
+        shingle, row = shingle[order], row[order]
         ones = np.uint64(0x1111111111111111)
         for i in range(len(a)):
             maybe = np.flatnonzero((rb != ra[i]) & (inside | (a[i] < b)) & (100 * np.minimum(nb, na[i]) >= PERCENT * np.maximum(nb, na[i])))
@@ -259,7 +269,13 @@ def near_in_tile(left: pa.Table, right: pa.Table) -> pa.Table:
             x |= x >> np.uint64(1)
             x |= x >> np.uint64(2)
             unlike = np.bitwise_count(x & ones).sum(axis=1, dtype=np.int64)
-            near = maybe[FINE - unlike >= FINE_LEAST]
+            likely = FINE - unlike >= FINE_LEAST
+            if len(fa[i]) and len(maybe):
+                spans = zip(np.searchsorted(shingle, fa[i], "left").tolist(), np.searchsorted(shingle, fa[i], "right").tolist())
+                both = np.bincount(np.concatenate([row[x:y] for x, y in spans]), minlength=len(b))[maybe]
+                small = np.minimum(nb[maybe], na[i]) < SMALL
+                likely = np.where(small, 100 * both >= PERCENT * (nb[maybe] + na[i] - both), likely)
+            near = maybe[likely]
             hit = b[np.array([j for j in near.tolist() if min(ka[i] & kb[j]) == here], np.int64)]
             out_a.append(np.minimum(hit, a[i]))
             out_b.append(np.maximum(hit, a[i]))

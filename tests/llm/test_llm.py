@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from simplexspark.llm.fingerprint import add_fingerprints, edited_pairs, fingerp
 from simplexspark.llm.html import extract_text
 from simplexspark.llm.lm import PRIOR, score_texts
 from simplexspark.llm.mixing import copy_counts, mix_sources
-from simplexspark.llm.neardup import drop_near_duplicates, near_classes
+from simplexspark.llm.neardup import drop_near_duplicates, fine_signatures, near_classes, near_in_tile, sketch
 from simplexspark.llm.quality import grade_of, rate_quality, train
+from simplexspark.llm.text import WordHashes
 from simplexspark.llm.topk import exact_top_k
 from simplexspark.llm.urls import filter_urls, pattern_rule, place_rule, word_rule
 from simplexspark.llm.warc import read_warc, web_records, write_warc
@@ -163,6 +165,29 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_low_bits_agree_by_chance_per_minimum():
+    hashes = WordHashes()
+    packed = np.array([sketch(f"one two three four w{i}", hashes)[2] for i in range(200)]).view(np.uint64)
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
+    fields = (packed[:, :, None] >> shifts & np.uint64(15)).reshape(200, -1)
+    agree = (fields[:100] == fields[100:]).sum(axis=1)
+    assert agree.max() < 30 and 6 < agree.mean() < 10  # 128 / 16
+
+
+def test_small_sets_at_the_threshold_are_never_lost():
+    n = 3000
+    words = [[f"w{i}x{k}" for k in range(8)] for i in range(n)]
+
+    def side(at, root, length):  # 4 and 3 shingles, 3 shared: exactly 75 %
+        batch = pa.RecordBatch.from_arrays([pa.array(range(at, at + n)), pa.array([" ".join(w[:length]) for w in words]), pa.array([[5]] * n, pa.list_(pa.int64()))], names=["node", "text", "keys"])
+        t = pa.Table.from_batches(fine_signatures(iter([batch])))
+        for name, value in (("bucket", 5), ("root", root), ("inside", False)):
+            t = t.append_column(name, pa.array([value] * n))
+        return t
+    got = near_in_tile(side(0, 1, 8), side(n, 2, 7))
+    assert sorted(zip(got["a"].to_pylist(), got["b"].to_pylist())) == [(i, n + i) for i in range(n)]
+
+
 def test_language_model_equals_brute_force(spark, small):
     got = score_texts(small).collect()
     rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), None]) for r in small.collect()]
