@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simplexspark.llm.bpe import bpe_encode
+from simplexspark.llm.exactdedup import exact_classes
 from simplexspark.llm.fingerprint import edited_pairs, likeness, to_hex
 from simplexspark.llm.html import extract_text
 from simplexspark.llm.lm import score_texts
@@ -156,6 +157,17 @@ def op10_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
                         like("next_fingerprint").alias("near_next"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    classes = exact_classes(table(spark, sf, "documents").select("doc_id", "text"))
+    return classes.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS c FROM documents),
+k AS (SELECT doc_id, c, first_value(doc_id) OVER (PARTITION BY c ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY c) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(c) AS text_sha256 FROM k
+"""
+
 QUERIES = {
     "op1_bpe": (op1_bpe, None),
     "op2_mix": (op2_mix, None),
@@ -167,4 +179,5 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_html": (op9_html, None),
     "op10_fingerprint": (op10_fingerprint, None),
+    "op13_exact_dedup": (op13_exact_dedup, OP13_SQL),
 }
