@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -19,6 +21,7 @@ from simplexspark.llm.lm import score_texts
 from simplexspark.llm.mixing import copy_counts
 from simplexspark.llm.neardup import near_classes
 from simplexspark.llm.quality import grade_of, rate_quality, train
+from simplexspark.llm.spelling import spelling_forms, word_counts
 from simplexspark.llm.text import n_words, table
 from simplexspark.llm.topk import exact_top_k
 from simplexspark.llm.urls import JUNK_WORDS, filter_urls, place_rule, word_rule
@@ -157,6 +160,42 @@ def op10_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
                         like("next_fingerprint").alias("near_next"))
 
 
+#: Fixed value of the query: one in so many runs of a text loses a code point.
+TYPO_EVERY = 199
+
+
+def typos(doc: int | None, runs: Counter) -> dict[str, str]:
+    """The runs of a text that lose a code point, and what is left of them."""
+    head = zlib.crc32(f"{'' if doc is None else doc}:".encode())
+    hit = {run: h for run in runs if not (h := zlib.crc32(run.encode(), head)) % TYPO_EVERY}
+    return {run: run[:h % len(run)] + run[h % len(run) + 1:] for run, h in hit.items()}
+
+
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_forms(word_counts(table(spark, sf, "documents"), change=typos))
+
+
+#: crc32 of a text in SQL: the table of its polynomial, then a step a byte.
+CRC_SQL = """crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i))"""
+CRC_OF = """xor(4294967295, list_reduce(list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substring(hex(encode({0})), 2 * i - 1, 2))::BIGINT),
+  lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS INTEGER) + 1]), 4294967295))"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_SQL}, r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS k, doc_id::VARCHAR || ':' || run AS s FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (SELECT run, k, {CRC_OF.format('s')} AS h FROM c, crc_table),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+e AS (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM e a JOIN e b ON a.i = b.i AND a.less = b.less AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM e a JOIN v ON a.less = v.word UNION SELECT v.word, a.word, a.n FROM e a JOIN v ON a.less = v.word),
+g AS (SELECT v.word, v.n, count(p.other) AS n_near, min(CASE WHEN m >= 5 * n THEN {{'less': -m, 'other': encode(other)}} END) AS best FROM v LEFT JOIN p ON v.word = p.word GROUP BY v.word, v.n),
+f AS (SELECT word, n, n_near, decode(best.other) AS form, -best.less AS form_n FROM g),
+roots AS (SELECT word, word AS root, 0 AS depth FROM f UNION ALL SELECT q.word, f.form, depth + 1 FROM roots q JOIN f ON f.word = q.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(root, depth) AS root, n, n_near, form_n FROM f JOIN roots ON roots.word = f.word GROUP BY f.word, form, n, n_near, form_n
+"""
+
+
 def op13_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     classes = exact_classes(table(spark, sf, "documents").select("doc_id", "text"))
     return classes.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -179,5 +218,6 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_html": (op9_html, None),
     "op10_fingerprint": (op10_fingerprint, None),
+    "op12_spelling": (op12_spelling, OP12_SQL),
     "op13_exact_dedup": (op13_exact_dedup, OP13_SQL),
 }
