@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simplexspark.llm.bpe import bpe_encode
+from simplexspark.llm.conversation import NUMBERS, repair_conversations
 from simplexspark.llm.exactdedup import exact_classes
 from simplexspark.llm.fingerprint import edited_pairs, likeness, to_hex
 from simplexspark.llm.html import extract_text
@@ -160,6 +161,48 @@ def op10_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
                         like("next_fingerprint").alias("near_next"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The fixed damage of the query, by a hash of the turn's place. Nulls are one space first."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = (F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20).alias("h")
+    rows = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), h).where("h <> 0")
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    twice = F.when(F.col("h") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(twice).alias("time")).drop("time")
+
+
+def op11_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    given = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    left = F.filter("turns", lambda t: t["edit"] != "D")
+    said = F.array_join(F.transform(left, lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    pieces = repair_conversations(damaged(given)).select("conv_id", "piece", F.size(left).alias("left"), said.alias("said"), *NUMBERS, "audit")
+    # One sha256 is one sequence of bytes: the pieces of a conversation, some hundred turns each, are read in order as a stream.
+    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    hashed = ordered.mapInArrow(digests_in_order, f"found long, {', '.join(f'{n} long' for n in NUMBERS)}, audit string, repaired_sha256 string")
+    out = given.select("conv_id").distinct().join(hashed, F.col("conv_id").eqNullSafe(F.col("found")), "left")
+    return out.select("conv_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in NUMBERS], F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
+
+
+def digests_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["found", *NUMBERS, "audit", "repaired_sha256"]
+    head, digest, left = None, None, 0
+    for batch in batches:
+        out = []
+        for conv, piece, count, said, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if piece == 0:
+                if head:
+                    out.append([*head, digest.hexdigest()])
+                head, digest, left = [conv, *rest], hashlib.sha256(), 0
+            if count:
+                digest.update((("\n" if left else "") + said).encode("utf-8", "surrogatepass"))
+            left += count
+        columns = list(zip(*out)) if out else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in names[-2:] else pa.int64()) for n, c in zip(names, columns)], names=names)
+    if head:
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.string() if n in names[-2:] else pa.int64()) for n, v in zip(names, [*head, digest.hexdigest()])], names=names)
+
+
 #: Fixed value of the query: one in so many runs of a text loses a code point.
 TYPO_EVERY = 199
 
@@ -218,6 +261,7 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_html": (op9_html, None),
     "op10_fingerprint": (op10_fingerprint, None),
+    "op11_conversations": (op11_conversations, None),
     "op12_spelling": (op12_spelling, OP12_SQL),
     "op13_exact_dedup": (op13_exact_dedup, OP13_SQL),
 }
