@@ -7,6 +7,7 @@ Both follow Hron, Templ & Filzmoser (2010).
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Sequence
 from itertools import combinations
@@ -19,7 +20,7 @@ from simplexspark.functions.scalars import count_observed, observed
 from simplexspark.functions.simplex import add_all, contrast, log_part, pivot_signs, sbp_basis
 from simplexspark.operators.joins import null_safe_join
 from simplexspark.operators.knn import knn_join
-from simplexspark.operators.robust import lts_fit
+from simplexspark.operators.trimmed import View, Views, scales, trimmed_fits
 from simplexspark.sources.stages import cut
 
 
@@ -123,44 +124,50 @@ def pivot_order(parts: Sequence[str], first: str) -> list[str]:
     return [first, *[p for p in parts if p != first]]
 
 
+def _predicted_log(part: str, parts: Sequence[str], basis: dict, fit: np.ndarray) -> Column:
+    """Log of a part from those of the others: the first pivot coordinate holds it against their mean, and its regression is
+    linear in their logs."""
+    names, others = list(basis), [q for q in parts if q != part]
+    up = basis[names[0]][part]
+    weights = {q: 1.0 / len(others) + sum(float(b) * basis[z].get(q, 0.0) for b, z in zip(fit[1:], names[1:])) / up for q in others}
+    return add_all([F.lit(float(fit[0]) / up), *[F.lit(w) * F.col(q) for q, w in weights.items()]])
+
+
 def impute_robust(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int = 5, max_iter: int = 50,
                   tol: float = 0.01, trim: float = 0.5, start: DataFrame | None = None) -> DataFrame:
-    """Start from the kNN fill (``start``, if it is at hand), then cycle over the parts: regress the first pivot coordinate
-    of part j on the others by least trimmed squares over rows where j was observed, and
-    replace the missing ones by their prediction. Ends when the root mean square change of
-    the imputed log-ratios falls below ``tol``; warns if that takes more than ``max_iter`` sweeps."""
+    """Start from the kNN fill (``start``, if it is at hand), then sweep: regress the first pivot coordinate of every part on
+    the others by least trimmed squares over the rows where the part was observed, all parts in the same jobs, and
+    replace the missing ones by their predictions. Ends when the root mean square change of the imputed log-ratios
+    falls below ``tol``; warns if that takes more than ``max_iter`` sweeps."""
     parts, d = list(parts), len(parts)
     flags = [f"{p}_imputed" for p in parts]
     filled = impute_knn(df, parts, key, k) if start is None else start
     state = cut(filled.select(*key, *flags, *[F.ln(p).alias(p) for p in parts]), "impute")
     missing = [p for p, f in zip(parts, state.agg(*[F.max(f) for f in flags]).first()) if f]
-    fits: dict[str, np.ndarray] = {}
-    for _ in range(max_iter):
-        before = state
+    whole = add_all([F.col(p).isNotNull().cast("int") for p in parts]) == d
+    views, bases = {}, {}
+    for p in missing:
+        bases[p] = sbp_basis(pivot_signs(pivot_order(parts, p)))
+        views[p] = View(~F.col(f"{p}_imputed") & whole, [contrast(w, {q: F.col(q) for q in parts}) for w in bases[p].values()])
+    fits, base, worst = None, None, 0.0
+    for _ in range(max_iter if missing else 0):
+        seen = Views(state, views)
+        base = base or scales(seen)
+        # The first sweep settles the fits; later ones follow the filled values with a few steps each.
+        fits = trimmed_fits(seen, trim, fits, base) if fits is None else trimmed_fits(seen, trim, fits, base, 3, settle=False)
+        # Row by row the parts are filled one after another, each from the latest values of the others.
+        moved = state.withColumns({f"__o_{p}": F.col(p) for p in missing})
         for p in missing:
-            names = pivot_order(parts, p)
-            basis = sbp_basis(pivot_signs(names))
-            logs = {q: F.col(q) for q in names}
-            z = {n: contrast(w, logs) for n, w in basis.items()}
-            xs = list(z)[1:]
-            fit = fits[p] = lts_fit(state.filter(~F.col(f"{p}_imputed")).dropna(subset=parts)
-                          .select(*[c.alias(n) for n, c in z.items()]), "z1", xs, trim, fits.get(p))
-            hat = add_all([F.lit(float(fit[0])), *[F.lit(float(b)) * z[x] for b, x in zip(fit[1:], xs)]])
-            # z1 fixes ln p against the mean of the others, which keep their values.
-            up = basis["z1"][p]
-            others = add_all([F.col(q) for q in names[1:]]) / (d - 1)
-            # Written after every part: each update refers to all parts, so an open chain of
-            # updates would multiply the expression.
-            state = cut(state.withColumn(p, F.when(F.col(f"{p}_imputed"), hat / F.lit(up) + others).otherwise(F.col(p))),
-                        "impute")
-        moved = before.select(*key, *[F.col(p).alias(f"__o_{p}") for p in missing])
-        change = null_safe_join(state, moved, key).agg(*[
-            F.avg(F.when(F.col(f"{p}_imputed"), (F.col(p) - F.col(f"__o_{p}")) ** 2)) for p in missing]).first()
-        worst = max([c for c in change if c is not None], default=0.0)
-        if np.sqrt(worst) < tol:
+            moved = moved.withColumn(p, F.when(F.col(f"{p}_imputed"), _predicted_log(p, parts, bases[p], fits[p])).otherwise(F.col(p)))
+        moved = cut(moved, "impute")
+        change = moved.agg(*[F.avg(F.when(F.col(f"{p}_imputed"), (F.col(p) - F.col(f"__o_{p}")) ** 2)) for p in missing]).first()
+        state = moved.drop(*[f"__o_{p}" for p in missing])
+        worst = math.sqrt(max([c for c in change if c is not None], default=0.0))
+        if worst < tol:
             break
     else:
-        warnings.warn(f"imputed parts still moved by {np.sqrt(worst):.3g} after {max_iter} sweeps", stacklevel=2)
+        if missing:
+            warnings.warn(f"imputed parts still moved by {worst:.3g} after {max_iter} sweeps", stacklevel=2)
     levels = state.select(*key, *flags, *[F.exp(p).alias(f"__v_{p}") for p in parts])
     return null_safe_join(df, levels, key, "left").select(
         *[F.when(~F.col(f"{c}_imputed"), F.col(c)).otherwise(F.col(f"__v_{c}")).alias(c) if c in parts else F.col(c)

@@ -17,53 +17,13 @@ from pyspark.sql import functions as F
 
 from simplexspark.functions.scalars import decode_bits
 from simplexspark.functions.simplex import Signs, add_all, balances, basis_matrix, sbp_basis
+from simplexspark.operators.chisquare import chi2_quantile, gamma_p
 from simplexspark.operators.composition import centred_moments, moments
 from simplexspark.operators.quantiles import exact_quantiles, order_statistic
+from simplexspark.operators.trimmed import lts_fit  # noqa: F401
 from simplexspark.sources.stages import cut
 
 
-def gamma_p(a: float, x: float) -> float:
-    """Regularised lower incomplete gamma function, by its series below a+1 and by its
-    continued fraction above."""
-    if x <= 0:
-        return 0.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        n = a
-        while abs(term) > abs(total) * 1e-17:
-            n += 1
-            term *= x / n
-            total += term
-        return total * front
-    # Evaluated from the tail inwards.
-    frac = 0.0
-    for i in range(500, 0, -1):
-        frac = i * (i - a) / (x + 2 * i + 1 - a - frac)
-    return 1.0 - front / (x + 1 - a - frac)
-
-
-def chi2_quantile(p: float, df: int) -> float:
-    """Chi-square quantile by bisection."""
-    lo, hi = 0.0, 10.0 + 10.0 * df
-    while gamma_p(df / 2, hi / 2) < p and hi < 1e6:
-        hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if gamma_p(df / 2, mid / 2) < p else (lo, mid)
-    return (lo + hi) / 2
-
-
-def _solve(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    beta = np.linalg.lstsq(cov[1:, 1:], cov[1:, 0], rcond=None)[0]
-    return np.concatenate([[mean[0] - mean[1:] @ beta], beta])
-
-
-def _residual2(y: str, xs: Sequence[str], beta: np.ndarray) -> Column:
-    fit = " + ".join([f"({float(beta[0])!r}D)", *[f"({float(b)!r}D) * {x}" for b, x in zip(beta[1:], xs)]])
-    return F.expr(f"pow({y} - ({fit}), 2)")
-
-
 def _medians(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     long = df.unpivot([], [F.col(c) for c in cols], "variable", "value")
     found = {r["variable"]: r["m"] for r in exact_quantiles(long, ["variable"], "value", [0.5], ["m"]).collect()}
@@ -90,49 +50,6 @@ def _robust_shapes(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.n
     return med, scale, shapes
 
 
-def lts_fit(df: DataFrame, y: str, xs: Sequence[str], trim: float = 0.5, start: np.ndarray | None = None,
-            max_steps: int = 100, tol: float = 1e-4) -> np.ndarray:
-    """Least trimmed squares: intercept and slopes minimising the sum of the h smallest
-    squared residuals. It starts from ``start``, or from the best of four fits of all rows (least
-    squares, medians, two bounded-influence ones); concentration steps over all rows follow
-    until the objective settles. A final pass drops residuals beyond 2.5 robust scales."""
-    df = df.select(y, *xs).dropna()
-    centre, cov = moments(df, [y, *xs])
-    n, p = df.count(), len(xs) + 1
-    if n <= p:
-        raise ValueError(f"{n} rows cannot fit {p} coefficients of {y}")
-    h = min(n, max((n + p + 1) // 2, int((1 - trim) * n)))
-    scale = np.sqrt(np.maximum(np.diag(cov), 1e-300))
-
-    def step(beta: np.ndarray) -> tuple[np.ndarray, float]:
-        rows = df.withColumn("__r2", _residual2(y, xs, beta))
-        cut_off = order_statistic(rows, "__r2", h, n)
-        mean, cov, objective = centred_moments(rows.filter(F.col("__r2") <= cut_off), [y, *xs], centre, scale, "__r2")
-        return _solve(mean, cov), objective
-
-    if start is None:
-        med, mad, shapes = _robust_shapes(df, [y, *xs])
-        mad = np.where(mad > 0, mad, scale)
-        starts = [_solve(centre, cov), _solve(med, np.diag(mad ** 2)), *[_solve(med, c * np.outer(mad, mad)) for c in shapes]]
-        beta, objective = min([step(step(b)[0]) for b in starts], key=lambda t: t[1])
-    else:
-        beta, objective = step(start)
-    now = objective
-    for _ in range(max_steps):
-        beta, now = step(beta)
-        if objective - now <= tol * max(objective, 1e-300):
-            break
-        objective = now
-    else:
-        warnings.warn(f"trimmed fit of {y} had not settled after {max_steps} steps", stacklevel=2)
-    # Consistency factor of the h smallest squares under normal errors.
-    q = chi2_quantile(h / n, 1) if h < n else math.inf
-    factor = h / n / gamma_p(1.5, q / 2) if h < n else 1.0
-    scale2 = factor * now / h
-    kept = df.filter(_residual2(y, xs, beta) <= 2.5 ** 2 * scale2) if scale2 > 0 else df
-    return _solve(*centred_moments(kept, [y, *xs], centre, scale))
-
-
 def mahalanobis2(cols: Sequence[str], centre: np.ndarray, scatter: np.ndarray) -> Column:
     """Squared distance as Column arithmetic: the squared length of the whitened row."""
     values, vectors = np.linalg.eigh(scatter)
