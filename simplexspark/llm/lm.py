@@ -1,22 +1,24 @@
-"""Language-model scores by a weighted backoff automaton over word bigrams.
+"""Language-model scores by a weighted backoff automaton over smoothed n-grams.
 
-Smoothed bigrams are arcs between states; a state is the last word read, or the start of a text. An arc is there for every
-bigram seen in training, with weight log10((c(hw) + A * p(w)) / (c(h) + A)); every state has a failure arc of weight
-log10(A / (c(h) + A)) to the root, whose arcs hold p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), with one share for all words that
-training has not seen. These are probabilities: over all words they sum to 1 in every state. One pass over a text carries
-the state and adds the weights.
+A state is a context: the last words read, up to ``order`` less one, that training has seen together, or none (the root).
+An arc is there for every n-gram seen in training, with weight log10((c(hw) + A * p(w|h')) / (c(h) + A)), h' being h without its
+first word; every state h has a failure arc of weight log10(A / (c(h) + A)) to the state of h'. The root's arcs hold
+p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)), with one share for all words that training has not seen. These are
+probabilities: over all words they sum to 1 in every state. A text begins in the state of its start; one pass from left
+to right carries the state, follows an arc or as many failure arcs as it takes to find one, and adds the weights.
 
 The counts cover all training texts and are as large as the corpus makes them, so no task holds the model. Texts are dealt
 to blocks of about ``BLOCK_BYTES``. A block sends each of its distinct n-grams once, as sorted 64-bit hashes packed by
 hash range, with its own training counts; a range adds up what the blocks sent and answers each with the totals in the
-order of the question. With these the block builds the part of the automaton that its texts can reach. A word, or a pair,
-that is in every text is one entry per block, so none is hot.
+order of the question. With these the block builds the part of the automaton that its texts can reach. A word, or an
+n-gram, that is in every text is one entry per block, so none is hot.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from simplexspark.llm.text import WordHashes, mix64, words_of
 from simplexspark.sources.stages import cut
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+ORDER = 2
 RANGE_KEYS = 1 << 20
 END, START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 PRIOR = 32.0
@@ -39,9 +42,23 @@ def tokens(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.append(hashes.of(words_of(text)), END)
 
 
-def bigrams(t: np.ndarray) -> np.ndarray:
-    before = np.concatenate([[START], t[:-1]])
-    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + t)
+def ngrams(t: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the n-grams that end at each token, for n from 1 to ``order``. The start stands before the first token as often
+    as needed. The lowest bit is left free."""
+    keys, before = [t & ~np.uint64(1)], t
+    for n in range(1, order):
+        shifted = np.concatenate([np.full(min(n, len(t)), START), t[:-n]])
+        before = mix64(shifted * np.uint64(0x9E3779B97F4A7C15) + before)
+        keys.append(before & ~np.uint64(1))
+    return keys
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how many of each have the lowest bit set, which marks those learned from."""
+    keys.sort()
+    held = keys & ~np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    return held[first], np.add.reduceat((keys & np.uint64(1)).astype(np.int64), first)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -69,12 +86,12 @@ def train_share(ids: str) -> Column:
     return F.crc32(F.coalesce(F.col(ids).cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, order: int = ORDER) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and blank texts are the end token alone. Repeated rows are documents of their own and count as often as they
     occur. Without training texts every word has the share of unseen ones. Other columns are not read; an empty table
-    gives none. ``prior`` is A above, the weight of the root's distribution in counts.
+    gives none. ``prior`` is A above, the weight of the shorter context in counts; ``order`` is the length of the longest n-gram.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
@@ -85,23 +102,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def ask(table: pa.Table) -> pa.Table:
         hashes = WordHashes()
-        seen: list[list[np.ndarray]] = [[], []]
-        learned: list[list[np.ndarray]] = [[], []]
+        seen: list[list[np.ndarray]] = [[] for _ in range(order)]
         for text, train in zip(table["text"], table["train"]):
-            t = tokens(text.as_py(), hashes)
-            for kind, keys in enumerate((t, bigrams(t))):
-                seen[kind].append(keys)
-                if train.as_py():
-                    learned[kind].append(keys)
-        rows = []
-        for kind in (0, 1):
-            keys = np.unique(np.concatenate(seen[kind]))
-            counts = np.zeros(len(keys), np.int64)
-            if learned[kind]:
-                known, n = np.unique(np.concatenate(learned[kind]), return_counts=True)
-                counts[np.searchsorted(keys, known)] = n
+            learned = np.uint64(train.as_py())
+            for kind, keys in enumerate(ngrams(tokens(text.as_py(), hashes), order)):
+                seen[kind].append(keys | learned)
+        rows, block = [], table["block"][0].as_py()
+        for kind in range(order):
+            keys, counts = counted(np.concatenate(seen[kind]))
+            seen[kind] = []
             for bucket, part in split(keys, shift):
-                rows.append((bucket, table["block"][0].as_py(), kind, planes(np.diff(keys[part], prepend=np.uint64(0))), pack(counts[part])))
+                rows.append((bucket, block, kind, planes(np.diff(keys[part], prepend=np.uint64(0))), pack(counts[part])))
         return pa.table(dict(zip(("bucket", "block", "kind", "held", "counts"), zip(*rows))), schema=pa.schema(
             [("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("held", pa.binary()), ("counts", pa.binary())]))
 
@@ -125,26 +136,33 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = int(docs.where(train_share("doc_id")).count())
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in OUT.items()})
         hashes = WordHashes()
-        pieces: dict[int, list[tuple[int, np.ndarray]]] = {0: [], 1: []}
-        for kind, bucket, counts in zip(found["kind"].to_pylist(), found["bucket"].to_pylist(), found["counts"]):
-            pieces[kind].append((bucket, unpack(counts.as_py())))
-        counts = [np.concatenate([c for _, c in sorted(pieces[k], key=lambda p: p[0])]) if pieces[k] else np.empty(0, np.int64) for k in (0, 1)]
         each = [tokens(t.as_py(), hashes) for t in texts["text"]]
-        if not each:
-            return pa.table({n: pa.array([], t) for n, t in OUT.items()})
-        words, word_at = np.unique(np.concatenate(each), return_inverse=True)
-        pairs, pair_at = np.unique(np.concatenate([bigrams(t) for t in each]), return_inverse=True)
-        if len(words) != len(counts[0]) or len(pairs) != len(counts[1]):
-            raise ValueError("a block was answered for other texts than it asked about")
+        ids, trains = texts["doc_id"].to_pylist(), texts["train"].to_pylist()
+        del texts
+        places, counts = [], []
+        ends = np.cumsum([0, *map(len, each)])
+        grams = [ngrams(t, order) for t in each]
+        del each
+        for kind in range(order):
+            keys = np.concatenate([g[kind] for g in grams])
+            held = counted(keys.copy())[0]
+            mine = sorted((b, c.as_py()) for k, b, c in zip(found["kind"].to_pylist(), found["bucket"].to_pylist(), found["counts"]) if k == kind)
+            counts.append(np.concatenate([unpack(c) for _, c in mine]) if mine else np.empty(0, np.int64))
+            if len(held) != len(counts[kind]):
+                raise ValueError("a block was answered for other texts than it asked about")
+            places.append(np.searchsorted(held, keys))
+            for g in grams:
+                g[kind] = None
         root = np.log10((counts[0] + 0.5) / (total + 0.5 * (distinct + 1)))
-        fail, arcs = automaton(counts[0], counts[1], root, starts, prior, word_at, pair_at, each)
+        model = automaton(counts, places, ends, root, starts, prior)
         known = counts[0] > 0
-        rows, at = [], 0
-        for doc, train, t in zip(texts["doc_id"].to_pylist(), texts["train"].to_pylist(), each):
-            ids = word_at[at:at + len(t)]
-            rows.append((doc, not train, len(t), int(known[ids].sum()), total, math.fsum(root[ids]), traverse(ids.tolist(), pair_at[at:at + len(t)].tolist(), fail, arcs, root)))
-            at += len(t)
+        rows = []
+        for doc, train, a, b in zip(ids, trains, ends.tolist(), ends[1:].tolist()):
+            words = places[0][a:b]
+            rows.append((doc, not train, b - a, int(known[words].sum()), total, math.fsum(root[words]), traverse([p[a:b] for p in places], model)))
         return pa.table({n: pa.array(c, k) for (n, k), c in zip(OUT.items(), zip(*rows))})
 
     answered = answers.where("block >= 0")
@@ -168,27 +186,48 @@ def vocabulary(batches):
         yield pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in rows], pa.int64()), pa.array([int(r[1]) for r in rows], pa.int64())], names=["v", "n"])
 
 
-def automaton(words: np.ndarray, pairs: np.ndarray, root: np.ndarray, starts: int, prior: float, word_at: np.ndarray,
-              pair_at: np.ndarray, each: list[np.ndarray]) -> tuple[list[float], dict[int, float]]:
-    """Failure weight of each state (the words, then the start), and the arcs: weight by place of the bigram. An arc leads to
-    the state of its second word; bigrams that training has not seen have none."""
-    seen = np.append(words, starts)
-    fail = np.log10(prior / (seen + prior))
-    before = np.concatenate([[len(words)], word_at[:-1]])
-    first = np.cumsum([0, *map(len, each)])[:-1]
-    before[first] = len(words)
-    of_word, of_state = np.empty(len(pairs), np.int64), np.empty(len(pairs), np.int64)
-    of_word[pair_at], of_state[pair_at] = word_at, before
-    there = np.flatnonzero(pairs > 0)
-    weight = np.log10((pairs[there] + prior * 10.0 ** root[of_word[there]]) / (seen[of_state[there]] + prior))
-    return fail.tolist(), dict(zip(there.tolist(), weight.tolist()))
-
-
-def traverse(ids: list[int], places: list[int], fail: list[float], arcs: dict[int, float], root: np.ndarray) -> float:
-    """Left to right from the start state: an arc if the state has one for the word, else the failure arc and the root's."""
-    state, total = len(fail) - 1, []
-    for word, place in zip(ids, places):
-        weight = arcs.get(place)
-        total.append(fail[state] + float(root[word]) if weight is None else weight)
-        state = word
+@dataclass
+class Automaton:
+    """Arrays by n, of the n-grams of a block: the weight of the arc of each (NaN if training has not seen it), and the failure
+    weight of the state that it leads to, by which contexts are left."""
+    arcs: list[np.ndarray]
+    fails: list[np.ndarray]
+    start: float
+
+
+def automaton(counts: list[np.ndarray], places: list[np.ndarray], ends: np.ndarray, root: np.ndarray, starts: int, prior: float) -> Automaton:
+    """The automaton from the counts of the n-grams and their places in the texts. The start is a context of every length."""
+    arcs, probability = [root], 10.0 ** root
+    for n in range(1, len(counts)):
+        # Context count and shorter probability of each n-gram, from any place where it stands.
+        context, shorter = np.empty(len(counts[n]), np.int64), np.empty(len(counts[n]))
+        before = np.concatenate([[0], counts[n - 1][places[n - 1]][:-1]])
+        before[ends[:-1]] = starts
+        context[places[n]] = before
+        shorter[places[n]] = probability[places[n - 1]]
+        held = shorter * prior / (context + prior) + counts[n] / (context + prior)
+        arcs.append(np.where(counts[n] > 0, np.log10(held), np.nan))
+        probability = held
+    fails = [np.log10(prior / (c + prior)) for c in counts[:-1]]
+    return Automaton(arcs, fails, float(np.log10(prior / (starts + prior))))
+
+
+def traverse(places: list[np.ndarray], model: Automaton, step: int = 1 << 16) -> float:
+    """Left to right from the start: failure arcs until a state has an arc for the word. A context that training has not seen is
+    no state; its failure weight is 0 and no arc leaves it."""
+    top, total = len(places) - 1, []
+    state = (model.start,) * top  # failure weights of the contexts of one word, two words, ...
+    for at in range(0, len(places[0]), step):
+        grams = [p[at:at + step] for p in places]
+        weights = zip(*[a[g].tolist() for a, g in zip(model.arcs, grams)])
+        left = zip(*[f[g].tolist() for f, g in zip(model.fails, grams)]) if top else iter(lambda: (), None)
+        added = []
+        for arcs, following in zip(weights, left):
+            n = top
+            while arcs[n] != arcs[n]:
+                n -= 1
+                added.append(state[n])
+            added.append(arcs[n])
+            state = following
+        total.append(math.fsum(added))
     return math.fsum(total)

@@ -30,7 +30,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered for up to ``limit`` words."""
+    """64-bit hashes of words, remembered for up to ``limit`` words of ordinary length."""
+
+    LONGEST = 64
 
     def __init__(self, limit: int = 1_000_000) -> None:
         super().__init__()
@@ -39,7 +41,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -188,26 +188,31 @@ def test_small_sets_at_the_threshold_are_never_lost():
     assert sorted(zip(got["a"].to_pylist(), got["b"].to_pylist())) == [(i, n + i) for i in range(n)]
 
 
-def test_language_model_equals_brute_force(spark, small):
-    got = score_texts(small).collect()
-    rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), None]) for r in small.collect()]
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_language_model_equals_brute_force(spark, small, order):
+    more = small.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, "a b c a b d a b c" if i % 2 else "b c a b c") for i in range(9)], "doc_id long, text string"))
+    got = score_texts(more, order=order).collect()
+    rows = [(r.doc_id, [*(r.text or "").encode().lower().split(), None]) for r in more.collect()]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    uni, bi = Counter(), Counter()
+    grams = Counter()
     for i, t in rows:
         if not held(i):
-            uni.update(t)
-            bi.update(zip([0, *t], t))
-            uni[0] += 1
-    starts = uni.pop(0)
-    n, v = sum(uni.values()), len(uni)
-    p = {w: (uni[w] + 0.5) / (n + 0.5 * (v + 1)) for _, t in rows for w in t}
+            padded = [0] * (order - 1) + t
+            grams.update(tuple(padded[k - n:k]) for k in range(order, len(padded) + 1) for n in range(1, order + 1))
+            grams.update((0,) * n for n in range(1, order))
+    words = {g: c for g, c in grams.items() if len(g) == 1 and g != (0,)}
+    n, v = sum(words.values()), len(words)
+    base = lambda w: (words.get((w,), 0) + 0.5) / (n + 0.5 * (v + 1))
+
+    def p(context, w):
+        return (grams[(*context, w)] + PRIOR * p(context[1:], w)) / (grams[context] + PRIOR) if context else base(w)
     want = []
     for i, t in rows:
-        base = sum(math.log10(p[w]) for w in t)
-        score = sum(math.log10((bi[(h, w)] + PRIOR * p[w]) / ((starts if h == 0 else uni[h]) + PRIOR)) for h, w in zip([0, *t], t))
-        want.append((i, held(i), len(t), sum(uni[w] > 0 for w in t), n, round(base, 5), round(score, 5)))
-    order = lambda x: str(x)
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got), key=order) == sorted(want, key=order)
+        padded = [0] * (order - 1) + t
+        score = sum(math.log10(p(tuple(padded[k:k + order - 1]), w)) for k, w in enumerate(t))
+        want.append((i, held(i), len(t), sum((w,) in words for w in t), n, round(sum(math.log10(base(w)) for w in t), 5), round(score, 5)))
+    order_of = lambda x: str(x)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got), key=order_of) == sorted(want, key=order_of)
     assert score_texts(small.limit(0)).count() == 0
 
 
