@@ -3,9 +3,11 @@
 1. Every whole text becomes its set of word shingles, ``MINIMA`` minima of it, ``BANDS`` band keys made of full minima, and
    a signature of the low ``BITS`` bits of each minimum, mixed first so that chance differs per minimum, packed into a few long numbers.
 2. Equal sets are one class from here on, so exact copies cost one entry however many there are.
-3. Classes that share a band key are candidates. First each one meets three centres of its bucket (the smallest number and
-   two chosen by hash). What is linked by that is one component so far; buckets that are all one component are done. In the others what lies in different components is compared in tiles. No pair within a known component is
-   formed again, and no link between components is lost: a link matters only if it joins two of them.
+3. Classes that share a band key are candidates. Each bucket has three centres (the smallest number and two chosen by hash),
+   and a class first meets the centre that it shares most buckets with. What is linked by that is one component so far;
+   buckets that are all one component are done. In the others components are tried on each other's centres, and what
+   still lies in different ones is compared in tiles. No pair within a known component is formed again, and no link
+   between components is lost: a link matters only if it joins two of them.
 4. A candidate's similarity is estimated from bit counts of the packed signatures, corrected for low bits that agree by
    chance; only estimates within five standard errors of the threshold or above it go on, and only sets whose sizes allow
    the similarity at all. Pairs with a set of fewer than ``SMALL`` shingles go on without an estimate.
@@ -176,6 +178,46 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.where("u <> v").distinct(), "near-edges")
 
 
+def rooted_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the buckets with the component that each member is in so far."""
+    return cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
+
+
+def open_buckets(placed: DataFrame) -> DataFrame:
+    """(bucket, main, seats) of the buckets that hold several components: the component of a member chosen by hash, so
+    mostly the largest, and the centres with theirs."""
+    seat = F.when(F.array_contains("centres", F.col("node")), F.struct(F.col("node").alias("c"), F.col("root").alias("c_root")))
+    found = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", F.xxhash64("node")).alias("main"), F.collect_list(seat).alias("seats"))
+    return cut(found.where("low <> high").select("bucket", "main", "seats"), "near-open")
+
+
+def centre_links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links between members and the centres of their buckets, the members with the components they give, and the buckets
+    that stay open.
+
+    A member first meets the one centre that it shares most buckets with. Of families of near copies that leaves little open.
+    In the buckets that hold several components, one pair is tried for every two components, the one that shares most,
+    and then all members against the centres of other components."""
+    touch = members.select(F.explode("centres").alias("c"), F.col("node").alias("m")).where("c <> m").groupBy("m", "c").agg(F.count("*").alias("shared"))
+    best = touch.groupBy("m").agg(F.max(F.struct("shared", (-F.col("c")).alias("less"))).alias("best")).select("m", (-F.col("best.less")).alias("c"))
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.least("m", "c").alias("a"), F.greatest("m", "c").alias("b")).distinct()
+        return confirm(promising(ordered, nodes), texts)
+
+    links = tried(best)
+    for every in (False, True, None):
+        placed = rooted_members(members, components(links))
+        unsettled = open_buckets(placed)
+        if every is None or unsettled.isEmpty():
+            return links, placed, unsettled
+        apart = placed.join(unsettled, "bucket").select(F.col("node").alias("m"), "root", F.inline("seats")).where("root <> c_root")
+        if not every:
+            shared = apart.groupBy("m", "c", F.least("root", "c_root").alias("r"), F.greatest("root", "c_root").alias("s")).agg(F.count("*").alias("shared"))
+            apart = shared.groupBy("r", "s").agg(F.max_by(F.struct("m", "c"), F.struct("shared", "m", "c")).alias("p")).select("p.*")
+        links = links.union(tried(apart))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, th (hash of the text), n_shingles, component_id, kept, first.
 
@@ -198,14 +240,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = cut(keyed.join(centres, "bucket"), "near-members")
     asked = nodes.join(members.select("node").distinct(), "node", "left_semi")
     texts = candidate_texts(docs, asked)
-    pairs = members.select(F.explode("centres").alias("a"), F.col("node").alias("b")).where("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = confirm(promising(pairs, nodes), texts)
-    roots = components(links)
-    placed = cut(members.select("bucket", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
-    main = F.min_by("root", F.xxhash64("node")).alias("main")
-    unsettled = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), main).where("low <> high")
-    links = links.union(across(cut(placed.join(unsettled.select("bucket", "main"), "bucket"), "near-unsettled"), texts))
+    links, placed, unsettled = centre_links(members, nodes, texts)
+    links = links.union(across(cut(placed.join(unsettled.select("bucket", "main"), "bucket").drop("centres"), "near-unsettled"), texts))
     roots = components(links)
     rooted = nodes.select("node", "known", "rep", *same).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut(rooted, "near-rooted")
