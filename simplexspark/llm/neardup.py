@@ -3,8 +3,8 @@
 1. Every whole text becomes its set of word shingles, ``MINIMA`` minima of it, ``BANDS`` band keys made of full minima, and
    a signature of the low ``BITS`` bits of each minimum, mixed first so that chance differs per minimum, packed into a few long numbers.
 2. Equal sets are one class from here on, so exact copies cost one entry however many there are.
-3. Classes that share a band key are candidates. Each bucket has three centres (the smallest number and two chosen by hash),
-   and a class first meets the centre that it shares most buckets with. What is linked by that is one component so far;
+3. Classes that share a band key are candidates. Each bucket has two centres (the class that meets most others over all its
+   buckets, and one chosen by hash), and a class first meets the centre that it shares most buckets with. What is linked by that is one component so far;
    buckets that are all one component are done. In the others components are tried on each other's centres, and what
    still lies in different ones is compared in tiles. No pair within a known component is formed again, and no link
    between components is lost: a link matters only if it joins two of them.
@@ -235,9 +235,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.first("packed").alias("packed"), F.first("bands").alias("bands"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")  # the ids are fixed by this write
     keyed = nodes.select("node", F.explode("bands").alias("bucket"))
-    by_hash = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in (1, 2)]
-    centres = keyed.groupBy("bucket").agg(F.array_distinct(F.array(F.min("node"), *by_hash)).alias("centres"), F.count("*").alias("size")).where("size > 1")
-    members = cut(keyed.join(centres, "bucket"), "near-members")
+    crowds = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = cut(keyed.join(crowds, "bucket"), "near-crowded")
+    # What a family derives from lies in its largest buckets, so the sum of a class's bucket sizes shows how central it is.
+    central = crowded.join(crowded.groupBy("node").agg(F.sum("size").alias("met")), "node")
+    centre = F.max_by("node", F.struct("met", (-F.col("node")).alias("less")))
+    centres = central.groupBy("bucket").agg(F.array_distinct(F.array(centre, F.min_by("node", F.xxhash64("node")))).alias("centres"))
+    members = cut(crowded.join(centres, "bucket"), "near-members")
     asked = nodes.join(members.select("node").distinct(), "node", "left_semi")
     texts = candidate_texts(docs, asked)
     links, placed, unsettled = centre_links(members, nodes, texts)
