@@ -11,6 +11,7 @@ import math
 import warnings
 from collections.abc import Sequence
 from itertools import combinations
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from simplexspark.functions.scalars import count_observed, observed
 from simplexspark.functions.simplex import add_all, contrast, log_part, pivot_signs, sbp_basis
+from simplexspark.operators.cells import cell_knn
 from simplexspark.operators.joins import null_safe_join
-from simplexspark.operators.knn import knn_join
 from simplexspark.operators.trimmed import View, Views, scales, trimmed_fits
 from simplexspark.sources.stages import cut
 
@@ -40,31 +41,6 @@ def _bits(mask: int, d: int) -> list[int]:
     return [i for i in range(d) if mask >> i & 1]
 
 
-def _jobs_table(spark, parts: Sequence[str], jobs: list[tuple[int, int]], masks: Sequence[int], side: str) -> DataFrame:
-    """Which (observed set o, missing part j) jobs a row with a given mask takes part in, and
-    the pivot contrasts of o as weights w<coordinate>_<part>. At most 2^D masks times D 2^D
-    jobs, 64 times 186 rows for six parts."""
-    d = len(parts)
-    width = max(len(_bits(o, d)) for o, _ in jobs) - 1
-    rows = []
-    for o, j in jobs:
-        seen = [parts[i] for i in _bits(o, d)]
-        basis = list(sbp_basis(pivot_signs(seen)).values())
-        weights = [float(basis[i].get(p, 0.0)) if i < len(basis) else 0.0 for i in range(width) for p in parts]
-        need = o | 1 << j
-        rows += [(m, o, j, len(seen) - 1, *weights) for m in masks if (m & need == need if side == "donor" else m == o)]
-    names = [f"w{i}_{p}" for i in range(width) for p in parts]
-    return spark.createDataFrame(rows, "__mask int, o int, j int, dims int, " + ", ".join(f"{n} double" for n in names))
-
-
-def _pattern_views(rows: DataFrame, table: DataFrame, parts: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Rows entered once per job they take part in, with the coordinates of the job's parts."""
-    width = 1 + max(int(c[1:].split("_")[0]) for c in table.columns if c.startswith("w"))
-    logs = rows.select(*keep, "__mask", *[F.coalesce(F.ln(p), F.lit(0.0)).alias(f"__l_{p}") for p in parts])
-    z = [add_all([F.col(f"w{i}_{p}") * F.col(f"__l_{p}") for p in parts]).alias(f"z{i}") for i in range(width)]
-    return logs.join(table, "__mask").select(*keep, "o", "j", "dims", *z)
-
-
 def knn_candidates(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int = 5,
                    block: Sequence[str] = ()) -> DataFrame | None:
     """Imputed value of every missing cell of rows with at least two parts: (__row, j, value,
@@ -77,17 +53,24 @@ def knn_candidates(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: i
     jobs = [(o, j) for o in masks for j in range(len(parts)) if not o >> j & 1]
     if not jobs:
         return None
-    # A donor serves a pattern only if it observes more than the pattern's parts, so rows
-    # with fewer than three parts never donate.
-    spark, all_masks = df.sparkSession, range(1, 1 << len(parts))
-    donors = _pattern_views(rows.filter(count_observed(parts) >= 3),
-                            _jobs_table(spark, parts, jobs, all_masks, "donor"), parts, [*block, "__row"])
+    # A donor is entered once, in the tree of the parts it observes. Its coordinates are its pairwise log-ratios, of which a
+    # job's squared distance is a weighted sum: over the pairs of the m parts that the taker observes, divided by m. A taker
+    # walks the trees of all sets of parts that hold its own and the missing one.
+    d, full = len(parts), 1 << len(parts)
+    pairs = list(combinations(range(d), 2))
+    logs = [F.coalesce(F.ln(p), F.lit(0.0)) for p in parts]
+    x = F.array(*[F.when(F.col(parts[i]).isNotNull() & F.col(parts[j]).isNotNull(), logs[i] - logs[j]).otherwise(0.0) for i, j in pairs])
+    blocked = rows.dropna(subset=list(block)).withColumn("__in", F.to_json(F.struct(*block)) if block else F.lit(""))
+    at = lambda mask: F.concat(F.col("__in"), F.lit("|"), mask.cast("string"))
+    weights = [[1.0 / len(_bits(o, d)) if o >> i & 1 and o >> j & 1 else 0.0 for i, j in pairs] for o in masks]
+    routes = [(n, o, j, m) for n, o in enumerate(masks) for j in range(d) if not o >> j & 1 for m in range(full) if m & (o | 1 << j) == o | 1 << j]
+    spark = df.sparkSession
+    table = spark.createDataFrame(routes, "w int, o int, j int, m int")  # at most 2^D patterns times D times 2^D sets, whatever the rows
+    donors = blocked.filter(count_observed(parts) >= 3).select(F.col("__row").alias("rid"), at(F.col("__mask")).alias("root"), x.alias("x"))
     partial = rows.filter(count_observed(parts).between(2, len(parts) - 1))
-    takers = _pattern_views(partial, _jobs_table(spark, parts, jobs, all_masks, "taker"), parts, [*block, "__row"])
-    z = [c for c in donors.columns if c.startswith("z")]
-    near = knn_join(takers, donors.withColumnRenamed("__row", "__donor"), z, k, "__row", "__donor",
-                    [*block, "o", "j"], "dims")
-    near = near.filter(F.col("__donor").isNotNull()).select("__row", "o", "j", "__donor")
+    takers = blocked.filter(count_observed(parts).between(2, d - 1)).withColumn("x", x).join(table, F.col("__mask") == F.col("o"))
+    takers = takers.select(F.struct("__row", "o", "j").alias("lid"), at(F.col("m")).alias("root"), "w", "x")
+    near = cell_knn(takers, donors, k, len(pairs), weights).select("lid.*", F.col("rid").alias("__donor"))
     # Only the chosen donors' values are fetched, by key from the panel itself.
     value = [F.when(F.col("j") == j, F.col(p)) for j, p in enumerate(parts)]
     mid = [F.when(F.col("o") == o, _median([F.col(parts[i]) for i in _bits(o, len(parts))])) for o in masks]
@@ -153,8 +136,8 @@ def impute_robust(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: in
     for _ in range(max_iter if missing else 0):
         seen = Views(state, views)
         base = base or scales(seen)
-        # The first sweep settles the fits; later ones follow the filled values with a few steps each.
-        fits = trimmed_fits(seen, trim, fits, base) if fits is None else trimmed_fits(seen, trim, fits, base, 3, settle=False)
+        # Fits and filled values settle together: the first sweep takes the fits most of the way, later ones follow the values.
+        fits = trimmed_fits(seen, trim, fits, base, 10 if fits is None else 3, settle=False)
         # Row by row the parts are filled one after another, each from the latest values of the others.
         moved = state.withColumns({f"__o_{p}": F.col(p) for p in missing})
         for p in missing:

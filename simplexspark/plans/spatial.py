@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from simplexspark.operators import covariates as V
 from simplexspark.operators import geometry as G
+from simplexspark.operators.cells import cell_knn
 from simplexspark.operators.knn import knn_join
 from simplexspark.operators.reshape import with_months
 from simplexspark.plans.base import CTE_SITES, CTE_STATIONS, Query, r6, r6_sql, rounded, sites, stations, table
@@ -128,18 +129,16 @@ def nearest_places(spark, sf):
     return knn_join(sites(spark, sf), st, ["x", "y"], 1, "site", "code").select("site", "code", r6("distance").alias("distance"))
 
 
-@register("nearest_vectors", """WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
-    CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
- d AS (SELECT l.vec_id, r.vec_id AS other, l.label, sqrt((l.a - r.a) * (l.a - r.a) + (l.b - r.b) * (l.b - r.b) + (l.c - r.c) * (l.c - r.c)) AS distance
-   FROM v l JOIN v r ON l.label = r.label)
+@register("nearest_vectors", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ d AS (SELECT l.vec_id, r.vec_id AS other, l.label, list_distance(l.x, r.x) AS distance FROM v l JOIN v r ON l.label = r.label)
 SELECT vec_id, other, label, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS INTEGER) AS rank
 FROM d QUALIFY rank <= 4""")
 def nearest_vectors(spark, sf):
-    """Four nearest vectors of the same label in the first three coordinates."""
-    v = table(spark, sf, "embeddings").select(
-        "vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("abc")])
-    near = knn_join(v, v.withColumnRenamed("vec_id", "other"), ["a", "b", "c"], 4, "vec_id", "other", ["label"])
-    return rounded(near, ["distance"])
+    """Four nearest vectors of the same label, over all components."""
+    v = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    asks = v.select(F.struct("vec_id", "label").alias("lid"), F.col("label").alias("root"), F.lit(0).alias("w"), "x")
+    near = cell_knn(asks, v.select(F.col("vec_id").alias("rid"), F.col("label").alias("root"), "x"), 4, 64)
+    return near.select("lid.vec_id", F.col("rid").alias("other"), "lid.label", r6(F.sqrt("d2")).alias("distance"), "rank")
 
 
 @register("lattice_months", f"""WITH {CTE_ELEV} SELECT cell, round(altitude, 6) AS altitude, CAST(t.yy AS INTEGER) AS year, CAST(u.m AS INTEGER) AS month

@@ -50,27 +50,29 @@ def test_outlier_screen_finds_the_planted_parts(spark, planted):
         assert got.loc[i, "outlier_cause"] == PARTS[i % 6]
 
 
-def test_knn_imputation_equals_brute_force(spark):
+@pytest.mark.parametrize("d, share", [(6, 0.25), (8, 0.15)])
+def test_knn_imputation_equals_brute_force(spark, d, share):
+    parts = [*PARTS, "q7", "q8"][:d]
     rng = np.random.default_rng(8)
-    full = np.exp(rng.normal(size=(80, 6)) * 0.5 + 2)
-    gaps = rng.random((80, 6)) < 0.25
-    pdf = pd.DataFrame(np.where(gaps, np.nan, full), columns=PARTS)
+    full = np.exp(rng.normal(size=(80, d)) * 0.5 + 2)
+    gaps = rng.random((80, d)) < share
+    pdf = pd.DataFrame(np.where(gaps, np.nan, full), columns=parts)
     pdf["id"] = np.arange(80)
-    df = spark.createDataFrame(pdf).select("id", *[F.when(~F.isnan(p), F.col(p)).alias(p) for p in PARTS])
-    got = impute.impute_knn(df, PARTS, ["id"], 3).toPandas().sort_values("id")
-    x = pdf[PARTS].to_numpy()
+    df = spark.createDataFrame(pdf).select("id", *[F.when(~F.isnan(p), F.col(p)).alias(p) for p in parts])
+    got = impute.impute_knn(df, parts, ["id"], 3).toPandas().sort_values("id")
+    x = pdf[parts].to_numpy()
     for i in range(80):
         seen = ~np.isnan(x[i])
         for j in np.flatnonzero(~seen):
             if seen.sum() < 2:
                 continue
-            ok = [d for d in range(80) if not np.isnan(x[d, [*np.flatnonzero(seen), j]]).any()]
+            ok = [r for r in range(80) if not np.isnan(x[r, [*np.flatnonzero(seen), j]]).any()]
             l = np.log(x[i, seen]) - np.log(x[ok][:, seen])
             d2 = (l ** 2).sum(axis=1) - l.sum(axis=1) ** 2 / seen.sum()
             near = np.array(ok)[np.argsort(d2)[:3]]
             want = np.median(x[near, j] / np.median(x[near][:, seen], axis=1)) * np.median(x[i, seen])
-            assert np.isclose(got[PARTS[j]].to_numpy()[i], want) and got[f"{PARTS[j]}_imputed"].to_numpy()[i]
-    assert np.allclose(got[PARTS].to_numpy()[~gaps], x[~gaps])
+            assert np.isclose(got[parts[j]].to_numpy()[i], want) and got[f"{parts[j]}_imputed"].to_numpy()[i]
+    assert np.allclose(got[parts].to_numpy()[~gaps], x[~gaps])
 
 
 @pytest.fixture(scope="module")
