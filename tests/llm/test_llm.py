@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 from simplexspark.llm.bpe import bpe_decode, bpe_encode
 from simplexspark.llm.fingerprint import add_fingerprints, edited_pairs, fingerprint, from_hex, likeness, subtract_fingerprints, to_hex
-from simplexspark.llm.html import extract_text
+from simplexspark.llm.html import ASK, DROP, KEEP, blocks_of, extract_text
 from simplexspark.llm.lm import PRIOR, score_texts
 from simplexspark.llm.mixing import copy_counts, mix_sources
 from simplexspark.llm.neardup import drop_near_duplicates, fine_signatures, near_classes, near_in_tile, sketch
@@ -270,6 +271,25 @@ def test_main_text_of_copies_and_marked_wrappers(spark):
     assert got == want
 
 
+def test_raw_elements_swallow_nothing():
+    page = "<article><p>One</p>{}<p>Two</p></article>"
+    for raw in ("<script>var a='<!--';</script>", "<script>if(a<b) x // don't</script>", "<style>p:before{content:'<!--'}</style>", "<SCRIPT>\"</SCRIPT >", "<textarea>'<p></textarea>"):
+        assert [t for s, t in blocks_of(page.format(raw)) if s == KEEP] == ["One", "Two"]
+    assert [t for s, t in blocks_of("<article>One<script>never closed <p>Two") if s == KEEP] == ["One"]
+
+
+def test_deeply_nested_pages_take_linear_time():
+    for opened in ("<div>", "<p><b>", "<b>", "<div><p>", "<ul><li>"):
+        start = time.process_time()
+        assert blocks_of(opened * (1_000_000 // len(opened)) + "text")[-1][1] == "text"
+        assert time.process_time() - start < 20
+
+
+def test_marks_settle_nothing_without_an_article():
+    assert blocks_of("<p class='notice-board'>a</p><div class='related-work'><p>b</p></div><nav>c</nav>") == [(ASK, "a"), (ASK, "b"), (DROP, "c")]
+    assert blocks_of("<p class='notice-board'>a<div>d</div><article>b<i class='ad'>x</i></article>") == [(DROP, "a"), (ASK, "d"), (KEEP, "b"), (DROP, "x")]
+
+
 def test_fingerprints(spark, small):
     d = spark.createDataFrame([(1, "a b c\nd e f\ng"), (2, "g\na b c\nd e f"), (3, "a b c"), (4, "d e f\ng"), (5, None), (6, "")], "id long, text string")
     f = {r.id: r.fingerprint for r in fingerprint(d, ["id"]).collect()}
