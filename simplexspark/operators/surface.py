@@ -475,6 +475,22 @@ def long_predictions(pred: DataFrame, base_ym: int, origin: str = "2020-01-01",
     return long.withColumn("date", F.add_months(F.lit(origin).cast("date"), (F.col(ym) - base_ym).cast("int")))
 
 
+def store_predictions(long: DataFrame, path: str) -> None:
+    """Write a long prediction table by statistic and year of its date. Folders that the table has rows for are replaced, all
+    others stay, so a rerun of some years leaves the rest alone and may be repeated after a failure."""
+    placed = long.withColumn("year", F.year("date"))
+    # Rows of a folder go to several tasks by place, so no statistic and year is one task.
+    (placed.repartition("statistic", "year", F.pmod(F.xxhash64("x", "y"), F.lit(16))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("statistic", "year").parquet(path))
+
+
+def stored_predictions(spark: SparkSession, path: str, statistic: str | None = None, years: Sequence[int] = ()) -> DataFrame:
+    """Predictions as they were stored; statistic and years choose folders, the others are not read."""
+    df = spark.read.parquet(path)
+    df = df if statistic is None else df.filter(F.col("statistic") == statistic)
+    return df.filter(F.col("year").isin(list(years))) if years else df
+
+
 def month_slice(pred: DataFrame, months: Sequence[int]) -> DataFrame:
     """Rows of the given calendar months with the year and the statistic's display rank."""
     rank = F.when(F.col("statistic") == "pred_mean", 1).when(F.col("statistic") == "pred_ll", 2).otherwise(3)
@@ -501,6 +517,6 @@ def fit_statistics(df: DataFrame, obs: str, pred: str, sd: str, n_params: int) -
 __all__ = [
     "FieldModel", "MixedFit", "SurfaceModel", "ar1", "bands", "clamp_display", "fit_field", "fit_many",
     "fit_statistics", "fit_surface", "gram_sums", "holdout", "long_predictions", "matern1", "model_frame",
-    "month_index", "month_slice", "neighbours", "predict_field", "predict_surface", "residuals", "variogram",
+    "month_index", "month_slice", "store_predictions", "stored_predictions", "neighbours", "predict_field", "predict_surface", "residuals", "variogram",
     "with_effects",
 ]

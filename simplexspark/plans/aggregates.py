@@ -49,6 +49,22 @@ def distinct_counts(spark, sf):
     return counts.withColumns({"n_rows": F.lit(li.count()), "n_cols": F.lit(len(li.columns)).cast("long")})
 
 
+@register("sketched_counts", """
+SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(DISTINCT l_suppkey) AS stations, count(DISTINCT l_partkey) AS parts, TRUE AS stations_near, TRUE AS parts_near
+FROM lineitem GROUP BY ALL""")
+def sketched_counts(spark, sf):
+    """Distinct stations and parts a year from stored monthly sketches, held against the exact counts (five standard errors)."""
+    from simplexspark.sources import cut
+
+    li = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"),
+                                             F.col("l_suppkey").alias("stations"), F.col("l_partkey").alias("parts"))
+    monthly = cut(stats.distinct_sketches(li, ["year", "month"], ["stations", "parts"]), "sketches")
+    about = stats.merged_counts(monthly, ["year"], ["stations", "parts"]).toDF("y", "s", "p")
+    exact = li.groupBy("year").agg(F.count_distinct("stations").alias("stations"), F.count_distinct("parts").alias("parts"))
+    near = lambda a, n: F.abs(F.col(a) - F.col(n)) <= 5 / 64 * F.col(n)
+    return exact.join(about, F.col("year") == F.col("y")).select("year", "stations", "parts", near("s", "stations").alias("stations_near"), near("p", "parts").alias("parts_near"))
+
+
 @register("distinct_rows", f"WITH {CTE_STATIONS} SELECT DISTINCT county, area FROM stations")
 def distinct_rows(spark, sf):
     return stations(spark, sf).select("county", "area").distinct()

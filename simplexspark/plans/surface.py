@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from simplexspark.operators import surface as M
@@ -11,6 +13,7 @@ from simplexspark.plans.base import (
 from simplexspark.plans.panel import CTE_COVARIATES, covariate_frame
 from simplexspark.plans.spatial import lattice_frame
 from simplexspark.sources import cut
+from simplexspark.sources.stages import scratch_root
 
 QUERIES: dict[str, Query] = {}
 XS = ["altitude", "temp_max", "temp_min"]
@@ -152,6 +155,17 @@ def long_predictions(spark, sf):
     return rounded(_long(spark, sf), ["value"])
 
 
+@register("stored_predictions", f"""WITH {CTE_PRED} SELECT x, y, ym, u.variable AS statistic, round(u.value + CASE year(date) WHEN 2021 THEN 1 ELSE 0 END, 6) AS value, date,
+  CAST(year(date) AS INTEGER) AS year FROM lng WHERE u.variable = 'pred_mean'""")
+def stored_predictions(spark, sf):
+    """The table written by statistic and year, one year run again with other values, and one statistic read back."""
+    path = f"{scratch_root(spark)}/predictions-{uuid.uuid4().hex}"
+    long = cut(_long(spark, sf), "long")
+    M.store_predictions(long, path)
+    M.store_predictions(long.filter(F.year("date") == 2021).withColumn("value", F.col("value") + 1), path)
+    return rounded(M.stored_predictions(spark, path, "pred_mean").select("x", "y", "ym", "statistic", "value", "date", "year"), ["value"])
+
+
 @register("month_slices", f"""WITH {CTE_PRED} SELECT x, y, ym, u.variable AS statistic, round(u.value, 6) AS value, date, CAST(year(date) AS INTEGER) AS year,
   CASE u.variable WHEN 'pred_mean' THEN 1 WHEN 'pred_ll' THEN 2 ELSE 3 END AS facet FROM lng WHERE month(date) IN (2, 9)""")
 def month_slices(spark, sf):
