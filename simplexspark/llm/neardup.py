@@ -5,7 +5,7 @@
 2. Equal sets are one class from here on, so exact copies cost one entry however many there are.
 3. Classes that share a band key are candidates. Each bucket has two centres (the class that meets most others over all its
    buckets, and one chosen by hash), and a class first meets the centre that it shares most buckets with. What is linked by that is one component so far;
-   buckets that are all one component are done. In the others components are tried on each other's centres, and what
+   buckets that are all one component are done. In the others one pair is tried for every two components, and what
    still lies in different ones is compared in tiles. No pair within a known component is formed again, and no link
    between components is lost: a link matters only if it joins two of them.
 4. A candidate's similarity is estimated from bit counts of the packed signatures, corrected for low bits that agree by
@@ -196,8 +196,7 @@ def centre_links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> tupl
     that stay open.
 
     A member first meets the one centre that it shares most buckets with. Of families of near copies that leaves little open.
-    In the buckets that hold several components, one pair is tried for every two components, the one that shares most,
-    and then all members against the centres of other components."""
+    In the buckets that hold several components, one pair is tried for every two components, the one that shares most."""
     touch = members.select(F.explode("centres").alias("c"), F.col("node").alias("m")).where("c <> m").groupBy("m", "c").agg(F.count("*").alias("shared"))
     best = touch.groupBy("m").agg(F.max(F.struct("shared", (-F.col("c")).alias("less"))).alias("best")).select("m", (-F.col("best.less")).alias("c"))
 
@@ -206,16 +205,15 @@ def centre_links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> tupl
         return confirm(promising(ordered, nodes), texts)
 
     links = tried(best)
-    for every in (False, True, None):
+    for last in (False, True):
         placed = rooted_members(members, components(links))
         unsettled = open_buckets(placed)
-        if every is None or unsettled.isEmpty():
+        if last or unsettled.isEmpty():
             return links, placed, unsettled
         apart = placed.join(unsettled, "bucket").select(F.col("node").alias("m"), "root", F.inline("seats")).where("root <> c_root")
-        if not every:
-            shared = apart.groupBy("m", "c", F.least("root", "c_root").alias("r"), F.greatest("root", "c_root").alias("s")).agg(F.count("*").alias("shared"))
-            apart = shared.groupBy("r", "s").agg(F.max_by(F.struct("m", "c"), F.struct("shared", "m", "c")).alias("p")).select("p.*")
-        links = links.union(tried(apart))
+        shared = apart.groupBy("m", "c", F.least("root", "c_root").alias("r"), F.greatest("root", "c_root").alias("s")).agg(F.count("*").alias("shared"))
+        one = shared.groupBy("r", "s").agg(F.max_by(F.struct("m", "c"), F.struct("shared", "m", "c")).alias("p")).select("p.*")
+        links = links.union(tried(one))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
