@@ -1,129 +1,82 @@
-"""Exact grouped quantiles (linear interpolation between order statistics).
+"""Exact grouped quantiles (linear interpolation between order statistics) in two scans.
 
-``percentile`` keeps every distinct value of a group in one task. That is fine for groups
-of known size; a group that may hold a third of all rows goes through range refinement
-instead: two rounds of fixed-width histograms narrow each wanted rank to a bucket, and only
-that bucket's distinct values are sorted. Nothing is approximated on either way.
+1. A rank summary of every group (``percentile_approx``: partial summaries are merged, and the rank of what it returns
+   is off by n / accuracy at most) brackets each wanted rank. The bracket is set three errors to either side, so it holds the
+   rank by proof, and 6 n / accuracy rows and their ties at most. A group of up to ``accuracy`` rows is bracketed whole.
+2. Rows are counted: those inside a bracket by value, those between two brackets together. Counts are added up before they are
+   shuffled; running totals over what is left give the values at the wanted ranks.
+
+All groups and probabilities share both scans, whatever a group's size. Null and NaN are missing values; infinite ones are
+data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simplexspark.functions.scalars import nan_to_null
 from simplexspark.operators.joins import null_safe_join
 
-BUCKETS = 4096
-IN_TASK_ROWS = 500_000
+ACCURACY = 10_000
+
+
+def _values(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    return df.select(*by, nan_to_null(F.col(value).cast("double")).alias("__v")).filter(F.col("__v").isNotNull())
+
 
+def _brackets(rows: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """One row per group: its number of rows __n and the ends __lo, __hi of each probability's bracket."""
+    margin = 3 / accuracy
+    ends = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", ends, accuracy).alias("__e"))
+    small = F.col("__n") <= accuracy
+    lo = [F.when(small | F.lit(p <= margin), F.lit(-math.inf)).otherwise(F.col("__e")[2 * i]) for i, p in enumerate(probs)]
+    hi = [F.when(small | F.lit(p >= 1 - margin), F.lit(math.inf)).otherwise(F.col("__e")[2 * i + 1]) for i, p in enumerate(probs)]
+    return found.select(*by, "__n", F.array(*lo).alias("__lo"), F.array(*hi).alias("__hi"))
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return row[0] or 0
+
+def _values_at(rows: DataFrame, by: Sequence[str], probs: Sequence[float], ranks: Mapping[str, Column],
+               accuracy: int) -> DataFrame:
+    """Values at 0-based ranks, which may refer to __n, near the probabilities: one row per group with __n and a column a rank."""
+    joined = null_safe_join(rows, _brackets(rows, by, probs, accuracy), by)
+    k = range(len(probs))
+    above_lo = reduce(lambda a, b: a + b, [(F.col("__v") >= F.col("__lo")[i]).cast("int") for i in k])
+    above_hi = reduce(lambda a, b: a + b, [(F.col("__v") > F.col("__hi")[i]).cast("int") for i in k])
+    # The segment grows with the value, and all of a segment lies inside a bracket or outside of all.
+    tagged = joined.select(*by, "__n", (above_lo + above_hi).alias("__s"), F.when(above_lo > above_hi, F.col("__v")).alias("__v"))
+    counted = tagged.groupBy(*by, "__s", "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"))
+    w = Window.partitionBy(*by).orderBy("__s", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.withColumn("__upto", F.sum("__c").over(w))
+    bracketed = F.coalesce(F.col("__v"), F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double"))
+    picked = [F.max(F.when((r >= F.col("__upto") - F.col("__c")) & (r < F.col("__upto")), bracketed)).alias(name)
+              for name, r in ranks.items()]
+    return upto.groupBy(*by).agg(F.first("__n").alias("__n"), *picked)
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str],
-                    in_task_rows: int = IN_TASK_ROWS) -> DataFrame:
-    """One row per group with a column per probability. ``in_task_rows`` bounds the group
-    size that a single task may hold."""
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    if largest_group(rows, by) <= in_task_rows:
-        q = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias("__q")
-        return rows.groupBy(*by).agg(q).select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-    return _refined(rows, by, probs, names)
-
-
-def _bucket(v: Column, lo: Column, hi: Column) -> Column:
-    """Monotone bucket of v between lo and hi. Halves are subtracted so that the widest
-    double range does not overflow."""
-    share = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)
-    return F.least(F.coalesce(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
-
-
-def _hit_buckets(hist: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
-    """Buckets holding a wanted rank, with the number of rows before them. A group has at
-    most BUCKETS rows here."""
-    w = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = hist.withColumn("__upto", F.sum("__c").over(w))
-    inside = F.filter("__ranks", lambda r: (r >= F.col("__upto") - F.col("__c")) & (r < F.col("__upto")))
-    return (upto.withColumn("__hit", inside).filter(F.size("__hit") > 0)
-            .withColumn("__rel", F.transform("__hit", lambda r: r - (F.col("__upto") - F.col("__c")))))
-
-
-def _refined(rows: DataFrame, by: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    by = list(by)
-    # A signed log scale first: it keeps one far value from filling a single bucket.
-    rows = rows.withColumn("__s", F.signum("__v") * F.log1p(F.abs("__v")))
-    stats = rows.groupBy(*by).agg(F.min("__s").alias("__lo"), F.max("__s").alias("__hi"),
-                                  F.count(F.lit(1)).alias("__n"))
+                    accuracy: int = ACCURACY) -> DataFrame:
+    """One row per group with a column per probability; groups without values have none. ``accuracy`` sets the size of the
+    summaries and of the brackets, not the result."""
     at = [(F.col("__n") - 1) * F.lit(float(p)) for p in probs]
-    wanted = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
-    stats = stats.withColumn("__ranks", wanted)
-    binned = null_safe_join(rows, stats, by).withColumn("__b", _bucket(F.col("__s"), F.col("__lo"), F.col("__hi")))
-    hist = binned.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo2"),
-                                          F.max("__v").alias("__hi2"), F.first("__ranks").alias("__ranks"))
-    hits = _hit_buckets(hist, by, "__b").select(*by, "__b", "__lo2", "__hi2", "__hit", "__rel")
-    cand = null_safe_join(binned.select(*by, "__b", "__v"), hits, [*by, "__b"])
-    cand = cand.withColumn("__b2", _bucket(F.col("__v"), F.col("__lo2"), F.col("__hi2")))
-    fine = (cand.groupBy(*by, "__b", "__b2", "__v")
-            .agg(F.count(F.lit(1)).alias("__c"), F.first("__rel").alias("__rel")))
-    hist2 = (fine.groupBy(*by, "__b", "__b2")
-             .agg(F.sum("__c").alias("__c"), F.first("__rel").alias("__ranks")))
-    hits2 = (_hit_buckets(hist2, [*by, "__b"], "__b2")
-             .select(*by, "__b", "__b2", "__hit", F.col("__rel").alias("__in")))
-    last = null_safe_join(fine.drop("__rel"), hits2.drop("__hit"), [*by, "__b", "__b2"])
-    w = (Window.partitionBy(*by, "__b", "__b2").orderBy("__v")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = last.withColumn("__upto", F.sum("__c").over(w))
-    got = last.withColumn("__r2", F.explode(F.filter(
-        "__in", lambda r: (r >= F.col("__upto") - F.col("__c")) & (r < F.col("__upto")))))
-    # Back from the rank inside the sub-bucket to the rank inside the group.
-    offsets = hits2.select(*by, "__b", "__b2", F.explode(F.arrays_zip(F.col("__in").alias("i"),
-                                                                    F.col("__hit").alias("h"))).alias("z"))
-    offsets = offsets.select(*by, "__b", "__b2", F.col("z.i").alias("__r2"), F.col("z.h").alias("__r1"))
-    first = hits.select(*by, "__b", F.explode(F.arrays_zip(F.col("__rel").alias("i"), F.col("__hit").alias("h"))).alias("z"))
-    first = first.select(*by, "__b", F.col("z.i").alias("__r1"), F.col("z.h").alias("__rank"))
-    found = null_safe_join(got.select(*by, "__b", "__b2", "__r2", "__v"), offsets, [*by, "__b", "__b2", "__r2"])
-    found = null_safe_join(found.select(*by, "__b", "__r1", "__v"), first, [*by, "__b", "__r1"])
-    table = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__m"))
-    table = null_safe_join(table, stats.select(*by, "__n"), by)
+    ranks = {f"__{end}{i}": f(a).cast("long") for i, a in enumerate(at) for end, f in (("a", F.floor), ("b", F.ceil))}
+    found = _values_at(_values(df, by, value), by, probs, ranks, accuracy)
     out = []
-    for p, name in zip(probs, names):
-        pos = (F.col("__n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
-        a, b = F.col("__m")[lo], F.col("__m")[hi]
-        # Weighted form: exact at the ranks themselves.
-        out.append(F.when(lo == hi, a).otherwise((hi - pos) * a + (pos - lo) * b).alias(name))
-    return table.select(*by, *out)
-
-
-def order_statistic(df: DataFrame, value: str, rank: int, n: int | None = None,
-                    in_task_rows: int = IN_TASK_ROWS) -> float:
-    """The ``rank``-th smallest value (1-based), found by narrowing a value range with one
-    histogram per pass; at most BUCKETS rows reach the driver per pass. ``n``, when the
-    caller already knows the number of non-null values, saves a pass on small tables."""
-    v = F.col(value)
-    part, want = df.filter(v.isNotNull()), rank
-    if n is None or n > in_task_rows:
-        lo, hi, n = df.agg(F.min(v), F.max(v), F.count(v)).first()
+    for i, (pos, name) in enumerate(zip(at, names)):
+        a, b, part = F.col(f"__a{i}"), F.col(f"__b{i}"), pos - F.floor(pos)
+        # Weighted form: exact at the ranks themselves, and between two equal infinite values.
+        out.append(F.when(a == b, a).otherwise((1 - part) * a + part * b).alias(name))
+    return found.select(*by, *out)
+
+
+def order_statistic(df: DataFrame, value: str, rank: int, n: int | None = None, accuracy: int = ACCURACY) -> float:
+    """The ``rank``-th smallest value (1-based). ``n``, the number of values, saves a scan where the caller knows it."""
+    rows = _values(df, [], value)
+    n = rows.count() if n is None else n
     if not 1 <= rank <= n:
         raise ValueError(f"rank {rank} outside 1..{n}")
-    while n > in_task_rows and lo < hi:
-        b = _bucket(v, F.lit(lo), F.lit(hi))
-        hist = part.groupBy(b.alias("b")).agg(F.count(v).alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-        for row in sorted(hist.collect(), key=lambda r: r["b"]):
-            if want <= row["c"]:
-                break
-            want -= row["c"]
-        if (row["lo"], row["hi"]) == (lo, hi):
-            break
-        lo, hi, n = row["lo"], row["hi"], row["c"]
-        part = df.filter((v >= lo) & (v <= hi))
-    if n > in_task_rows:
-        # One value, or values too close for the histogram to part: count them.
-        counts = part.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return counts.withColumn("u", F.sum("c").over(w)).filter(F.col("u") >= want).agg(F.min("v")).first()[0]
-    return part.agg(F.element_at(F.array_sort(F.collect_list(v)), want)).first()[0]
+    return _values_at(rows, [], [(rank - 1) / max(n - 1, 1)], {"x": F.lit(rank - 1)}, accuracy).first()["x"]

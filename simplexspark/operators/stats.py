@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simplexspark.functions.scalars import count_observed, observed
+from simplexspark.functions.scalars import count_observed, nan_to_null, observed
 from simplexspark.operators.joins import null_safe_join
 from simplexspark.operators.quantiles import exact_quantiles
 from simplexspark.operators.reshape import unpivot
@@ -25,8 +25,8 @@ def _column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
 
 
 def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row per column: n, n_missing, pct_missing, mean, median, sd, min, max."""
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    """One row per column: n, n_missing, pct_missing, mean, median, sd, min, max. NaN counts as missing."""
+    df = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
     moments = _column_stats(df, cols, {
         "n": F.count, "n_missing": lambda c: F.count_if(c.isNull()),
         "pct_missing": lambda c: F.avg(c.isNull().cast("double")) * 100,
@@ -38,8 +38,8 @@ def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def summary_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Min, Q1, Median, Mean, Q3, Max and SD of each column."""
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    """Min, Q1, Median, Mean, Q3, Max and SD of each column over its values that are neither null nor NaN."""
+    df = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
     moments = _column_stats(df, cols, {"min": F.min, "mean": F.avg, "max": F.max, "sd": F.stddev_samp})
     qs = _column_quantiles(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     return (moments.join(qs, "variable", "left")
@@ -76,8 +76,9 @@ def mean_by(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFram
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Quartiles, whisker ends (extreme values within 1.5 IQR of the box) and outlier count."""
-    known = df.filter(F.col(value).isNotNull())
+    """Quartiles, whisker ends (extreme values within 1.5 IQR of the box) and outlier count. Null and
+    NaN are left out."""
+    known = df.withColumn(value, nan_to_null(F.col(value).cast("double"))).filter(F.col(value).isNotNull())
     box = exact_quantiles(known, by, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)

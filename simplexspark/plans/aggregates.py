@@ -101,11 +101,11 @@ def coordinate_summary(spark, sf):
 SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(median(l_extendedprice), 6) AS median,
   round(quantile_cont(l_extendedprice, 0.75), 6) AS q3 FROM lineitem GROUP BY ALL""")
 def refined_quantiles(spark, sf):
-    """The range-refinement way of exact quantiles, which hot groups take."""
+    """Exact quantiles with narrow brackets on groups far larger than the summaries."""
     from simplexspark.operators.quantiles import exact_quantiles
 
     li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
-    out = exact_quantiles(li, ["flag"], "l_extendedprice", [0.25, 0.5, 0.75], ["q1", "median", "q3"], in_task_rows=1000)
+    out = exact_quantiles(li, ["flag"], "l_extendedprice", [0.25, 0.5, 0.75], ["q1", "median", "q3"], accuracy=1000)
     return rounded(out, ["q1", "median", "q3"])
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simplexspark.operators import geometry as G
+from simplexspark.operators import stats
 from simplexspark.operators.joins import exclude, merge_conflicts
 from simplexspark.operators.knn import knn_join
 from simplexspark.operators.quantiles import exact_quantiles, order_statistic
@@ -68,7 +69,39 @@ def test_order_statistic_narrowing(spark):
     v[:1500] = 0.25
     df = spark.createDataFrame(pd.DataFrame({"v": v}))
     for rank in (1, 700, 2500, 5000):
-        assert order_statistic(df, "v", rank, in_task_rows=50) == np.sort(v)[rank - 1] == order_statistic(df, "v", rank, 5000)
+        assert order_statistic(df, "v", rank, accuracy=50) == np.sort(v)[rank - 1] == order_statistic(df, "v", rank, 5000)
+    with pytest.raises(ValueError):
+        order_statistic(df, "v", 5001)
+
+
+def test_quantiles_of_hot_groups_infinite_and_missing_values(spark):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=20000), np.full(9000, 0.5), [np.inf, -np.inf]])
+    g = np.where(np.arange(v.size) % 10 == 0, "b", "a")
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v})).repartition(7)
+    gaps = spark.createDataFrame([("a", float("nan")), ("a", None), ("none", float("nan")), ("none", None)], "g string, v double")
+    probs = [0.0, 0.001, 0.25, 0.5, 0.5001, 0.9, 1.0]
+    for accuracy in (100, 1000, 10000):
+        got = exact_quantiles(df.unionByName(gaps), ["g"], "v", probs, list("hijklmn"), accuracy).collect()
+        assert {r["g"] for r in got} == {"a", "b"}
+        for row in got:
+            mine = np.sort(v[g == row["g"]])
+            at = np.array(probs) * (mine.size - 1)
+            lo, part = np.floor(at).astype(int), at - np.floor(at)
+            hi = np.ceil(at).astype(int)
+            want = [mine[a] if mine[a] == mine[b] else (1 - t) * mine[a] + t * mine[b] for a, b, t in zip(lo, hi, part)]
+            assert np.allclose(list(row)[1:], want, rtol=1e-9)
+    assert exact_quantiles(gaps, ["g"], "v", [0.5], ["m"]).count() == 0
+
+
+def test_profiles_skip_nan(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    row = stats.profile(df, ["v"]).first()
+    assert (row["n"], row["n_missing"], row["mean"], row["median"], row["max"]) == (2, 2, 2.0, 2.0, 3.0)
+    row = stats.summary_table(df, ["v"]).first()
+    assert (row["min"], row["mean"], row["max"]) == (1.0, 2.0, 3.0)
+    row = stats.box_stats(df.selectExpr("1 AS g", "v"), ["g"], "v").first()
+    assert (row["n"], row["median"], row["upper"]) == (2, 2.0, 3.0)
 
 
 def test_row_ids_and_split_do_not_depend_on_partitioning(spark):
