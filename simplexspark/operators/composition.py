@@ -49,27 +49,6 @@ def moments(df: DataFrame, cols: Sequence[str], sample: bool = False, also: str
     return (mean, cov, row[-1]) if also else (mean, cov)
 
 
-def centred_moments(df: DataFrame, cols: Sequence[str], centre: np.ndarray, scale: np.ndarray, also: str | None = None):
-    """As :func:`moments` with divisor n, from plain sums of products around a given centre and
-    scale: much lighter to compile than covariance aggregates, which matters in a loop of small
-    fits, and safe because the values are already centred. ``df`` has no nulls."""
-    u = [f"({c} - ({float(m)!r}D)) / {float(s)!r}D AS u{i}" for i, (c, m, s) in enumerate(zip(cols, centre, scale))]
-    k = range(len(cols))
-    upper = [(i, j) for i in k for j in k if i <= j]
-    row = (df.selectExpr(*u, f"{also or '0D'} AS extra")
-           .selectExpr("count(1)", "sum(extra)", *[f"sum(u{i})" for i in k], *[f"sum(u{i} * u{j})" for i, j in upper]).first())
-    n = row[0]
-    if not n:
-        raise ValueError(f"no rows for {list(cols)}")
-    mean = np.array(row[2:2 + len(cols)], float) / n
-    second = np.zeros((len(cols), len(cols)))
-    for (i, j), v in zip(upper, row[2 + len(cols):]):
-        second[i, j] = second[j, i] = v / n
-    cov = (second - np.outer(mean, mean)) * np.outer(scale, scale)
-    out = centre + scale * mean
-    return (out, cov, row[1]) if also else (out, cov)
-
-
 @dataclass
 class Pca:
     parts: list[str]

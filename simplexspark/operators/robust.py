@@ -1,26 +1,28 @@
-"""Robust fits by concentration steps on aggregates, and the outlier screen built on them.
+"""Robust location and scatter by concentration steps on aggregates, and the outlier screen built on them.
 
-Every step is two jobs over the rows, an order statistic of the residual or distance and
-one aggregate of sums over the rows below it; only a handful of numbers reach the driver.
+A step of all starts is one job over the rows: products of the row are summed by start and bin of log squared distance
+(``BINS`` bins an octave), so the sums of the h nearest rows are read off, a part of the bin that holds the h-th one being
+taken by weight. Only these sums reach the driver, a few hundred rows a start whatever the number of rows.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simplexspark.functions.scalars import decode_bits
 from simplexspark.functions.simplex import Signs, add_all, balances, basis_matrix, sbp_basis
 from simplexspark.operators.chisquare import chi2_quantile, gamma_p
-from simplexspark.operators.composition import centred_moments, moments
-from simplexspark.operators.quantiles import exact_quantiles, order_statistic
-from simplexspark.operators.trimmed import lts_fit  # noqa: F401
+from simplexspark.operators.composition import moments
+from simplexspark.operators.quantiles import exact_quantiles
+from simplexspark.operators.trimmed import BINS, add_by_bin, lts_fit, smallest  # noqa: F401
 from simplexspark.sources.stages import cut
 
 
@@ -50,21 +52,69 @@ def _robust_shapes(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.n
     return med, scale, shapes
 
 
-def mahalanobis2(cols: Sequence[str], centre: np.ndarray, scatter: np.ndarray) -> Column:
-    """Squared distance as Column arithmetic: the squared length of the whitened row."""
+def whitening(names: Sequence[str], scatter: np.ndarray) -> np.ndarray:
+    """Matrix that maps deviations to vectors whose squared length is the squared distance."""
     values, vectors = np.linalg.eigh(scatter)
     if values[0] <= 1e-14 * max(values[-1], 1e-300):
-        raise ValueError(f"scatter of {list(cols)} is singular")
-    white = (vectors / np.sqrt(values)).T
+        raise ValueError(f"scatter of {list(names)} is singular")
+    return (vectors / np.sqrt(values)).T
+
+
+def mahalanobis2(cols: Sequence[str], centre: np.ndarray, scatter: np.ndarray) -> Column:
+    """Squared distance as Column arithmetic: the squared length of the whitened row."""
+    white = whitening(cols, scatter)
     lines = [" + ".join(f"({float(w)!r}D) * ({c} - ({float(m)!r}D))" for w, c, m in zip(row, cols, centre)) for row in white]
     return F.expr(" + ".join(f"pow({x}, 2)" for x in lines))
 
 
+@dataclass
+class Start:
+    """Centre and scatter a step starts from, in columns that are centred and scaled."""
+    centre: np.ndarray
+    scatter: np.ndarray
+
+
+def concentrate(df: DataFrame, cols: Sequence[str], h: int, starts: Sequence[Start], centre: np.ndarray,
+                scale: np.ndarray) -> list[Start]:
+    """One concentration step of every start in one job: centre and scatter of its h nearest rows."""
+    p, upper = len(cols), np.triu_indices(len(cols))
+    maps = [(s.centre, whitening(cols, s.scatter)) for s in starts]
+    names = ["n", *[f"s{i}" for i in range(p + len(upper[0]))]]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u = (np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre) / scale
+            values = np.column_stack([np.ones(len(u)), u, u[:, upper[0]] * u[:, upper[1]]])
+            for k, (m, white) in enumerate(maps):
+                d2 = (((u - m) @ white.T) ** 2).sum(axis=1)
+                with np.errstate(divide="ignore"):
+                    place = np.clip(np.floor(np.log2(d2) * BINS), -1001, 1000).astype(int)
+                add_by_bin(total, k, place, values)
+        columns = np.array(list(total.values())).reshape(len(total), len(names)).T
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([b for _, b in total], pa.int32()), *[pa.array(c) for c in columns]],
+                                         names=["start", "bin", *names])
+
+    rows = df.select(*[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(cols)])
+    sums = rows.mapInArrow(add_up, "start int, bin int, " + ", ".join(f"{n} double" for n in names))
+    table = sums.groupBy("start", "bin").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    out = []
+    for _, part in sorted(table.groupby("start")):
+        found = smallest(part.drop(columns="start").to_numpy(float), h)
+        mean, second = found[1:1 + p] / found[0], np.zeros((p, p))
+        second[upper] = found[1 + p:] / found[0]
+        second = np.triu(second) + np.triu(second, 1).T
+        out.append(Start(mean, second - np.outer(mean, mean)))
+    return out
+
+
 def robust_location_scatter(df: DataFrame, cols: Sequence[str], max_steps: int = 100,
-                            tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+                            tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """Minimum covariance determinant with h = (n+p+1)/2, from three deterministic starts
-    (Hubert, Rousseeuw & Verdonck 2012), made consistent at the normal and reweighted once
-    at the 97.5 % point."""
+    (Hubert, Rousseeuw & Verdonck 2012) that take their first two steps side by side, made
+    consistent at the normal and reweighted once at the 97.5 % point."""
     cols, p = list(cols), len(cols)
     df = df.select(*cols).dropna()
     n = df.count()
@@ -75,24 +125,19 @@ def robust_location_scatter(df: DataFrame, cols: Sequence[str], max_steps: int =
     for c, v in zip(cols, scale):
         if not v:
             raise ValueError(f"column {c} is constant on more than half of the rows")
-    starts = [np.diag(scale ** 2), *[corr * np.outer(scale, scale) for corr in shapes]]
-
-    def step(m: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = df.withColumn("__d2", mahalanobis2(cols, m, s))
-        return centred_moments(rows.filter(F.col("__d2") <= order_statistic(rows, "__d2", h, n)), cols, centre, scale)
-
-    tried = [step(*step(centre, s)) for s in starts]
-    m, s = min(tried, key=lambda t: np.linalg.det(t[1]))
-    det = np.linalg.det(s)
+    tried = [Start(np.zeros(p), shape) for shape in (np.eye(p), *shapes)]
+    for _ in range(2):
+        tried = concentrate(df, cols, h, tried, centre, scale)
+    best = min(tried, key=lambda s: np.linalg.det(s.scatter))
     for _ in range(max_steps):
-        m2, s2 = step(m, s)
-        new = np.linalg.det(s2)
-        if det - new <= tol * det:
+        following, = concentrate(df, cols, h, [best], centre, scale)
+        gain = np.linalg.det(best.scatter) - np.linalg.det(following.scatter)
+        if gain <= tol * np.linalg.det(best.scatter):
             break
-        m, s, det = m2, s2, new
+        best = following
     else:
         warnings.warn(f"location and scatter had not settled after {max_steps} steps", stacklevel=2)
-    s = s * _consistency(h / n, p)
+    m, s = centre + scale * best.centre, best.scatter * np.outer(scale, scale) * _consistency(h / n, p)
     cutoff = chi2_quantile(0.975, p)
     m, s = moments(df.filter(mahalanobis2(cols, m, s) <= cutoff), cols, sample=True)
     return m, s * _consistency(0.975, p)

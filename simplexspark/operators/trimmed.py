@@ -151,6 +151,14 @@ def nested_starts(views: Views, base: Mapping[str, Scale], trim: float) -> dict[
     return out
 
 
+def add_by_bin(total: dict[tuple[int, int], np.ndarray], fit: int, place: np.ndarray, values: np.ndarray) -> None:
+    """Add rows of values to the sums of their fit and bin."""
+    order = np.argsort(place, kind="stable")
+    bins, first = np.unique(place[order], return_index=True)
+    for b, sums in zip(bins.tolist(), np.add.reduceat(values[order], first, axis=0)):
+        total[fit, b] = total[fit, b] + sums if (fit, b) in total else sums
+
+
 def summed(views: Views, base: Mapping[str, Scale], betas: Mapping[str, np.ndarray], limits: Mapping[str, float] | None = None) -> pd.DataFrame:
     """Counts, squared residuals and sums of scaled products by regression and bin of log squared residual; with ``limits``,
     of the rows up to them in one bin. A task adds up its rows and hands on a row a bin."""
@@ -172,10 +180,7 @@ def summed(views: Views, base: Mapping[str, Scale], betas: Mapping[str, np.ndarr
                 values = np.column_stack([np.ones(len(rows)), r2, u, u[:, upper[0]] * u[:, upper[1]]])
                 with np.errstate(divide="ignore"):
                     place = np.clip(np.floor(np.log2(r2 / scale.spread[0] ** 2) * BINS), -1001, 1000).astype(int) if limits is None else np.zeros(len(rows), int)
-                order = np.argsort(place, kind="stable")
-                bins, first = np.unique(place[order], return_index=True)
-                for b, sums in zip(bins.tolist(), np.add.reduceat(values[order], first, axis=0)):
-                    total[j, b] = total[j, b] + sums if (j, b) in total else sums
+                add_by_bin(total, j, place, values)
         columns = np.array(list(total.values())).reshape(len(total), len(names)).T
         yield pa.RecordBatch.from_arrays([pa.array([views_names[j] for j, _ in total], pa.string()), pa.array([b for _, b in total], pa.int32()), *[pa.array(c) for c in columns]],
                                          names=["fit", "bin", *names])

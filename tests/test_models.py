@@ -50,6 +50,40 @@ def test_outlier_screen_finds_the_planted_parts(spark, planted):
         assert got.loc[i, "outlier_cause"] == PARTS[i % 6]
 
 
+def test_concentration_equals_numpy_for_all_starts(spark):
+    rng = np.random.default_rng(21)
+    x = rng.multivariate_normal([1, -2, 0], [[2, 1, 0], [1, 3, 1], [0, 1, 1]], size=4000)
+    x[:1000] += [30, 0, 5]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc"))).repartition(5)
+    centre, scale = np.median(x, axis=0), np.array([2.0, 1.0, 3.0])
+    starts = [robust.Start(np.zeros(3), np.eye(3)), robust.Start(np.array([1.0, 0, 0]), np.diag([1.0, 2, 3]))]
+    h, u = 2002, (x - centre) / scale
+    for start, got in zip(starts, robust.concentrate(df, list("abc"), h, starts, centre, scale)):
+        d2 = np.einsum("ni,ij,nj->n", u - start.centre, np.linalg.inv(start.scatter), u - start.centre)
+        bins = np.floor(np.log2(d2) * robust.BINS)
+        last = np.sort(bins)[h - 1]
+        weight = (bins < last) + (bins == last) * (h - (bins < last).sum()) / (bins == last).sum()
+        assert np.isclose(weight.sum(), h)
+        mean = weight @ u / h
+        assert np.allclose(got.centre, mean)
+        assert np.allclose(got.scatter, (u * weight[:, None]).T @ u / h - np.outer(mean, mean))
+
+
+def test_location_and_scatter_withstand_a_quarter_of_far_rows(spark):
+    rng = np.random.default_rng(22)
+    want = np.array([[2, 1, 0], [1, 3, 1], [0, 1, 1.0]])
+    x = rng.multivariate_normal([1, -2, 0], want, size=6000)
+    x[:1500] = rng.normal([40, 10, -20], 0.5, (1500, 3))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")))
+    m, s = robust.robust_location_scatter(df, list("abc"))
+    assert np.allclose(m, [1, -2, 0], atol=0.15) and np.allclose(s, want, atol=0.3)
+    tied = df.selectExpr("a", "b", "CASE WHEN a > 30 THEN c ELSE 1D END AS c")
+    with pytest.raises(ValueError, match="constant"):
+        robust.robust_location_scatter(tied, list("abc"))
+    with pytest.raises(ValueError, match="few"):
+        robust.robust_location_scatter(df.limit(6), list("abc"))
+
+
 @pytest.mark.parametrize("d, share", [(6, 0.25), (8, 0.15)])
 def test_knn_imputation_equals_brute_force(spark, d, share):
     parts = [*PARTS, "q7", "q8"][:d]
