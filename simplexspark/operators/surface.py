@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,9 +79,9 @@ class MixedFit:
         return spark.createDataFrame(rows, "term string, mean double, sd double, q025 double, q975 double")
 
 
-def gram_sums(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str, centre: Sequence[float],
+def gram_sums(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str | Sequence[str], centre: Sequence[float],
               scale: Sequence[float]) -> DataFrame:
-    """Per group and response: n and all sums and cross sums of the scaled regressors and the
+    """Per group (one column or several) and response: n and all sums and cross sums of the scaled regressors and the
     response, over rows where both are known. One shuffle of one row per group and task."""
     z = [F.lit(1.0)] + [(F.col(x) - F.lit(float(m))) / F.lit(float(s)) for x, m, s in zip(xs, centre, scale)]
     p, sums = len(z), []
@@ -93,7 +93,8 @@ def gram_sums(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group:
                 add(z[i] * z[j], f"c{i}_{j}")
             add(z[i] * F.col(y), f"y{i}")
         add(F.col(y) * F.col(y), "yy")
-    return df.dropna(subset=[*xs, group]).groupBy(group).agg(*sums)
+    keys = [group] if isinstance(group, str) else list(group)
+    return df.dropna(subset=[*xs, *keys]).groupBy(*keys).agg(*sums)
 
 
 def fit_many(df: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str, max_rounds: int = 100,
@@ -412,9 +413,10 @@ class SurfaceModel:
 
 
 def fit_surface(stations: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str, station_id: str,
-                row_id: str, max_dist: float, bins: int = 15) -> SurfaceModel:
+                row_id: str, max_dist: float, bins: int = 15, fit: Callable = fit_many) -> SurfaceModel:
     """Fit all responses: ``stations`` holds one row per station-month with x, y, ym. The
-    responses share the pass for the sums and the residual stage."""
+    responses share the pass for the sums and the residual stage. ``fit`` gives the fixed effects and intercepts:
+    ``fit_many``, or ``partial(fit_factors, factors=...)`` where categories are among the regressors."""
     names = [f"res_{y}" for y in responses]
 
     def memory(fits: dict[str, MixedFit], effects: DataFrame) -> tuple[DataFrame, dict[str, float]]:
@@ -423,8 +425,8 @@ def fit_surface(stations: DataFrame, responses: Sequence[str], xs: Sequence[str]
         return res, {y: min(0.99, max(0.0, got[f"res_{y}"])) for y in responses}
 
     # A first fit only measures the memory; the second allows for it.
-    _, rho = memory(*fit_many(stations, responses, xs, group))
-    fits, effects = fit_many(stations, responses, xs, group, inflation={y: (1 + r) / (1 - r) for y, r in rho.items()})
+    _, rho = memory(*fit(stations, responses, xs, group))
+    fits, effects = fit(stations, responses, xs, group, inflation={y: (1 + r) / (1 - r) for y, r in rho.items()})
     effects = cut(effects, "group-effects")
     res, rho = memory(fits, effects)
     table = variogram(res, names, "x", "y", ["ym"], max_dist, bins).collect()  # bins x responses rows
@@ -451,11 +453,11 @@ def predict_surface(model: SurfaceModel, targets: DataFrame, target_id: str, row
 
 
 def holdout(stations: DataFrame, responses: Sequence[str], xs: Sequence[str], group: str, station_id: str, row_id: str,
-            max_dist: float, frac: float = 0.75, seed: int = 1714, k: int = 6) -> DataFrame:
+            max_dist: float, frac: float = 0.75, seed: int = 1714, k: int = 6, fit: Callable = fit_many) -> DataFrame:
     """Fit on a fixed random share, predict the masked rest, and score per response:
     (response, n, r, rmse, mae, coverage)."""
     train, test = split_exact(stations, frac, seed, [row_id])
-    model = fit_surface(train, responses, xs, group, station_id, row_id, max_dist)
+    model = fit_surface(train, responses, xs, group, station_id, row_id, max_dist, fit=fit)
     masked = test.withColumns({y: F.lit(None).cast("double") for y in responses})
     pred = predict_surface(model, masked.drop(*responses), row_id, row_id, k, noise=True)
     both = test.select(row_id, *responses).join(pred.select(

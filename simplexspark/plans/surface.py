@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from simplexspark.operators import surface as M
+from simplexspark.operators.factors import fit_factors
 from simplexspark.plans.base import (
     COORDS, CTE_STATIONS, CTE_TSPACE, KEY, Query, r6, r6_sql, rounded, stacked, stations, tspace,
 )
@@ -87,6 +88,42 @@ def place_intercepts(spark, sf):
     return effects
 
 
+def classed_rows(spark, sf):
+    """Station-months with urban class and type beside the numbers, rain among them."""
+    st = stations(spark, sf).select("station", "station_type", "area", "municipality")
+    rain = covariate_frame(spark, sf).select(F.col("name").alias("municipality"), "year", "month", "rain")
+    return station_rows(spark, sf).join(st, "station").join(rain, ["municipality", "year", "month"], "left")
+
+
+def coefficients(spark, fits, columns):
+    """The tables of all responses in one."""
+    out = None
+    for y, fit in fits.items():
+        t = fit.table(spark).select(F.lit(y).alias("response"), *columns)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("class_slopes", f"""WITH {CTE_ROWS}, s AS (SELECT u.variable AS response, area, regr_slope(u.value, r.altitude) AS b, regr_intercept(u.value, r.altitude) AS a
+   FROM (SELECT *, unnest({stacked(COORDS)}) AS u FROM rows_) r JOIN stations USING (station) GROUP BY ALL),
+ z AS (SELECT response, min(area) AS base FROM s GROUP BY ALL), d AS (SELECT s.*, z.base, t.a AS a0, t.b AS b0 FROM s JOIN z USING (response) JOIN s t ON t.response = s.response AND t.area = z.base)
+SELECT response, CASE WHEN area = base THEN 'intercept' ELSE 'area=' || area END AS term, round(CASE WHEN area = base THEN a ELSE a - a0 END, 6) AS mean FROM d
+UNION ALL SELECT response, CASE WHEN area = base THEN 'altitude' ELSE 'altitude:area=' || area END, round(1000 * CASE WHEN area = base THEN b ELSE b - b0 END, 6) FROM d""")
+def class_slopes(spark, sf):
+    """Intercept and slope on altitude (per 1000) by urban class, all six responses. In one group that is a regression in each class."""
+    rows = classed_rows(spark, sf).withColumn("all", F.lit(1))
+    fits, _ = fit_factors(rows, COORDS, ["altitude"], "all", ["area"], {"area": ["altitude"]})
+    mean = F.when(F.col("term").startswith("altitude"), F.col("mean") * 1000).otherwise(F.col("mean"))
+    return coefficients(spark, fits, ["term", r6(mean).alias("mean")])
+
+
+@register("class_effects", None)
+def class_effects(spark, sf):
+    """Coefficients of all six responses with urban class, station type and rain, beside county intercepts."""
+    fits, _ = fit_factors(classed_rows(spark, sf), COORDS, [*XS, "rain"], "county", ["area", "station_type"])
+    return coefficients(spark, fits, ["term", "mean", "sd", "q025", "q975"])
+
+
 _CELL = MAX_DIST / 30
 
 
