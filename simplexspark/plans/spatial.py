@@ -117,6 +117,45 @@ def prepared_raster(spark, sf):
     return rounded(G.prepare_raster(cells, (260000, 4480000), 5000, 31, (300000, 4500000, 450000, 4700000)), ["value"])
 
 
+def _inverse_sql() -> str:
+    """Degrees of the target centres (cell, x, y), as in ``from_utm``."""
+    f = G.FLATTENING
+    n = f / (2 - f)
+    k = 0.9996 * G.SEMI_MAJOR / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64)
+    b = [n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 - n ** 4 / 360, n ** 2 / 48 + n ** 3 / 15 - 437 * n ** 4 / 1440,
+         17 * n ** 3 / 480 - 37 * n ** 4 / 840, 4397 * n ** 4 / 161280]
+    d = [2 * n - 2 * n ** 2 / 3 - 2 * n ** 3 + 116 * n ** 4 / 45, 7 * n ** 2 / 3 - 8 * n ** 3 / 5 - 227 * n ** 4 / 45,
+         56 * n ** 3 / 15 - 136 * n ** 4 / 35, 4279 * n ** 4 / 630]
+    xi = " - ".join(["xi", *[f"{v!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, v in enumerate(b, 1)]])
+    eta = " - ".join(["eta", *[f"{v!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, v in enumerate(b, 1)]])
+    phi = " + ".join(["chi", *[f"{v!r} * sin({2 * j} * chi)" for j, v in enumerate(d, 1)]])
+    return f"""i1 AS (SELECT *, y / {k!r} AS xi, (x - 500000) / {k!r} AS eta FROM target), i2 AS (SELECT *, {xi} AS xi0, {eta} AS eta0 FROM i1),
+ i3 AS (SELECT *, asin(sin(xi0) / cosh(eta0)) AS chi FROM i2), back AS (SELECT cell_x, cell_y, x, y, degrees(atan2(sinh(eta0), cos(xi0))) + 3 AS lon, degrees({phi}) AS lat FROM i3)"""
+
+
+#: The outline of the places, laid over the projected plane in metres.
+_METRES = "CAST(260000 + lon * 22 AS DOUBLE) AS lon, CAST(4480000 + lat * 22 AS DOUBLE) AS lat"
+WARP_BOX = (250000, 4470000, 500000, 4720000)
+
+
+@register("warped_raster", f"""WITH {_utm_sql()}, src AS (SELECT CAST(floor((lon - 0.2) / 0.1) AS BIGINT) AS cx, CAST(floor((lat - 40.5) / 0.1) AS BIGINT) AS cy, avg(site % 500 - 20) AS value
+  FROM geo GROUP BY ALL), {OUTLINE_SQL.replace('outline AS', 'plane AS')}, outline AS (SELECT region, ring, seq, {_METRES} FROM plane), {CTE_EDGE},
+ tiles AS (SELECT i % 125 AS cell_x, i // 125 AS cell_y, 250000 + (i % 125 + 0.5) * 2e3 AS x, 4470000 + (i // 125 + 0.5) * 2e3 AS y FROM range(15625) t(i)),
+ hit AS (SELECT cell_x, cell_y, x, y, region FROM tiles JOIN edge ON {INSIDE} GROUP BY ALL HAVING count(*) % 2 = 1),
+ target AS (SELECT DISTINCT cell_x, cell_y, x, y FROM hit), {_inverse_sql()},
+ f AS (SELECT *, (lon - 0.2) / 0.1 - 0.5 AS fx, (lat - 40.5) / 0.1 - 0.5 AS fy FROM back),
+ four AS (SELECT f.*, CASE a WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE b WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS w,
+   CAST(floor(fx) AS BIGINT) + a AS cx, CAST(floor(fy) AS BIGINT) + b AS cy FROM f, range(2) p(a), range(2) q(b))
+SELECT cell_x, cell_y, round(x, 6) AS x, round(y, 6) AS y, round(sum(w * value), 6) AS value FROM four LEFT JOIN src USING (cx, cy) WHERE w > 0
+GROUP BY ALL HAVING count(*) = count(value)""")
+def warped_raster(spark, sf):
+    """Degrees to metres by inverse mapping, inside the outlines only."""
+    src = geo_sites(spark, sf).withColumn("value", F.col("site") % 500 - 20)
+    src = src.groupBy(G.cell_id("lon", 0.2, 0.1).alias("cell_x"), G.cell_id("lat", 40.5, 0.1).alias("cell_y")).agg(F.avg("value").alias("value"))
+    metres = outlines(spark, sf).withColumns({"lon": F.lit(260000.0) + F.col("lon") * 22, "lat": F.lit(4480000.0) + F.col("lat") * 22})
+    return rounded(G.warp_raster(src, (0.2, 40.5), 0.1, WARP_BOX, 2000, 31, metres), ["x", "y", "value"])
+
+
 _NEAR = """near AS (SELECT {left}.{id} AS {id}, arg_min(station, ROW((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), station)) AS code
   FROM {left} p CROSS JOIN stations s GROUP BY ALL)"""
 
