@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplexspark.functions.scalars import decode_bits
@@ -219,3 +219,28 @@ def drop_weak_outliers(df: DataFrame, threshold: int = 3) -> DataFrame:
     """Remove outliers with at most ``threshold`` originally observed parts."""
     weak = (F.col("n_observed") <= threshold) & (F.col("outlier") == "Outlier")
     return df.filter(~F.coalesce(weak, F.lit(False)))
+
+
+def screen_tables(flags: DataFrame, group: Sequence[str], threshold: int = 3) -> DataFrame:
+    """Tables of a screened panel in long form: (report, *group, outlier, detail, n, value).
+
+    ``shares``: rows by group and flag, value their share of the group. ``observed``: outliers by group and ``n_observed``
+    (detail). ``causes``: outliers by group and cause (detail). ``kept``: rows by group and flag once outliers with at most
+    ``threshold`` observed parts are gone. ``rates``: rows by group, value the percentage of outliers. Rows whose flag is null (a
+    part is missing) take part in none. One shuffle of one row a task and combination; the tables come from those counts.
+    """
+    cells = [*group, "outlier", "n_observed", "outlier_cause"]
+    counts = cut(flags.where(F.col("outlier").isNotNull()).groupBy(*cells).agg(F.count(F.lit(1)).alias("n")), "screen-counts")
+    out, is_out = F.col("outlier"), F.col("outlier") == "Outlier"
+    nothing, no_value = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def report(name: str, rows: DataFrame, by: Sequence[str], detail: Column, flag: Column, value: Column) -> DataFrame:
+        sums = rows.groupBy(*group, *by).agg(F.sum("n").alias("n"), F.sum(F.when(is_out, F.col("n")).otherwise(0)).alias("__out"))
+        return sums.select(F.lit(name).alias("report"), *group, flag.alias("outlier"), detail.cast("string").alias("detail"), "n", value.alias("value"))
+
+    of_group = F.col("n") / F.sum("n").over(Window.partitionBy(*group))
+    return (report("shares", counts, ["outlier"], nothing, out, of_group)
+            .unionByName(report("observed", counts.where(is_out), ["n_observed"], F.col("n_observed"), F.lit("Outlier"), no_value))
+            .unionByName(report("causes", counts.where(is_out), ["outlier_cause"], F.col("outlier_cause"), F.lit("Outlier"), no_value))
+            .unionByName(report("kept", drop_weak_outliers(counts, threshold), ["outlier"], nothing, out, no_value))
+            .unionByName(report("rates", counts, [], nothing, nothing, 100 * F.col("__out") / F.col("n"))))

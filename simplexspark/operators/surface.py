@@ -477,13 +477,23 @@ def long_predictions(pred: DataFrame, base_ym: int, origin: str = "2020-01-01",
     return long.withColumn("date", F.add_months(F.lit(origin).cast("date"), (F.col(ym) - base_ym).cast("int")))
 
 
+def long_surface(pred: DataFrame, responses: Sequence[str], base_ym: int, origin: str = "2020-01-01", keep: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Predictions of ``predict_surface`` for several responses, stacked: (*keep, ym, response, statistic, value, date), three
+    statistics a response. One projection that opens each row; rows of other columns are not carried."""
+    parts = [F.struct(F.lit(y).alias("response"), F.lit(f"pred_{s}").alias("statistic"), F.col(f"{s}_{y}").cast("double").alias("value"))
+             for y in responses for s in ("mean", "ll", "ul")]
+    date = F.add_months(F.lit(origin).cast("date"), (F.col("ym") - base_ym).cast("int"))
+    return pred.select(*keep, "ym", date.alias("date"), F.explode(F.array(*parts)).alias("s")).select(*keep, "ym", "s.*", "date")
+
+
 def store_predictions(long: DataFrame, path: str) -> None:
-    """Write a long prediction table by statistic and year of its date. Folders that the table has rows for are replaced, all
+    """Write a long prediction table by statistic and year of its date, and first by response where it has one. Folders that the table has rows for are replaced, all
     others stay, so a rerun of some years leaves the rest alone and may be repeated after a failure."""
     placed = long.withColumn("year", F.year("date"))
     # Rows of a folder go to several tasks by place, so no statistic and year is one task.
-    (placed.repartition("statistic", "year", F.pmod(F.xxhash64("x", "y"), F.lit(16))).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("statistic", "year").parquet(path))
+    folders = [*(["response"] if "response" in long.columns else []), "statistic", "year"]
+    (placed.repartition(*folders, F.pmod(F.xxhash64("x", "y"), F.lit(16))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path))
 
 
 def stored_predictions(spark: SparkSession, path: str, statistic: str | None = None, years: Sequence[int] = ()) -> DataFrame:
@@ -499,8 +509,13 @@ def month_slice(pred: DataFrame, months: Sequence[int]) -> DataFrame:
     return pred.filter(F.month("date").isin(list(months))).withColumns({"year": F.year("date"), "facet": rank})
 
 
-def clamp_display(pred: DataFrame, limits: tuple[float, float] | None = None) -> DataFrame:
-    """Clamp to fixed limits, or to the table's own extent, with the position on the scale."""
+def clamp_display(pred: DataFrame, limits: tuple[float, float] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Clamp to fixed limits, or to the table's own extent, with the position on the scale. With ``by`` each group has
+    its own extent: one row a group is joined back. A group of one value has no position."""
+    if by and limits is None:
+        own = pred.groupBy(*by).agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
+        place = F.try_divide(F.col("value") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+        return pred.join(own, list(by)).withColumns({"shown": F.col("value"), "position": place}).drop("__lo", "__hi")
     lo, hi = limits or pred.agg(F.min("value"), F.max("value")).first()
     shown = clamp("value", lo, hi)
     return pred.withColumns({"shown": shown, "position": F.try_divide(shown - F.lit(float(lo)), F.lit(float(hi - lo)))})
@@ -518,7 +533,7 @@ def fit_statistics(df: DataFrame, obs: str, pred: str, sd: str, n_params: int) -
 
 __all__ = [
     "FieldModel", "MixedFit", "SurfaceModel", "ar1", "bands", "clamp_display", "fit_field", "fit_many",
-    "fit_statistics", "fit_surface", "gram_sums", "holdout", "long_predictions", "matern1", "model_frame",
+    "fit_statistics", "fit_surface", "gram_sums", "holdout", "long_predictions", "long_surface", "matern1", "model_frame",
     "month_index", "month_slice", "store_predictions", "stored_predictions", "neighbours", "predict_field", "predict_surface", "residuals", "variogram",
     "with_effects",
 ]

@@ -13,6 +13,7 @@ from simplexspark.plans.base import (
     COORD_SQL, COORDS, CTE_COMPLETE, CTE_KEPT, CTE_PANEL, CTE_STATIONS, CTE_TSPACE, KEY, PARTS, Query, SIGNS, complete,
     kept, panel, r6, r6_sql, rounded, stations, table, tspace,
 )
+from simplexspark.sources import cut
 
 QUERIES: dict[str, Query] = {}
 
@@ -240,6 +241,20 @@ def outlier_screen(spark, sf):
     return robust.flag_outliers(rows, model).select(*KEY, "d2", "outlier", "outlier_bin", "outlier_code", "outlier_cause")
 
 
+def screened(spark, sf):
+    """The filled panel with its number of observed parts, flagged by the fitted screen."""
+    filled = cut(impute.impute_knn(stats.n_observed(kept(spark, sf), PARTS), PARTS, KEY, 5), "filled")
+    # Cut before anything is filtered or grouped by the flags: their expressions would be repeated in every use.
+    flags = cut(robust.flag_outliers(filled, robust.fit_outliers(filled, PARTS, SIGNS)).select(*KEY, "n_observed", "outlier", "outlier_cause"), "flags")
+    return flags.join(stations(spark, sf).select("station", "station_type", "area"), "station")
+
+
+@register("screened_outliers", None)
+def screened_outliers(spark, sf):
+    """Shares, observed parts, causes, rows kept and rates by area and type, from the fitted screen of the filled panel."""
+    return rounded(robust.screen_tables(screened(spark, sf), ["area", "station_type"]), ["value"])
+
+
 CODE_SQL = f"""{CTE_COMPLETE}, coded AS (SELECT station, year, month,
   CASE WHEN p_af + p_ao + p_nf < 90000 THEN 'ok' ELSE {' || '.join(f"CAST(({p} > 60000)::INTEGER AS VARCHAR)" for p in PARTS)} END AS outlier_code FROM complete)"""
 

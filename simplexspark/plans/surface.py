@@ -170,6 +170,18 @@ def exposure_surface(spark, sf):
     return surface(spark, sf).select("cell", "x", "y", "ym", *[f"{a}_{y}" for y in COORDS for a in ("mean", "ll", "ul")])
 
 
+@register("surface_displays", None)
+def surface_displays(spark, sf):
+    """The fitted surface of all six responses as a stored long table, its June and December slices read back, each response on
+    the scale of its own extent."""
+    pred = surface(spark, sf)
+    path = f"{scratch_root(spark)}/surface-{uuid.uuid4().hex}"
+    M.store_predictions(M.long_surface(pred, COORDS, 1995 * 12 + 1, "1995-01-01", ["cell", "x", "y"]), path)
+    slices = M.month_slice(M.stored_predictions(spark, path), [6, 12])
+    out = M.clamp_display(slices, by=["response"])
+    return out.select("cell", "x", "y", "ym", "date", "year", "response", "statistic", "facet", "value", "shown", "position")
+
+
 @register("holdout_scores", None)
 def holdout_scores(spark, sf):
     return M.holdout(cut(station_rows(spark, sf), "stations"), COORDS, XS, "county", "station", "row_id", MAX_DIST)
