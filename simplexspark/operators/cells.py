@@ -28,6 +28,20 @@ POINTS, ROWS, HELD = 1 << 16, 1 << 13, 1 << 20
 SLACK = 1.0 + 1e-9
 
 
+def loose(kind: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed at every depth, as a task's result declares it."""
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, loose(kind.value_type)))
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, loose(f.type)) for f in kind])
+    return kind
+
+
+def loosened(rows: pa.Table) -> pa.Table:
+    """A task's rows without "not null" in their types: Spark drops a cast that only lifts it, and Arrow would hold it against the result."""
+    return rows.cast(pa.schema([pa.field(f.name, loose(f.type)) for f in rows.schema]))
+
+
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     flat = column.combine_chunks()
     flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
@@ -96,7 +110,6 @@ def cell_knn(left: DataFrame, right: DataFrame, k: int, width: int, weights: Seq
     whole = F.col("x").isNotNull() & (F.size("x") == width) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))
     lid, rid = left.schema["lid"].dataType.simpleString(), right.schema["rid"].dataType.simpleString()
     one = Window.partitionBy("cell", "x").orderBy("rid")
-    # The casts drop "not null" from fields of ids, which Arrow would hold against the tasks' results.
     points = right.select(F.col("root").cast("string").alias("cell"), F.col("rid").cast(rid).alias("rid"), F.col("x").cast("array<double>").alias("x")).where(whole)
     points = cut(points.withColumn("r", F.row_number().over(one)).where(F.col("r") <= k).drop("r"), "cell-points")
     walk = left.select(F.col("root").cast("string").alias("cell"), F.col("lid").cast(lid).alias("lid"), F.col("w").cast("int").alias("w"), F.col("x").cast("array<double>").alias("x"), F.lit(float("inf")).alias("r2")).where(whole)
@@ -106,6 +119,7 @@ def cell_knn(left: DataFrame, right: DataFrame, k: int, width: int, weights: Seq
 
     def part(mine: pa.Table, sample: pa.Table) -> pa.Table:
         """The points with the cells below, and a row a cell for its box: no rid, x the low corner."""
+        mine = loosened(mine)
         if not mine.num_rows:
             return mine.select(["cell", "rid", "x"]).append_column("high", mine["x"]).append_column("parent", mine["cell"])
         x, cell = matrix(mine["x"], width), mine["cell"][0].as_py()
@@ -130,7 +144,7 @@ def cell_knn(left: DataFrame, right: DataFrame, k: int, width: int, weights: Seq
                 yield at[i:i + step], x[at[i:i + step]], weight[name]
 
     def descend(rows: pa.Table, info: pa.Table) -> pa.Table:
-        out = []
+        out, rows = [], loosened(rows)
         if rows.num_rows and info.num_rows:
             boxed = np.asarray(info["parent"].is_valid())
             sample, boxes = info.filter(~boxed), info.filter(boxed)
@@ -171,7 +185,7 @@ def cell_knn(left: DataFrame, right: DataFrame, k: int, width: int, weights: Seq
         level += 1
 
     def nearest(rows: pa.Table, mine: pa.Table) -> pa.Table:
-        out = []
+        out, rows, mine = [], loosened(rows), loosened(mine)
         if rows.num_rows and mine.num_rows:
             p, r2 = matrix(mine["x"], width), rows["r2"].to_numpy()
             for at, x, w in in_groups(rows, len(p)):

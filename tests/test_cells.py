@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from simplexspark.operators.cells import cell_knn
 
@@ -27,3 +28,15 @@ def test_equal_to_brute_force(spark, width, leaf):
         want[i] = [(n + 1, j, d) for n, (d, j) in enumerate(d2[:4])]
     assert {i: sorted(v) for i, v in got.items()} == want
     assert cell_knn(spark.createDataFrame(asks[:3], "lid int, root string, w int, x array<double>"), r.limit(0), 4, width, weights, leaf).count() == 0
+
+
+def test_vectors_built_without_nulls(spark):
+    """Arrays of a query's own columns hold no nulls by type; crowded cells hand them on as their results declare them."""
+    points = spark.createDataFrame([(i, i % 2, i * 37 % 101 + 0.0, i * 61 % 103 + 0.0) for i in range(300)], "n long, side int, a double, b double")
+    points = points.withColumns({"lid": F.struct("n", F.lit(1).alias("one")), "x": F.array(F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0)))})
+    ways = spark.createDataFrame([(0, 0, "p"), (1, 0, "p")], "way int, w int, root string")
+    left = points.join(ways, F.col("side") == F.col("way")).select("lid", "root", "w", "x")
+    assert not left.schema["x"].dataType.containsNull
+    found = cell_knn(left, points.select(F.col("lid").alias("rid"), F.lit("p").alias("root"), "x"), 2, 2, leaf=200).collect()
+    assert len(found) == 600
+    assert all(r.lid == r.rid and r.d2 == 0.0 for r in found if r["rank"] == 1)
