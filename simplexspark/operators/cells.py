@@ -13,6 +13,7 @@ as their number asks for, and no pair is made outside a leaf.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from simplexspark.sources.stages import cut
 
 LEAF, SAMPLE, DEPTH = 1024, 256, 5
+#: Boxes of that many coordinates hold few rows back, whose copies grow with the number of leaves: these are larger there.
+WIDE, WIDE_LEAF = 32, 1 << 14
 #: Points and left rows of one cell that one task takes, and distances that it holds at once.
 POINTS, ROWS, HELD = 1 << 16, 1 << 13, 1 << 20
 SLACK = 1.0 + 1e-9
@@ -57,6 +60,33 @@ def distances(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, weights: np.ndarray, k: int, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` and distances of all pairs up to ``r2`` that can be among the k nearest of a row, with all ties.
+    Distances by one matrix product leave out the pairs that are farther beyond its rounding; those left are taken anew."""
+    used = np.flatnonzero(weights)
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle, root = b[:, used].mean(axis=0), np.sqrt(weights[used])
+        u, v = (a[:, used] - middle) * root, (b[:, used] - middle) * root
+        uu, vv = np.einsum("ij,ij->i", u, u), np.einsum("ij,ij->i", v, v)
+        rough = u @ (-2.0 * v.T)
+        rough += uu[:, None]
+        rough += vv
+        # Far above the rounding of the differences, the lengths and the product.
+        off = 8.0 * (len(used) + 16) * np.finfo(float).eps * (uu + vv.max()) + 1e-290
+    if not np.isfinite(rough).all():  # infinite or very large coordinates
+        rough, off = distances(a, b, weights), np.zeros(len(a))
+    limit = r2 + off
+    if b.shape[0] > k:
+        limit = np.fmin(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * off)
+    i, j = np.nonzero(rough <= limit[:, None])
+    d2 = np.zeros(len(i))
+    for c in used:
+        step = a[i, c] - b[j, c]
+        d2 += weights[c] * step * step
+    keep = d2 <= r2[i]
+    return i[keep], j[keep], d2[keep]
+
+
 def box_distances(a: np.ndarray, low: np.ndarray, high: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weighted squared distances of all rows of ``a`` to all boxes."""
     out = np.zeros((len(a), len(low)))
@@ -66,13 +96,13 @@ def box_distances(a: np.ndarray, low: np.ndarray, high: np.ndarray, weights: np.
     return out
 
 
-def split_places(sample: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Number of the part of its cell that each point lies in: the sample is halved along its widest coordinate, and again."""
+def split_places(sample: np.ndarray, points: np.ndarray, most: int = DEPTH) -> np.ndarray:
+    """Number of the part of its cell that each point lies in: the sample is halved along its widest coordinate, and again, ``most`` times."""
     place = np.zeros(len(points), np.int64)
 
     def halve(mine: np.ndarray, theirs: np.ndarray, depth: int, number: int) -> None:
         place[theirs] = number
-        if depth == DEPTH or len(mine) < 2:
+        if depth == most or len(mine) < 2:
             return
         spread = np.ptp(sample[mine], axis=0)
         axis = int(np.argmax(spread))
@@ -89,8 +119,8 @@ def split_places(sample: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 
 def dealt(df: DataFrame, sizes: DataFrame, size: int, key: str) -> DataFrame:
-    """Rows with the number of tasks their cell is dealt to, and theirs."""
-    tasks = sizes.select("cell", F.ceil(F.col("n") / size).cast("int").alias("tasks"))
+    """Rows with the number of rows of their cell, that of tasks it is dealt to, and their task."""
+    tasks = sizes.select("cell", "n", F.ceil(F.col("n") / size).cast("int").alias("tasks"))
     return df.join(tasks, "cell").withColumn("task", F.pmod(F.xxhash64(key), F.col("tasks")).cast("int"))
 
 
@@ -99,13 +129,15 @@ def to_all(df: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
     return df.join(tasks, "cell")
 
 
-def cell_knn(left: DataFrame, right: DataFrame, k: int, width: int, weights: Sequence[Sequence[float]] | None = None, leaf: int = LEAF) -> DataFrame:
+def cell_knn(left: DataFrame, right: DataFrame, k: int, width: int, weights: Sequence[Sequence[float]] | None = None, leaf: int | None = None) -> DataFrame:
     """The k nearest right rows of each left row: (lid, rid, d2, rank), ties to the smaller rid.
 
     ``left`` has lid, root, w (number of a row of ``weights``) and x, an array of ``width`` numbers; ``right`` has rid, root and x.
     A left row may be given under several roots and then searches all of them. Vectors that are null or hold nulls or
     NaN take no part, and left rows without any right row in their roots get no row. Without ``weights`` all coordinates weigh 1.
+    ``leaf`` is the most points a cell keeps, by default ``LEAF``, and ``WIDE_LEAF`` from ``WIDE`` coordinates on.
     """
+    leaf = leaf or (LEAF if width < WIDE else WIDE_LEAF)
     weight = np.asarray(weights if weights is not None else [[1.0] * width], float)
     whole = F.col("x").isNotNull() & (F.size("x") == width) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))
     lid, rid = left.schema["lid"].dataType.simpleString(), right.schema["rid"].dataType.simpleString()
@@ -123,7 +155,8 @@ def cell_knn(left: DataFrame, right: DataFrame, k: int, width: int, weights: Seq
         if not mine.num_rows:
             return mine.select(["cell", "rid", "x"]).append_column("high", mine["x"]).append_column("parent", mine["cell"])
         x, cell = matrix(mine["x"], width), mine["cell"][0].as_py()
-        place = split_places(matrix(sample["x"], width), x)
+        halvings = max(1, min(DEPTH, math.ceil(math.log2(1.25 * mine["n"][0].as_py() / leaf))))  # no more cells than it takes
+        place = split_places(matrix(sample["x"], width), x, halvings)
         found = np.unique(place)
         names = pa.array([f"{cell}/{p}" for p in place.tolist()])
         nothing = pa.nulls(len(x), mine.schema.field("x").type)
@@ -189,10 +222,8 @@ def cell_knn(left: DataFrame, right: DataFrame, k: int, width: int, weights: Seq
         if rows.num_rows and mine.num_rows:
             p, r2 = matrix(mine["x"], width), rows["r2"].to_numpy()
             for at, x, w in in_groups(rows, len(p)):
-                d2 = distances(x, p, w)
-                limit = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(p) > k else np.full(len(x), np.inf)
-                i, j = np.nonzero((d2 <= limit[:, None]) & (d2 <= r2[at][:, None]))  # with all ties
-                out.append(pa.table({"lid": rows["lid"].take(pa.array(at[i])), "rid": mine["rid"].take(pa.array(j)), "d2": pa.array(d2[i, j])}))
+                i, j, d2 = near_pairs(x, p, w, k, r2[at])
+                out.append(pa.table({"lid": rows["lid"].take(pa.array(at[i])), "rid": mine["rid"].take(pa.array(j)), "d2": pa.array(d2)}))
         return pa.concat_tables(out) if out else pa.table({"lid": rows["lid"].slice(0, 0), "rid": mine["rid"].slice(0, 0), "d2": pa.array([], pa.float64())})
 
     many = cut(done_rows.groupBy("cell").agg(F.count("*").alias("n")), "cell-rows")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from simplexspark.operators.cells import cell_knn
+from simplexspark.operators.cells import cell_knn, distances, near_pairs, split_places
 
 
 @pytest.mark.parametrize("width, leaf", [(3, 8), (24, 40), (64, 1024)])
@@ -40,3 +40,27 @@ def test_vectors_built_without_nulls(spark):
     found = cell_knn(left, points.select(F.col("lid").alias("rid"), F.lit("p").alias("root"), "x"), 2, 2, leaf=200).collect()
     assert len(found) == 600
     assert all(r.lid == r.rid and r.d2 == 0.0 for r in found if r["rank"] == 1)
+
+
+@pytest.mark.parametrize("shift, grow", [(0.0, 1.0), (1e9, 1.0), (0.0, 1e160), (0.0, float("inf"))])
+def test_product_leaves_no_near_pair_out(shift, grow):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(-3, 4, (40, 24)) + shift, rng.integers(-3, 4, (200, 24)) + shift
+    a[0, 1], b[7, 2] = a[0, 1] * grow, b[7, 2] * grow
+    weights = np.array([i % 3 / 7 for i in range(24)])
+    r2 = np.full(40, np.inf)
+    r2[:5] = 2.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        i, j, d2 = near_pairs(a, b, weights, 4, r2)
+        exact = distances(a, b, weights)
+    assert (d2 == exact[i, j]).all()
+    found = set(zip(i.tolist(), j.tolist()))
+    near = (exact <= np.sort(exact, axis=1)[:, 3:4]) & (exact <= r2[:, None])  # with all ties
+    assert set(zip(*(v.tolist() for v in np.nonzero(near)))) <= found
+    assert len(found) < 40 * 200 / 4
+
+
+def test_a_cell_is_halved_no_more_than_asked():
+    x = np.random.default_rng(6).normal(size=(5000, 64))
+    assert len(np.unique(split_places(x[:256], x, 2))) == 4
+    assert len(np.unique(split_places(x[:256], x))) == 32
