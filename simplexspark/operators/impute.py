@@ -11,7 +11,6 @@ import math
 import warnings
 from collections.abc import Sequence
 from itertools import combinations
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from simplexspark.functions.scalars import count_observed, observed
 from simplexspark.functions.simplex import add_all, contrast, log_part, pivot_signs, sbp_basis
 from simplexspark.operators.cells import cell_knn
+from simplexspark.operators.donors import nearest_donors
 from simplexspark.operators.joins import null_safe_join
 from simplexspark.operators.trimmed import View, Views, scales, trimmed_fits
 from simplexspark.sources.stages import cut
@@ -41,10 +41,9 @@ def _bits(mask: int, d: int) -> list[int]:
     return [i for i in range(d) if mask >> i & 1]
 
 
-def knn_candidates(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int = 5,
-                   block: Sequence[str] = ()) -> DataFrame | None:
-    """Imputed value of every missing cell of rows with at least two parts: (__row, j, value,
-    donors). Only originally observed values are donors."""
+def _blocked_candidates(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int,
+                        block: Sequence[str]) -> DataFrame | None:
+    """:func:`knn_candidates` within blocks, of which there may be any number."""
     parts = list(parts)
     rows = (df.select(*dict.fromkeys([*block, *key]), *[F.when(observed(p), F.col(p)).alias(p) for p in parts])
             .withColumns({"__mask": observed_mask(parts), "__row": F.struct(*key)}))
@@ -85,6 +84,27 @@ def knn_candidates(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: i
             .select("__row", "j", (F.col("m") * F.col("own")).alias("value"), n.alias("donors")))
 
 
+def _numbered(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows with __n, a number in the order of the key."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *key).sortWithinPartitions(*key)
+    return cut(rows.withColumn("__n", F.monotonically_increasing_id()), "numbered")
+
+
+def knn_candidates(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int = 5,
+                   block: Sequence[str] = ()) -> DataFrame | None:
+    """Imputed value of every missing cell of rows with at least two parts: (__row, j, value,
+    donors). Only originally observed values are donors."""
+    if block:
+        return _blocked_candidates(df, parts, key, k, block)
+    rows = _numbered(df.select(F.struct(*key).alias("__row"), *[F.when(observed(p), F.col(p)).alias(p) for p in parts]), ["__row"])
+    found = nearest_donors(rows, parts, k)
+    if found is None:
+        return None
+    cells = F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(len(parts) - 1)).alias("j"), F.col("__v").alias("value"), F.col("__c").alias("donors")))
+    return rows.select("__n", "__row").join(found, "__n").select("__row", cells).where(F.col("donors") > 0)
+
+
 def impute_knn(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int = 5,
                block: Sequence[str] = ()) -> DataFrame:
     """Fill missing parts. The value is the median over the k nearest donors of the donor's
@@ -93,6 +113,14 @@ def impute_knn(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int =
     ``key`` must be unique. A cell without any donor stays null."""
     parts = list(parts)
     flags = {f"{p}_imputed": ~observed(p) for p in parts}
+    if not block:
+        rows = _numbered(df, key)
+        found = nearest_donors(rows.select("__n", *[F.when(observed(p), F.col(p)).alias(p) for p in parts]), parts, k)
+        if found is None:
+            return df.withColumns(flags)
+        out = rows.join(found, "__n", "left").withColumns(flags)
+        return out.select(*[F.when(~F.col(f"{c}_imputed"), F.col(c)).otherwise(F.get("__v", F.lit(parts.index(c)))).alias(c) if c in parts
+                            else F.col(c) for c in df.columns], *flags)
     cells = knn_candidates(df, parts, key, k, block)
     if cells is None:
         return df.withColumns(flags)
