@@ -7,23 +7,29 @@ Both follow Hron, Templ & Filzmoser (2010).
 
 from __future__ import annotations
 
+import copy
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simplexspark.functions.scalars import count_observed, observed
-from simplexspark.functions.simplex import add_all, contrast, log_part, pivot_signs, sbp_basis
+from simplexspark.functions.simplex import add_all, basis_matrix, contrast, log_part, pivot_signs, sbp_basis
 from simplexspark.operators.cells import cell_knn
 from simplexspark.operators.donors import nearest_donors
 from simplexspark.operators.joins import null_safe_join
-from simplexspark.operators.trimmed import View, Views, scales, trimmed_fits
+from simplexspark.operators.trimmed import View, Views, scales, summed, trimmed_fits
 from simplexspark.sources.stages import cut
 
+#: Sweeps that tasks take again before the table is written anew.
+SWEEPS = 10
+
 
 def observed_mask(parts: Sequence[str]) -> Column:
     """Bit i set when part i is observed."""
@@ -135,13 +141,81 @@ def pivot_order(parts: Sequence[str], first: str) -> list[str]:
     return [first, *[p for p in parts if p != first]]
 
 
-def _predicted_log(part: str, parts: Sequence[str], basis: dict, fit: np.ndarray) -> Column:
-    """Log of a part from those of the others: the first pivot coordinate holds it against their mean, and its regression is
-    linear in their logs."""
-    names, others = list(basis), [q for q in parts if q != part]
-    up = basis[names[0]][part]
-    weights = {q: 1.0 / len(others) + sum(float(b) * basis[z].get(q, 0.0) for b, z in zip(fit[1:], names[1:])) / up for q in others}
-    return add_all([F.lit(float(fit[0]) / up), *[F.lit(w) * F.col(q) for q, w in weights.items()]])
+@dataclass
+class Sweeps:
+    """Fills of past sweeps, taken again in each task from the values before them, so that no sweep writes the table. A batch holds the logs
+    of ``d`` parts and then their flags; ``gaps`` are the places of the parts that are missing somewhere, ``bases`` their coordinates."""
+
+    d: int
+    gaps: list[int]
+    bases: list[np.ndarray]
+    fits: list[list[np.ndarray]] = field(default_factory=list)
+
+    def logs(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(self.d)]).astype(float)
+        return own, np.column_stack([batch.column(self.d + i).to_numpy(zero_copy_only=False) for i in range(self.d)]).astype(bool)
+
+    def filled(self, logs: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logs after all sweeps, and before the last. Row by row the parts are filled one after another, each from the latest values
+        of the others: the first pivot coordinate holds a part against their mean, and its regression is linear in their logs."""
+        logs = last = logs.copy()
+        for sweep in self.fits:
+            last = logs.copy()
+            for j, basis, fit in zip(self.gaps, self.bases, sweep):
+                others = [i for i in range(self.d) if i != j]
+                weights = 1.0 / len(others) + fit[1:] @ basis[1:, others] / basis[0, j]
+                at = np.flatnonzero(flags[:, j])
+                logs[at, j] = fit[0] / basis[0, j] + logs[np.ix_(at, others)] @ weights
+        return logs, last
+
+
+class SweptParts(Sweeps):
+    """Splits a batch into the rows of the regressions after the sweeps, and adds up how far the last one moved the fills."""
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        own, flags = self.logs(batch)
+        logs, last = self.filled(own, flags)
+        whole = ~np.isnan(logs).any(axis=1)
+        self.moved = getattr(self, "moved", None) or [(0, 0.0)] * len(self.gaps)
+        for n, (j, basis) in enumerate(zip(self.gaps, self.bases)):
+            step = (logs[:, j] - last[:, j])[flags[:, j]]
+            step = step[~np.isnan(step)]
+            self.moved[n] = self.moved[n][0] + len(step), self.moved[n][1] + float(step @ step)
+            rows = logs[whole & ~flags[:, j]] @ basis.T
+            yield n, rows[np.isfinite(rows).all(axis=1)]
+
+
+class SweptViews(Views):
+    """The regressions of all parts on the table after some sweeps. Starts and scales come from the table as it is."""
+
+    def __init__(self, df: DataFrame, parts: Sequence[str], missing: Sequence[str], fits: Sequence[dict[str, np.ndarray]] = ()) -> None:
+        logs = {q: F.col(q) for q in parts}
+        bases = {p: sbp_basis(pivot_signs(pivot_order(parts, p))) for p in missing}
+        whole = add_all([F.col(p).isNotNull().cast("int") for p in parts]) == len(parts)
+        super().__init__(df, {p: View(~F.col(f"{p}_imputed") & whole, [contrast(w, logs) for w in bases[p].values()]) for p in missing})
+        self.wide, self.rows = self.rows, df.select(*parts, *[f"{p}_imputed" for p in parts])
+        self.how = (len(parts), [list(parts).index(p) for p in missing], [basis_matrix(b, parts).T for b in bases.values()], [[f[p] for p in missing] for f in fits])
+
+    def long(self) -> DataFrame:
+        plain = copy.copy(self)
+        plain.rows = self.wide
+        return Views.long(plain)
+
+    def reader(self) -> SweptParts:
+        return SweptParts(*self.how)
+
+
+def _swept(state: DataFrame, parts: Sequence[str], views: SweptViews) -> DataFrame:
+    """The table after the sweeps."""
+    how, rest = views.how, [c for c in state.columns if c not in parts]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweeps = Sweeps(*how)
+        for batch in batches:
+            logs, _ = sweeps.filled(*sweeps.logs(batch.select([*parts, *[f"{p}_imputed" for p in parts]])))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *[pa.array(logs[:, i], from_pandas=True) for i in range(len(parts))]], names=[*rest, *parts])
+
+    return state.mapInArrow(fill, state.select(*rest, *parts).schema)
 
 
 def impute_robust(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: int = 5, max_iter: int = 50,
@@ -150,35 +224,29 @@ def impute_robust(df: DataFrame, parts: Sequence[str], key: Sequence[str], k: in
     the others by least trimmed squares over the rows where the part was observed, all parts in the same jobs, and
     replace the missing ones by their predictions. Ends when the root mean square change of the imputed log-ratios
     falls below ``tol``; warns if that takes more than ``max_iter`` sweeps."""
-    parts, d = list(parts), len(parts)
+    parts = list(parts)
     flags = [f"{p}_imputed" for p in parts]
     filled = impute_knn(df, parts, key, k) if start is None else start
     state = cut(filled.select(*key, *flags, *[F.ln(p).alias(p) for p in parts]), "impute")
     missing = [p for p, f in zip(parts, state.agg(*[F.max(f) for f in flags]).first()) if f]
-    whole = add_all([F.col(p).isNotNull().cast("int") for p in parts]) == d
-    views, bases = {}, {}
-    for p in missing:
-        bases[p] = sbp_basis(pivot_signs(pivot_order(parts, p)))
-        views[p] = View(~F.col(f"{p}_imputed") & whole, [contrast(w, {q: F.col(q) for q in parts}) for w in bases[p].values()])
-    fits, base, worst = None, None, 0.0
+    seen = SweptViews(state, parts, missing) if missing else None
+    fits, base, table, past, worst = None, scales(seen) if missing else None, None, [], 0.0
     for _ in range(max_iter if missing else 0):
-        seen = Views(state, views)
-        base = base or scales(seen)
         # The first sweep settles the fits; later ones follow the filled values with a few steps each.
-        fits = trimmed_fits(seen, trim, fits, base) if fits is None else trimmed_fits(seen, trim, fits, base, 3, settle=False)
-        # Row by row the parts are filled one after another, each from the latest values of the others.
-        moved = state.withColumns({f"__o_{p}": F.col(p) for p in missing})
-        for p in missing:
-            moved = moved.withColumn(p, F.when(F.col(f"{p}_imputed"), _predicted_log(p, parts, bases[p], fits[p])).otherwise(F.col(p)))
-        moved = cut(moved, "impute")
-        change = moved.agg(*[F.avg(F.when(F.col(f"{p}_imputed"), (F.col(p) - F.col(f"__o_{p}")) ** 2)) for p in missing]).first()
-        state = moved.drop(*[f"__o_{p}" for p in missing])
-        worst = math.sqrt(max([c for c in change if c is not None], default=0.0))
+        fits = trimmed_fits(seen, trim, fits, base) if fits is None else trimmed_fits(seen, trim, fits, base, 3, settle=False, first=table)
+        if len(past) == SWEEPS:
+            state, past = cut(_swept(state, parts, seen), "impute"), []
+        past.append(fits)
+        seen = SweptViews(state, parts, missing, past)
+        # The first step of the next sweep also says how far this one moved the fills.
+        table = summed(seen, base, fits)
+        worst = math.sqrt(max([s / n for n, s in seen.moved.values() if n], default=0.0))
         if worst < tol:
             break
     else:
         if missing:
             warnings.warn(f"imputed parts still moved by {worst:.3g} after {max_iter} sweeps", stacklevel=2)
+    state = _swept(state, parts, seen) if missing else state
     levels = state.select(*key, *flags, *[F.exp(p).alias(f"__v_{p}") for p in parts])
     return null_safe_join(df, levels, key, "left").select(
         *[F.when(~F.col(f"{c}_imputed"), F.col(c)).otherwise(F.col(f"__v_{c}")).alias(c) if c in parts else F.col(c)

@@ -29,6 +29,8 @@ from simplexspark.operators.chisquare import chi2_quantile, gamma_p
 from simplexspark.sources.stages import cut
 
 BLOCK, STARTS, BEST, BINS = 2000, 300, 10, 16
+#: Stands for the bin in rows that say how far the last fill moved.
+MOVED = 1 << 20
 
 
 @dataclass
@@ -64,6 +66,10 @@ class Views:
             columns += [F.coalesce(v.where, F.lit(False)).alias(f"in{j}"), *z]
         self.rows = df.select(*columns)
 
+    def reader(self) -> Parts:
+        """What splits a task's batches of ``rows``."""
+        return Parts(self.p, len(self.names))
+
     def long(self) -> DataFrame:
         z = range(self.p)
         structs = [F.struct(F.lit(n).alias("fit"), F.col(f"in{j}").alias("in"), *[F.col(f"z{j}_{i}").alias(f"z{i}") for i in z]) for j, n in enumerate(self.names)]
@@ -181,13 +187,17 @@ def summed(views: Views, base: Mapping[str, Scale], betas: Mapping[str, np.ndarr
                 with np.errstate(divide="ignore"):
                     place = np.clip(np.floor(np.log2(r2 / scale.spread[0] ** 2) * BINS), -1001, 1000).astype(int) if limits is None else np.zeros(len(rows), int)
                 add_by_bin(total, j, place, values)
+        for j, (n, squares) in enumerate(getattr(views_parts, "moved", ())):
+            total[j, MOVED] = np.array([n, squares, *[0.0] * (len(names) - 2)])
         columns = np.array(list(total.values())).reshape(len(total), len(names)).T
         yield pa.RecordBatch.from_arrays([pa.array([views_names[j] for j, _ in total], pa.string()), pa.array([b for _, b in total], pa.int32()), *[pa.array(c) for c in columns]],
                                          names=["fit", "bin", *names])
 
-    views_parts, views_names = Parts(views.p, len(views.names)), list(views.names)
+    views_parts, views_names = views.reader(), list(views.names)
     sums = views.rows.mapInArrow(add_up, "fit string, bin int, " + ", ".join(f"{n} double" for n in names))
-    return sums.groupBy("fit", "bin").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    table = sums.groupBy("fit", "bin").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    views.moved = {r.fit: (r.n, r.r2) for r in table[table["bin"] == MOVED].itertuples()}
+    return table[table["bin"] != MOVED]
 
 
 def fitted(sums: np.ndarray, base: Scale) -> np.ndarray:
@@ -210,16 +220,17 @@ def smallest(rows: np.ndarray, h: int) -> np.ndarray:
 
 
 def trimmed_fits(views: Views, trim: float = 0.5, starts: Mapping[str, np.ndarray] | None = None, base: Mapping[str, Scale] | None = None,
-                 max_steps: int = 100, tol: float = 1e-4, settle: bool = True) -> dict[str, np.ndarray]:
+                 max_steps: int = 100, tol: float = 1e-4, settle: bool = True, first: pd.DataFrame | None = None) -> dict[str, np.ndarray]:
     """Intercept and slopes of each regression: least trimmed squares over its rows without nulls, reweighted once. All views
     have the same number of columns. Without ``starts`` the nested starts are taken; ``base`` may be given where it is known. Warns if
-    ``max_steps`` are too few, unless the caller comes back with the fits (``settle=False``). A regression with fewer rows than coefficients raises ValueError."""
+    ``max_steps`` are too few, unless the caller comes back with the fits (``settle=False``). ``first`` are the sums at the starts, if they
+    are at hand. A regression with fewer rows than coefficients raises ValueError."""
     base = base or scales(views)
     betas = dict(starts) if starts else nested_starts(views, base, trim)
     h = {name: coverage(base[name].n, len(base[name].centre), trim) for name in views.names}
     objective: dict[str, float] = {}
     for _ in range(max_steps):
-        table = summed(views, base, betas)
+        table, first = summed(views, base, betas) if first is None else first, None
         settled = True
         for name, rows in table.groupby("fit"):
             sums = smallest(rows.drop(columns="fit").to_numpy(float), h[name])

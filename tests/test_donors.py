@@ -47,12 +47,12 @@ def test_cells_equal_brute_force(spark, monkeypatch, cell, takers):
 
 
 def test_a_fill_writes_little_beside_its_rows(spark):
-    parts = [f"p{i}" for i in range(6)]
+    parts = [f"p{i}" for i in range(5)]
     gaps = [F.when(F.rand(i) > 0.3, F.exp(F.randn(50 + i))).alias(p) for i, p in enumerate(parts)]
-    df = spark.range(6000).select("id", *gaps).where(sum((F.col(p).isNotNull().cast("int") for p in parts), F.lit(0)) >= 2)
+    df = spark.range(16000).select("id", *gaps).where(sum((F.col(p).isNotNull().cast("int") for p in parts), F.lit(0)) >= 2)
     before = written(spark)
     assert impute.impute_knn(df, parts, ["id"], 5).where(F.greatest(*[F.col(p).isNull() for p in parts])).count() == 0
-    assert written(spark) - before < 6000 * 6 * 8 * 6
+    assert written(spark) - before < 16000 * 90  # the walk of the trees wrote 197 bytes a row
 
 
 def written(spark):
